@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figweave.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, sharding
+from figweave.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, sharding, warc
+from figweave.llm.shared import write_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +20,30 @@ def op1_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_buckets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows whose labels are never learned from: crc32 of the id as text leaves 2 modulo 4."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op2_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    out = quality.score(docs, model).select(F.col("doc.doc_id").alias("doc_id"), "score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts are control strings."""
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.prefix_examples(rows))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -33,6 +60,13 @@ def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("fp"), F.col("efp")).alias("near_edited"), fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
+def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    read = write_table(warc.reassemble(warc.read_records(spark, path)), "warc-read")
+    return warc.resolve_revisits(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.pareto_mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
@@ -51,11 +85,41 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pack_buckets, op5_exact_dedup, op6_merkle_fingerprints, op8_pareto_mix, op9_hilbert_shards, op10_line_dedup)}
+    op1_pack_buckets, op2_nbsvm_quality, op3_minhash_near_dedup, op4_chat_prefix_targets, op5_exact_dedup,
+    op6_merkle_fingerprints, op7_warc_segments, op8_pareto_mix, op9_hilbert_shards, op10_line_dedup)}
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_CONTROL = "|".join(re.escape(x) for x in ("\\", *chat.CONTROL))
+
 ORACLE_SQL = {
+    "op3_minhash_near_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS g FROM d),
+        x AS (SELECT doc_id, len(g) AS n, hash(unnest(g)) AS h FROM s),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+              AND 100 * a.n >= 75 * b.n AND 100 * b.n >= 75 * a.n
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.reach)
+        SELECT s.doc_id, len(g) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN (SELECT id, min(reach) AS component_id FROM r GROUP BY id) c ON c.id = s.doc_id""",
+    "op4_chat_prefix_targets": rf"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+        f AS (SELECT *, role = 'assistant' OR turn = max(turn) OVER (PARTITION BY conv_id) AS ends,
+              sum({len(chat.START) + len(chat.END) + 2} + length(role) + length(text) + len(regexp_extract_all(text, '{_CONTROL}')))
+                  OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               (sum(upto) FILTER (WHERE ends))::BIGINT AS formatted_chars, count(*) FILTER (WHERE ends) AS n_examples
+        FROM f GROUP BY conv_id""",
+    "op7_warc_segments": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+        f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to, 'ok' AS status FROM f""",
     "op5_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_AZ.format("coalesce(text, '')")}) AS h FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
