@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from figweave.functions.chemistry import normal_smiles
+from figweave.functions.lineage import cut
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
@@ -102,7 +103,7 @@ def average_precision(matches: DataFrame, cells: int = 1000, most: int = 100) ->
     up = W.partitionBy("area", "threshold").orderBy("s")
     curve = steps.join(totals, ["area", "threshold"]).filter("gold > 0").withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down))
     curve = curve.withColumn("recall", F.col("ctp") / F.col("gold")).withColumn("envelope", F.max(F.col("ctp") / F.col("cn")).over(up))
-    points = curve.withColumn("from", F.coalesce(F.lag("recall").over(down), F.lit(-1.0)))
+    points = curve.withColumn("from", F.coalesce(F.lag("recall").over(down), F.lit(-0.01)))
     reached = points.filter("recall > from").withColumn("n_points", F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.col("from") * 100 + 1e-9))
     got = reached.groupBy("area", "threshold").agg((F.sum(F.col("envelope") * F.greatest("n_points", F.lit(0))) / 101).alias("ap"), F.max("recall").alias("recall"))
     return totals.filter("gold > 0").join(got, ["area", "threshold"], "left").na.fill(0.0, ["ap", "recall"]).drop("gold")
@@ -110,7 +111,7 @@ def average_precision(matches: DataFrame, cells: int = 1000, most: int = 100) ->
 
 def detection_summary(gold: DataFrame, pred: DataFrame, scale: float) -> DataFrame:
     """(name, value): the twelve summary numbers; 0 without predictions, -1 for an area without gold boxes."""
-    matches = detection_matches(gold, pred, scale)
+    matches = cut(detection_matches(gold, pred, scale))
     by_cut = [average_precision(matches, most=n).withColumn("most", F.lit(n)) for n in (1, 10, 100)]
     rows = by_cut[0].unionByName(by_cut[1]).unionByName(by_cut[2])
     at = lambda v, area="all", t=None, most=100: F.coalesce(F.avg(F.when((F.col("area") == area) & (F.col("most") == most) & (F.lit(True) if t is None else F.col("threshold") == t), F.col(v))), F.lit(-1.0))
