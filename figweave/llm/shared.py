@@ -29,10 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-figweave-"))
 
 
+def _tables_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/figweave-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes all tables and archives that this application has put into the shared folder; call it when results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{_tables_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/figweave/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

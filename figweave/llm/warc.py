@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figweave.llm.shared import join_counted, shared_dir, write_table
+from figweave.llm.shared import join_counted, new_path, write_table
 
 #: Up to so many (id, id) rows, 16 bytes each, are broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -219,4 +218,4 @@ def resolve_revisits(read: DataFrame) -> DataFrame:
 
 def archive_path(spark: SparkSession) -> str:
     """A new place for archives in the shared folder."""
-    return f"{shared_dir(spark)}/figweave/warc-{uuid.uuid4().hex}"
+    return new_path(spark, "warc")

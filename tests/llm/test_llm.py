@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from figweave.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, queries, sharding, warc
-from figweave.llm.shared import join_counted, ranked
+from figweave.llm.shared import drop_tables, join_counted, ranked, write_table
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls in every column, empty and blank texts, ties, repeated rows, a long word.
@@ -401,3 +401,12 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd, empty):
         assert stage(spark, empty, sf).count() == 0, name
         if name != "pack":
             assert stage(spark, odd, sf).columns == odd.columns, name
+
+
+def test_tables_can_be_dropped(spark):
+    rows = write_table(spark.range(5).toDF("x"), "drop")
+    assert rows.count() == 5
+    path = rows.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    drop_tables(spark)
+    assert not __import__("os").path.exists(path)
+    assert write_table(spark.range(3).toDF("x"), "drop").count() == 3
