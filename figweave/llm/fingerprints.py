@@ -96,11 +96,10 @@ def with_next_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     there = F.struct(before.alias("to"), F.lit(1).alias("halo"))
     rows = rows.withColumn("fp", merkle_fingerprint(F.col("text")))
     rows = rows.withColumn("at", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))))
-    order = W.partitionBy("at.to").orderBy("at.halo", F.col("rid").desc(), F.xxhash64("text"))
-    return (
-        rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_fp", F.lead("fp").over(order))
-        .filter("at.halo = 0").select("id", "text", "fp", "next_text", "next_fp")
-    )
+    rows = rows.select("id", "rid", "text", "fp", F.col("at.to").alias("to"), F.col("at.halo").alias("halo"))
+    order = W.partitionBy("to").orderBy("halo", F.col("rid").desc(), F.xxhash64("text"))
+    rows = rows.select("id", "text", "fp", "halo", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp"))
+    return rows.filter("halo = 0").drop("halo")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
