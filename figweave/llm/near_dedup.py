@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from figweave.llm.shared import join_counted, write_table
 
@@ -18,6 +19,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signature hashes compared at a time, and the chance at which a pair that is similar enough may be pruned.
 BATCH, MISS = 32, 1e-7
+#: A bucket with several components and at most so many members makes its pairs at once; larger ones by way of the prefix filter.
+SMALL = 64
 #: Up to so many 8-byte ids are broadcast to filter texts; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -165,13 +168,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     which stays. Steps:
 
     1. Sketch every whole text; documents with equal sets collapse to a class, so copies cost nothing below.
-    2. Band the signatures. Each bucket links its members to one hashed center (a star, never all pairs); centers differ
-       from band to band.
-    3. Compare signatures batch by batch and prune by the posterior bound; then verify on full sets one best edge a document
-       and unite. Edges inside a component need no check.
+    2. Band the signatures. Each bucket links its members to one center (a star, never all pairs): the member whose buckets
+       are the largest together, so copies meet at the text that they come from.
+    3. Compare signatures batch by batch and prune by the posterior bound; then verify on full sets two edges a document, to its
+       likeliest and its most central partner, and unite. Edges inside a component need no check.
     4. All other candidates that still cross components are verified: surviving star edges, and in each bucket that holds
-       several components every member outside its largest one against the rest. So no candidate pair of a bucket is left
-       undecided, and pairs are only made where they could matter.
+       several components every member outside its largest one against the rest. Among buckets of more than SMALL members
+       the pairs come from an exact prefix filter instead. So no candidate pair of a bucket is left undecided, and pairs are only
+       made where they could matter.
 
     Misses are those of banding (about 5e-6 at similarity 0.75) and of the Bayesian bound (MISS). Null or empty texts, or texts
     without words, are linked with nothing. A null id cannot name a component: the row comes back with a null component and kept. Rows that repeat
@@ -183,32 +187,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     facts = sketches.select("id", "n", "s1", "s2")
     whole = facts.filter("n > 0 and id is not null")
     sets = write_table(whole.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "nd-sets")
-    reps = write_table(sketches.filter("n > 0").join(sets.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "sig", "bands").dropDuplicates(["id"]), "nd-reps")
+    reps = write_table(sketches.filter("n > 0").join(sets.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "sig", "bands").dropDuplicates(["id"]), "nd-reps")
     banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.count("*").alias("n_rows"), F.min_by("id", F.xxhash64("id", "key")).alias("center")).filter("n_rows > 1")
-    buckets = write_table(buckets, "nd-buckets")
+    buckets = write_table(banded.groupBy("band", "key").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "nd-buckets")
     n_rows = buckets.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     members = write_table(join_counted(banded, buckets, ["band", "key"], "n_rows", n_rows), "nd-members")
+    central = write_table(members.groupBy("id").agg(F.sum("n_rows").alias("reach")), "nd-reach")
+    centers = members.join(central, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("reach", -F.col("id"))).alias("center"), F.count("*").alias("n_rows"))
     pair = F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")
-    stars = write_table(members.filter("id <> center").select(*pair).distinct(), "nd-stars")
+    starred = join_counted(members.drop("n_rows"), write_table(centers, "nd-centers"), ["band", "key"], "n_rows", n_rows)
+    stars = write_table(starred.filter("id <> center").select(*pair).distinct(), "nd-stars")
     likely = write_table(_bayes(stars, reps, threshold), "nd-likely")
     ends = likely.select(F.col("a").alias("id"), "a", "b", "m").unionByName(likely.select(F.col("b").alias("id"), "a", "b", "m"))
-    texts = _texts_of(rows, facts, ends.select("id").distinct().unionByName(members.select("id").distinct()).distinct())
-    # the partner with most candidates is a hub: one edge to it for each document makes few, flat components
-    fame = ends.groupBy("id").agg(F.count("*").alias("fame"))
-    partner = ends.withColumn("other", F.col("a") + F.col("b") - F.col("id"))
-    best = partner.join(fame.select(F.col("id").alias("other"), "fame"), "other").groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("fame", "m", -F.col("other"))).alias("p"))
-    tried = write_table(best.select("p.a", "p.b").distinct(), "nd-first")
+    texts = _texts_of(rows, members.select("id").distinct())
+    # to the likeliest partner and to the one of widest reach, where the copies of a text meet
+    partner = ends.withColumn("other", F.col("a") + F.col("b") - F.col("id")).join(central.select(F.col("id").alias("other"), "reach"), "other")
+    best = partner.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("m", "reach", -F.col("other"))).alias("p"), F.max_by(F.struct("a", "b"), F.struct("reach", "m", -F.col("other"))).alias("q"))
+    tried = write_table(best.select(F.explode(F.array("p", "q")).alias("e")).select("e.a", "e.b").distinct(), "nd-first")
     links = write_table(_exact(tried, texts, percent), "nd-links")
     labels = components(links)
     known = reps.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     known = write_table(known, "nd-known")
     open_ = _crossing(likely.select("a", "b"), known).join(tried, ["a", "b"], "left_anti")
-    mixed = write_table(join_counted(members.select("band", "key", "id", "n_rows"), _several(members, known), ["band", "key"], "n_here", n_rows), "nd-mixed")
-    mixed = mixed.join(known, "id")
-    minor = mixed.filter("label <> main").select("band", "key", F.col("id").alias("x"), F.col("label").alias("lx"))
-    sides = mixed.select("band", "key", F.col("id").alias("y"), F.col("label").alias("ly")).join(minor, ["band", "key"]).filter("lx <> ly")
-    cross = sides.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = join_counted(members.select("band", "key", "id"), _several(members, known), ["band", "key"], "n_here", n_rows)
+    mixed = write_table(mixed.join(known, "id"), "nd-mixed")
+    few = mixed.filter(F.col("n_here") <= SMALL)
+    minor = few.filter("label <> main").select("band", "key", F.col("id").alias("x"), F.col("label").alias("lx"))
+    sides = few.select("band", "key", F.col("id").alias("y"), F.col("label").alias("ly")).join(minor, ["band", "key"]).filter("lx <> ly")
+    cross = sides.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    cross = cross.unionByName(_prefix_pairs(mixed.filter(F.col("n_here") > SMALL), reps, texts, percent)).distinct().join(stars, ["a", "b"], "left_anti")
     more = _bayes(write_table(cross, "nd-cross"), reps, threshold).select("a", "b")
     late = write_table(_exact(write_table(open_.unionByName(more), "nd-open"), texts, percent), "nd-late")
     # components of components: edges between first labels
@@ -221,7 +228,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _texts_of(rows: DataFrame, facts: DataFrame, ids: DataFrame) -> DataFrame:
+def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the documents that candidates need, written once."""
     ids = write_table(ids, "nd-ids")
     if ids.count() <= BROADCAST_IDS:
@@ -229,6 +236,36 @@ def _texts_of(rows: DataFrame, facts: DataFrame, ids: DataFrame) -> DataFrame:
     return write_table(rows.filter("text is not null").join(ids, "id", "left_semi").dropDuplicates(["id"]), "nd-texts")
 
 
+def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components among the documents of large mixed buckets (band, key, id, label, main), by an exact prefix filter.
+
+    Two sets that are similar enough share at least percent / (100 + percent) of both sizes together. So, with shingles in order of
+    how many documents have them, rarest first, they share one within the first n - that + 1. A heavily changed copy has only shingles of its own there and makes no pair.
+    """
+    sized = mixed.join(reps.select("id", "n"), "id")
+    least = sized.groupBy("band", "key").agg(F.min("n").alias("least"))
+    docs = sized.join(least, ["band", "key"]).groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min(F.greatest("least", F.ceil(F.col("n") * percent / 100.0 - 1e-9))).alias("least"), F.max((F.col("label") != F.col("main")).cast("int")).alias("minor"))
+    need = F.ceil((F.col("n") + F.col("least")) * percent / (100.0 + percent) - 1e-9)
+    docs = write_table(docs.withColumn("first", F.col("n") - need + 1), "nd-hot")
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, text in zip(batch["id"], batch["text"]):
+                yield pd.DataFrame({"id": i, "h": shingles(text).astype(np.int64)})
+
+    each = write_table(texts.join(docs.select("id"), "id", "left_semi").select("id", "text").mapInPandas(explode, "id long, h long"), "nd-hot-shingles")
+    counts = write_table(each.groupBy("h").agg(F.count("*").alias("n_docs")), "nd-hot-counts")
+    placed = join_counted(each, counts, ["h"], "n_docs", each.count()).withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("n_docs", "h")))
+    heads = write_table(placed.join(docs, "id").filter("place <= first and n_docs > 1").select("id", "h", "label", "minor", "n", "place"), "nd-hot-heads")
+    one = heads.filter("minor = 1").select(F.col("id").alias("x"), "h", F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    other = heads.select(F.col("id").alias("y"), "h", F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    # with both sizes known, the first shared shingle must stand early enough in both
+    shared = F.ceil((F.col("nx") + F.col("ny")) * percent / (100.0 + percent) - 1e-9)
+    early = (F.col("px") <= F.col("nx") - shared + 1) & (F.col("py") <= F.col("ny") - shared + 1)
+    both = other.join(one, (other["h"] == one["h"]) & (F.col("lx") != F.col("ly")) & early)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _crossing(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs whose ends have different labels."""
     one = pairs.join(known.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
