@@ -186,3 +186,11 @@ def update_by_key(boxes: DataFrame, fixed: DataFrame) -> DataFrame:
     """boxes with the symbol of the last box in `fixed` that has the same corners."""
     last = fixed.groupBy("image_id", corner_key().alias("k")).agg(F.max_by("symbol", "box_idx").alias("new"))
     return boxes.withColumn("k", corner_key()).join(last, ["image_id", "k"], "left").select("image_id", "box_idx", F.coalesce("new", "symbol").alias("symbol"))
+
+
+def coref_sequence(boxes: DataFrame, links: DataFrame) -> DataFrame:
+    """(image_id, sequence): each molecule followed by its identifiers, as box numbers; text boxes and unpaired identifiers drop out."""
+    mols = boxes.filter("category_id in (1, 2)").select("image_id", F.col("box_idx").alias("mol_idx"), F.lit(-1).alias("k"), "box_idx")
+    idts = links.select("image_id", "mol_idx", F.col("idt_idx").alias("k"), F.col("idt_idx").alias("box_idx"))
+    rows = mols.unionByName(idts)
+    return rows.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mol_idx", "k", "box_idx"))), lambda x: x["box_idx"].cast("string")), ",").alias("sequence"))

@@ -75,3 +75,20 @@ def rebased_union(boxes: DataFrame, rows: DataFrame, width: float = 1.0) -> tupl
     moved = boxes.join(facts, "image_id").select("pair_id", (F.col("box_idx") + F.col("offset")).alias("box_idx"), "category_id", (F.col("x1") + shift).alias("x1"), "y1", (F.col("x2") + shift).alias("x2"), "y2")
     linked = rows.join(facts, "image_id").select("pair_id", "second", "rxn_idx", "role", (F.col("box_idx") + F.col("offset")).alias("box_idx"))
     return moved, linked
+
+
+def drop_flat(rows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Rows without single boxes of zero area, and without reactions whose reactants, or whose products, all have zero area."""
+    flat = boxes.select("image_id", "box_idx", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) <= 0).alias("flat"))
+    sides = W.partitionBy("image_id", "rxn_idx")
+    gone = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.col("flat"))).over(sides), F.lit(False))
+    marked = rows.join(flat, ["image_id", "box_idx"]).withColumn("r", gone("reactants")).withColumn("p", gone("products"))
+    return marked.filter("not flat and not r and not p").drop("flat", "r", "p")
+
+
+def answers(rows: DataFrame, smiles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(image_id, rxn_idx, reactants, products, conditions): smiles of both sides and texts of conditions in box order, with empty text where one is absent."""
+    joined = rows.join(smiles, ["image_id", "box_idx"], "left").join(texts, ["image_id", "box_idx"], "left")
+    value = F.when(F.col("role") == "conditions", F.coalesce("text", F.lit(""))).otherwise(F.coalesce("smiles", F.lit("")))
+    side = lambda r: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("box_idx", value.alias("v"))))), lambda x: x["v"]), "|").alias(r)
+    return joined.groupBy("image_id", "rxn_idx").agg(*[side(r) for r in ROLES])

@@ -143,3 +143,18 @@ def html_runs(tags: DataFrame, tag: str = "tag") -> DataFrame:
     runs = rows.groupBy("doc_id", "run").agg(F.min("label").alias("label"), joined("tok_idx", "token").alias("body"))
     runs = runs.withColumn("part", F.when(F.col("label") == "O", F.col("body")).otherwise(F.concat(F.lit('<u class="'), "label", F.lit('">'), "body", F.lit("</u>"))))
     return runs.groupBy("doc_id").agg(joined("run", "part").alias("html"))
+
+
+def product_variants(texts: DataFrame, products: DataFrame) -> DataFrame:
+    """(image_id, number, label, box_idx): for each image the first number in its first product text, and the labels of that number with letters, the first box of each kept."""
+    first = products.join(texts, ["image_id", "box_idx"]).groupBy("image_id").agg(F.min_by("text", "box_idx").alias("text"))
+    number = first.select("image_id", F.regexp_extract("text", r"(\d+)", 1).alias("number")).filter("number <> ''")
+    labels = texts.select("image_id", "box_idx", F.explode(F.regexp_extract_all("text", F.lit(r"\b(\d+[a-zA-Z]+)\b"), 1)).alias("label"))
+    rows = labels.join(number, "image_id").filter(F.regexp_extract("label", r"^(\d+)", 1) == F.col("number"))
+    return rows.groupBy("image_id", "number", "label").agg(F.min("box_idx").alias("box_idx"))
+
+
+def library_lookup(named_rows: DataFrame, library: dict[str, str], unknown: str) -> DataFrame:
+    """named_rows(.., value) with `smiles` from a library of known molecules, else `unknown`."""
+    table = named_rows.sparkSession.createDataFrame(sorted(library.items()), "value string, smiles string")
+    return named_rows.join(F.broadcast(table), "value", "left").withColumn("smiles", F.coalesce("smiles", F.lit(unknown)))
