@@ -75,7 +75,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an id are one document. Other columns pass through, whatever their names. No rows give no rows.
     """
     did = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    base = docs.select(F.struct(*docs.columns).alias("doc"), did.alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    # all columns but the text, which moves once, as its lines
+    rest = F.struct(*[F.lit(None).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    base = docs.select(rest.alias("doc"), did.alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     base = base.withColumn("th", F.xxhash64("t"))
     cuts = base.agg(F.percentile_approx("did", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] or []
     batch = sum((F.when(F.col("did") <= F.lit(q), 1).otherwise(0) for q in cuts), F.lit(0))
