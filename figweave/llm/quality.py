@@ -53,16 +53,17 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, smooth: float =
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 1) -> np.ndarray:
     """Weights of the hinge-loss linear model over indicators scaled by `ratios` and by the root of their number, one dual variable at a time."""
     y = np.where(labels, 1.0, -1.0)
-    values = [ratios[x] / np.sqrt(len(x)) for x in rows]
-    norms = np.array([float(v @ v) for v in values])
     w, alpha, rng = np.zeros(SIZE), np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            if norms[i]:
-                grad = y[i] * float(w[rows[i]] @ values[i]) - 1
-                new = min(max(alpha[i] - grad / norms[i], 0.0), c)
+            x = rows[i]
+            value = ratios[x] / np.sqrt(len(x))  # made anew each time: all rows' values would take twice the memory of the rows
+            norm = float(value @ value)
+            if norm:
+                grad = y[i] * float(w[x] @ value) - 1
+                new = min(max(alpha[i] - grad / norm, 0.0), c)
                 if new != alpha[i]:
-                    w[rows[i]] += (new - alpha[i]) * y[i] * values[i]
+                    w[x] += (new - alpha[i]) * y[i] * value
                     alpha[i] = new
     return w * ratios
 
@@ -115,12 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [features(t).tobytes() for t in b["text"]]})
 
-    found = sorted((r.id, r.y, bytes(r.x)) for r in rows.select("id", "y", "text").mapInPandas(extract, "id long, y int, x binary").toLocalIterator())
-    y = np.array([r[1] for r in found], dtype=bool)
+    found = rows.select("id", "y", "text").mapInPandas(extract, "id long, y int, x binary").toArrow().combine_chunks()
+    y = found["y"].to_numpy().astype(bool)
     if not len(y) or y.all() or not y.any():
         return NbsvmModel(np.zeros(1), 1.0, 0.0, 1.0 if not len(y) or y.all() else 0.0)
-    order = np.random.default_rng(7).permutation(len(found))
-    x = [np.frombuffer(found[i][2], dtype=np.uint32) for i in order]
+    order = np.lexsort((y, found["id"].to_numpy()))[np.random.default_rng(7).permutation(len(y))]
+    x = [np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in found["x"].take(order)]
     y = y[order]
     n = max(2, len(x) * 3 // 4)
     if y[:n].all() or not y[:n].any() or n == len(x) or y[n:].all() or not y[n:].any():
