@@ -21,6 +21,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-7
 #: A bucket with several components and at most so many members makes its pairs at once; larger ones by way of the prefix filter.
 SMALL = 64
+#: Cells of the table of shingle counts that orders the prefix filter: 4 MB.
+CELLS = 1 << 20
 #: Up to so many 8-byte ids are broadcast to filter texts; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -67,6 +69,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(run))
 
 
+def _cell(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(44)).astype(np.int64)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """MinHash values of a set of 64-bit hashes: the least of each of HASHES permutations of its upper halves."""
     least, x = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32), (found >> np.uint64(32)).astype(np.uint32)
@@ -241,6 +247,7 @@ def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent:
 
     Two sets that are similar enough share at least percent / (100 + percent) of both sizes together. So, with shingles in order of
     how many documents have them, rarest first, they share one within the first n - that + 1. A heavily changed copy has only shingles of its own there and makes no pair.
+    The filter is exact in any one order of all shingles, so the counts may be rough: they are sums over CELLS hashed cells, whose table is of that size whatever the input.
     """
     sized = mixed.join(reps.select("id", "n"), "id")
     least = sized.groupBy("band", "key").agg(F.min("n").alias("least"))
@@ -248,15 +255,31 @@ def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent:
     need = F.ceil((F.col("n") + F.col("least")) * percent / (100.0 + percent) - 1e-9)
     docs = write_table(docs.withColumn("first", F.col("n") - need + 1), "nd-hot")
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = texts.join(docs, "id")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for i, text in zip(batch["id"], batch["text"]):
-                yield pd.DataFrame({"id": i, "h": shingles(text).astype(np.int64)})
+            for text in batch["text"]:
+                np.add.at(held, _cell(shingles(text)), 1)
+        cells = np.flatnonzero(held)
+        yield pd.DataFrame({"cell": cells, "n": held[cells]})
+
+    sums = found.select("text").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.float32)
+    counts[sums["cell"].to_numpy()] = sums["n"].to_numpy()
 
-    each = write_table(texts.join(docs.select("id"), "id", "left_semi").select("id", "text").mapInPandas(explode, "id long, h long"), "nd-hot-shingles")
-    counts = write_table(each.groupBy("h").agg(F.count("*").alias("n_docs")), "nd-hot-counts")
-    placed = join_counted(each, counts, ["h"], "n_docs", each.count()).withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("n_docs", "h")))
-    heads = write_table(placed.join(docs, "id").filter("place <= first and n_docs > 1").select("id", "h", "label", "minor", "n", "place"), "nd-hot-heads")
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                h = shingles(row.text)
+                n_docs = counts[_cell(h)]
+                order = np.lexsort((h, n_docs))[: row.first]
+                place = np.flatnonzero(n_docs[order] > 1)
+                yield pd.DataFrame({"id": row.id, "h": h[order[place]].astype(np.int64), "label": row.label, "minor": row.minor, "n": row.n, "place": place + 1})
+
+    schema = "id long, h long, label long, minor int, n long, place long"
+    heads = write_table(found.select("id", "text", "label", "minor", "n", "first").mapInPandas(head, schema), "nd-hot-heads")
     one = heads.filter("minor = 1").select(F.col("id").alias("x"), "h", F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px"))
     other = heads.select(F.col("id").alias("y"), "h", F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("place").alias("py"))
     # with both sizes known, the first shared shingle must stand early enough in both

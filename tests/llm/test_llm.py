@@ -162,8 +162,10 @@ def test_near_dedup_brute(docs, spark):
     assert got == components_brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-def test_near_dedup_chains_and_groups(spark):
-    """Chains whose ends are not alike, a group of many near copies, and texts just under the threshold."""
+@pytest.mark.parametrize("small", [64, 4])
+def test_near_dedup_chains_and_groups(spark, monkeypatch, small):
+    """Chains whose ends are not alike, a group of many near copies, and texts just under the threshold; with `small` 4 by way of the prefix filter."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rnd = random.Random(9)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
     rows, base = [], [word() for _ in range(120)]
