@@ -10,8 +10,13 @@ from figweave.llm.shared import width
 
 NO_ID = -(1 << 63)
 
-#: A piece is a run of at most eight words with the blanks after them, inside one paragraph.
-PIECE = "\\s*(?:\\S+\\s*){1,8}"
+#: A word with the blanks after it and, at the start of a line, before it.
+WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
+#: One word in so many ends its piece, by the word's own hash.
+ENDS = 8
+#: A piece is a run of words up to a line break, which cuts() puts behind each word that ends one; 64 words at most, for runs without such a word.
+PIECE = r"[\x20\x09\x0B-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,64}"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def _let(value: Column, body) -> Column:
@@ -19,19 +24,27 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def cuts(line: Column) -> Column:
+    """Pieces of a line (no line break in it). They end after words chosen by their own hashes, so an edit changes the pieces that it touches and
+    no later ones."""
+    ends = lambda w: F.pmod(F.xxhash64(F.btrim(w, F.lit(BLANKS))), F.lit(ENDS)) == 0
+    marked = F.transform(F.regexp_extract_all(line, F.lit(WORD), 0), lambda w: F.when(ends(w), F.concat(w, F.lit("\n"))).otherwise(w))
+    return F.regexp_extract_all(F.array_join(marked, ""), F.lit(PIECE), 0)
+
+
 def merkle_fingerprint(text: Column, section: int = 8) -> Column:
     """Text form of the Merkle tree of a text (null: empty): `root|section|section...`, a section `hash:paragraph;paragraph...`, a
     paragraph `hash,piece,piece...`.
 
     Paragraphs are the lines; `section` lines make a section. A paragraph's hash is the MD5 of all of it, a section's
     the SHA-256 of its paragraphs' hashes, the root the SHA-256 of the sections' hashes: equal roots mean
-    equal texts. The string holds the whole root, 8 digits of each section and paragraph and 6 of each piece (runs of eight words), so that two strings
+    equal texts. The string holds the whole root, 8 digits of each section and paragraph and 6 of each piece (eight words on average, see cuts()), so that two strings
     locate an edit by the branches that differ, and likeness() compares their leaves.
     """
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
     def paragraph(line):
-        pieces = F.transform(F.regexp_extract_all(line, F.lit(PIECE), 0), lambda p: F.lpad(F.right(F.hex(F.xxhash64(p)), F.lit(6)), 6, "0"))
+        pieces = F.transform(cuts(line), lambda p: F.lpad(F.right(F.hex(F.xxhash64(p)), F.lit(6)), 6, "0"))
         return F.struct(F.md5(line).alias("h"), F.array_join(pieces, ",").alias("p"))
 
     def branch(paragraphs):

@@ -246,6 +246,25 @@ def test_edited_sections_locate_the_edit(spark):
     assert r["at"] == [3] and 0.9 < r.near < 1 and r.own == 1.0
 
 
+def test_near_copies_stay_near(spark):
+    """Long lines with a word put in front, taken out or put in the middle share nearly all pieces; Dice by brute force over the pieces."""
+    rng, rows = random.Random(6), []
+    for i in range(30):
+        w = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(rng.choice([200, 1000, 5000]))]
+        k = len(w) // 2
+        rows += [(" ".join(w), " ".join(x)) for x in (["inserted", *w], w[:k] + w[k + 1 :], [*w[:k], "\t inserted", *w[k:]])]
+    rows += [(" a  b", "a b"), ("", " \t"), ("spam " * 1000, "ham " + "spam " * 1000)]
+    near = fingerprints.likeness(*[fingerprints.merkle_fingerprint(F.col(c)) for c in "ab"]).alias("near")
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", near)
+    assert all(r.near > 0.85 for r in found.collect()[:90])
+    pieces = [fingerprints.cuts(F.col(c)).alias(f"p{c}") for c in "ab"]
+    for r in found.select("*", *pieces).collect():
+        assert all("".join(p) == (t if words(t) else "") for t, p in ((r.a, r.pa), (r.b, r.pb)))
+        assert all(len(words(p)) <= 64 for p in r.pa + r.pb)
+        a, b = set(r.pa), set(r.pb)
+        assert r.near == pytest.approx(2 * len(a & b) / max(1, len(a) + len(b)), abs=0.01)
+
+
 def test_one_document_follows_itself(spark):
     df = spark.createDataFrame([(4, "abc")], "doc_id long, text string")
     assert fingerprints.with_next_text(df, "doc_id", "text").first().next_text == "abc"
