@@ -232,29 +232,29 @@ _VOCAB = "vo AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM
 
 
 @query("tag", _VOCAB + " SELECT * FROM vo")
-def vocab_fit(spark, sf_dir):
-    return Q.fit_vocabulary(X.tags(spark, sf_dir))
+def vocab_fit(spark, sf_dir, source=X.tags):
+    return Q.fit_vocabulary(source(spark, sf_dir))
 
 
 @query("tag", _VOCAB + " SELECT doc_id, '[1,' || string_agg(coalesce(CASE WHEN id % 50 <> 0 THEN id END, 3)::VARCHAR, ',' ORDER BY tok_idx) || ',2]' AS ids FROM tag LEFT JOIN vo USING (token) WHERE tok_idx < 500 GROUP BY 1")
-def tokens_to_ids(spark, sf_dir):
+def tokens_to_ids(spark, sf_dir, source=X.tags):
     """Documents cut to 500 tokens; every 50th id is taken out of the vocabulary, so that there are unknown tokens."""
-    tokens = X.tags(spark, sf_dir)
+    tokens = source(spark, sf_dir)
     out = Q.to_ids(tokens, Q.fit_vocabulary(tokens).filter("id % 50 <> 0"), 500)
     return out.withColumn("ids", F.concat(F.lit("["), F.array_join("ids", ","), F.lit("]")))
 
 
 @query("tag", _VOCAB + " SELECT doc_id, string_agg(token, ' ' ORDER BY tok_idx) AS text FROM tag WHERE tok_idx < 500 AND token <> '' GROUP BY 1")
-def ids_to_text(spark, sf_dir):
-    tokens = X.tags(spark, sf_dir).filter("token <> ''")
+def ids_to_text(spark, sf_dir, source=X.tags):
+    tokens = source(spark, sf_dir).filter("token <> ''")
     vocabulary = Q.fit_vocabulary(tokens)
     return Q.to_text(Q.to_ids(tokens, vocabulary, 500), vocabulary)
 
 
 @query("tag", "s AS (SELECT doc_id, doc_id // 8 AS batch, least(count(*), 200) AS n FROM tag GROUP BY 1) SELECT doc_id, batch, n AS length, max(n) OVER (PARTITION BY batch) AS padded, max(n) OVER (PARTITION BY batch) - n AS n_fill FROM s")
-def pad_batch(spark, sf_dir):
+def pad_batch(spark, sf_dir, source=X.tags):
     """Sequences of at most 200, filled up in batches of eight documents."""
-    rows = X.tags(spark, sf_dir).groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.col("tok_idx").cast("long") + 10)), 1, 200).alias("ids"))
+    rows = source(spark, sf_dir).groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.col("tok_idx").cast("long") + 10)), 1, 200).alias("ids"))
     rows = rows.withColumn("batch", F.floor(F.col("doc_id") / 8)).withColumn("length", F.size("ids"))
     out = Q.pad_batches(rows, "batch", "ids")
     return out.select("doc_id", "batch", "length", F.size("ids").alias("padded"), F.size(F.filter("ids", lambda v: v == Q.PAD)).alias("n_fill"))
@@ -433,11 +433,11 @@ _SCHEME = ("O", "B-MOL", "I-MOL", "B-TIME", "I-TIME")
 
 
 @query("tag", f"SELECT tag, id, count(*) AS n FROM tag JOIN (VALUES {sql_values([(t, i) for i, t in enumerate(_SCHEME)])}) v(t, id) ON t = tag GROUP BY 1, 2")
-def bio_scheme(spark, sf_dir):
+def bio_scheme(spark, sf_dir, source=X.tags):
     """Tags through the scheme's map and its inverse."""
     there = F.create_map(*[x for i, t in enumerate(_SCHEME) for x in (F.lit(t), F.lit(i))])
     back = F.map_from_arrays(F.map_values(there), F.map_keys(there))
-    rows = X.tags(spark, sf_dir).withColumn("id", there[F.col("tag")])
+    rows = source(spark, sf_dir).withColumn("id", there[F.col("tag")])
     return rows.groupBy(back[F.col("id")].alias("tag"), "id").agg(F.count("*").alias("n"))
 
 

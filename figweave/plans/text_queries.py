@@ -196,8 +196,8 @@ _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z]+'),
 
 @query("", "WITH " + _SENT.format(text="text", src="(SELECT * FROM documents WHERE lang = 'en')") + f""", w AS (SELECT doc_id, sent_idx, unnest({_TERMS.format('sentence')}) AS term FROM se), b AS (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
     c AS (SELECT item_id, doc_id, sent_idx, count(*) AS shared FROM w JOIN b USING (term) GROUP BY 1, 2, 3) SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id, sent_idx) AS place FROM c QUALIFY place <= 3""", plain=True)
-def related_sentences(spark, sf_dir):
-    rows = S.sentences(X.table(spark, sf_dir, "documents").filter("lang = 'en'"))
+def related_sentences(spark, sf_dir, where="lang = 'en'"):
+    rows = S.sentences(X.table(spark, sf_dir, "documents").filter(where))
     return S.related_sentences(rows, X.table(spark, sf_dir, "benchmark"))
 
 
@@ -208,8 +208,8 @@ _SPANS = """{out} AS (SELECT doc_id, label, begin AS start, max("end") AS "end"
 
 
 @query("tag", _SPANS.format(out="sp", tag="tag") + " SELECT * FROM sp")
-def ner_spans(spark, sf_dir):
-    return S.spans(X.tags(spark, sf_dir))
+def ner_spans(spark, sf_dir, source=X.tags):
+    return S.spans(source(spark, sf_dir))
 
 
 _STRICT = """{out} AS (SELECT doc_id, label, start, "end" FROM (SELECT doc_id, run, arg_min(t, tok_idx) AS t, arg_min(label, tok_idx) AS label, min(start) AS start, max("end") AS "end" FROM (
@@ -219,8 +219,8 @@ _STRICT = """{out} AS (SELECT doc_id, label, start, "end" FROM (SELECT doc_id, r
 
 @query("tag", _STRICT.format(out="g", tag="tag") + ", " + _STRICT.format(out="q", tag="pred") + f""", c AS (SELECT coalesce(g.label, q.label) AS label, count(g.label) AS gold, count(q.label) AS pred, count(g.label) FILTER (WHERE q.label IS NOT NULL) AS hits FROM g FULL JOIN q ON g.doc_id = q.doc_id AND g.label = q.label AND g.start = q.start AND g."end" = q."end" GROUP BY 1),
     a AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(gold)::BIGINT, sum(pred)::BIGINT, sum(hits)::BIGINT FROM c) SELECT label, gold, pred, hits, {prf_sql('hits', 'pred', 'hits', 'gold')} FROM a""")
-def ner_spans_strict_f1(spark, sf_dir):
-    tags = X.tags(spark, sf_dir)
+def ner_spans_strict_f1(spark, sf_dir, source=X.tags):
+    tags = source(spark, sf_dir)
     gold, pred = S.strict_spans(tags).withColumn("g", F.lit(1)), S.strict_spans(tags, "pred").withColumn("q", F.lit(1))
     both = gold.join(pred, ["doc_id", "label", "start", "end"], "full")
     counts = both.groupBy("label").agg(F.count("g").alias("gold"), F.count("q").alias("pred"), F.count_if(F.col("g").isNotNull() & F.col("q").isNotNull()).alias("hits"))
@@ -231,13 +231,13 @@ def ner_spans_strict_f1(spark, sf_dir):
 
 @query("tag", _STRICT.format(out="g", tag="tag") + """, h AS (SELECT t.doc_id, tok_idx, arg_max({'s': g.start, 'label': label}, g.start) AS b FROM tag t JOIN g ON g.doc_id = t.doc_id AND g.start <= t.start AND t.start < g."end" GROUP BY 1, 2)
     SELECT t.doc_id, t.tok_idx, CASE WHEN b IS NULL THEN 'O' WHEN (b).s = t.start THEN 'B-' || (b).label ELSE 'I-' || (b).label END AS tag FROM tag t LEFT JOIN h USING (doc_id, tok_idx)""")
-def ner_align(spark, sf_dir):
-    tags = X.tags(spark, sf_dir)
+def ner_align(spark, sf_dir, source=X.tags):
+    tags = source(spark, sf_dir)
     return S.align_spans(tags.select("doc_id", "tok_idx", "start"), S.strict_spans(tags))
 
 
 @query("tag", """r AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS run FROM (SELECT doc_id, tok_idx, label, replace(replace(replace(token, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS token, coalesce(label <> lag(label) OVER (PARTITION BY doc_id ORDER BY tok_idx), true)::INT AS o FROM (
         SELECT *, regexp_replace(tag, '^[BI]-', '') AS label FROM tag))), u AS (SELECT doc_id, run, min(label) AS label, string_agg(token, ' ' ORDER BY tok_idx) AS body FROM r GROUP BY 1, 2)
     SELECT doc_id, string_agg(CASE WHEN label = 'O' THEN body ELSE '<u class="' || label || '">' || body || '</u>' END, ' ' ORDER BY run) AS html FROM u GROUP BY 1""")
-def tagged_html(spark, sf_dir):
-    return S.html_runs(X.tags(spark, sf_dir))
+def tagged_html(spark, sf_dir, source=X.tags):
+    return S.html_runs(source(spark, sf_dir))

@@ -1,0 +1,24 @@
+"""Queries over all of their tables, beside those whose registered SQL reads a part of them."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from figweave.plans import fixtures as X
+from figweave.plans.registry import ORACLES, QUERIES
+
+
+def whole(name: str, sql: str, **changed) -> None:
+    """Registers query `name`, called with `changed`, as `<name>_whole`."""
+    QUERIES[f"{name}_whole"] = partial(QUERIES[name], **changed)
+    ORACLES[f"{name}_whole"] = sql
+
+
+def _all_tags(name: str) -> str:
+    return ORACLES[name].replace(X.SQL["tag"][1], X.ALL_TAGS)
+
+
+# all languages
+for _name in ("ner_spans", "ner_spans_strict_f1", "ner_align", "tagged_html", "vocab_fit", "tokens_to_ids", "ids_to_text", "pad_batch", "bio_scheme"):
+    whole(_name, _all_tags(_name), source=X.all_tags)
+whole("related_sentences", ORACLES["related_sentences"].replace("(SELECT * FROM documents WHERE lang = 'en')", "documents"), where="true")
