@@ -237,24 +237,25 @@ def vocab_fit(spark, sf_dir, source=X.tags):
 
 
 @query("tag", _VOCAB + " SELECT doc_id, '[1,' || string_agg(coalesce(CASE WHEN id % 50 <> 0 THEN id END, 3)::VARCHAR, ',' ORDER BY tok_idx) || ',2]' AS ids FROM tag LEFT JOIN vo USING (token) WHERE tok_idx < 500 GROUP BY 1")
-def tokens_to_ids(spark, sf_dir, source=X.tags):
-    """Documents cut to 500 tokens; every 50th id is taken out of the vocabulary, so that there are unknown tokens."""
+def tokens_to_ids(spark, sf_dir, source=X.tags, limit=500):
+    """Documents cut to 500 tokens (B12); every 50th id is taken out of the vocabulary, so that there are unknown tokens."""
     tokens = source(spark, sf_dir)
-    out = Q.to_ids(tokens, Q.fit_vocabulary(tokens).filter("id % 50 <> 0"), 500)
+    out = Q.to_ids(tokens, Q.fit_vocabulary(tokens).filter("id % 50 <> 0"), limit)
     return out.withColumn("ids", F.concat(F.lit("["), F.array_join("ids", ","), F.lit("]")))
 
 
 @query("tag", _VOCAB + " SELECT doc_id, string_agg(token, ' ' ORDER BY tok_idx) AS text FROM tag WHERE tok_idx < 500 AND token <> '' GROUP BY 1")
-def ids_to_text(spark, sf_dir, source=X.tags):
+def ids_to_text(spark, sf_dir, source=X.tags, limit=500):
     tokens = source(spark, sf_dir).filter("token <> ''")
     vocabulary = Q.fit_vocabulary(tokens)
-    return Q.to_text(Q.to_ids(tokens, vocabulary, 500), vocabulary)
+    return Q.to_text(Q.to_ids(tokens, vocabulary, limit), vocabulary)
 
 
 @query("tag", "s AS (SELECT doc_id, doc_id // 8 AS batch, least(count(*), 200) AS n FROM tag GROUP BY 1) SELECT doc_id, batch, n AS length, max(n) OVER (PARTITION BY batch) AS padded, max(n) OVER (PARTITION BY batch) - n AS n_fill FROM s")
-def pad_batch(spark, sf_dir, source=X.tags):
+def pad_batch(spark, sf_dir, source=X.tags, limit=200):
     """Sequences of at most 200, filled up in batches of eight documents."""
-    rows = source(spark, sf_dir).groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.col("tok_idx").cast("long") + 10)), 1, 200).alias("ids"))
+    ids = F.sort_array(F.collect_list(F.col("tok_idx").cast("long") + 10))
+    rows = source(spark, sf_dir).groupBy("doc_id").agg((ids if limit is None else F.slice(ids, 1, limit)).alias("ids"))
     rows = rows.withColumn("batch", F.floor(F.col("doc_id") / 8)).withColumn("length", F.size("ids"))
     out = Q.pad_batches(rows, "batch", "ids")
     return out.select("doc_id", "batch", "length", F.size("ids").alias("padded"), F.size(F.filter("ids", lambda v: v == Q.PAD)).alias("n_fill"))

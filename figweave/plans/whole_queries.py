@@ -19,6 +19,11 @@ def _all_tags(name: str) -> str:
 
 
 # all languages
-for _name in ("ner_spans", "ner_spans_strict_f1", "ner_align", "tagged_html", "vocab_fit", "tokens_to_ids", "ids_to_text", "pad_batch", "bio_scheme"):
+for _name in ("ner_spans", "ner_spans_strict_f1", "ner_align", "tagged_html", "vocab_fit", "bio_scheme"):
     whole(_name, _all_tags(_name), source=X.all_tags)
 whole("related_sentences", ORACLES["related_sentences"].replace("(SELECT * FROM documents WHERE lang = 'en')", "documents"), where="true")
+
+# all languages and whole texts
+_CUTS = {"tokens_to_ids": (" WHERE tok_idx < 500", ""), "ids_to_text": ("tok_idx < 500 AND ", ""), "pad_batch": ("least(count(*), 200)", "count(*)")}
+for _name, _cut in _CUTS.items():
+    whole(_name, _all_tags(_name).replace(*_cut), source=X.all_tags, limit=None)

@@ -33,3 +33,11 @@ def test_all_languages(spark, small):
 def test_sql_of_whole_queries_has_no_language():
     names = [n for n in ORACLES if n.endswith("_whole")]
     assert len(names) >= 10 and not any("lang" in ORACLES[n] for n in names)
+
+
+def test_whole_texts(spark, small):
+    run = lambda name: {r.doc_id: r for r in QUERIES[f"{name}_whole"](spark, small).collect()}
+    tokens = {d: t.split(" ") for d, t, _ in DOCS}
+    assert {d: r.text for d, r in run("ids_to_text").items()} == {d: " ".join(w for w in t if w) for d, t in tokens.items()}
+    assert {d: r.ids.count(",") - 1 for d, r in run("tokens_to_ids").items()} == {d: len(t) for d, t in tokens.items()}
+    assert {d: (r.length, r.padded, r.n_fill) for d, r in run("pad_batch").items()} == {d: (len(t), 1200, 1200 - len(t)) for d, t in tokens.items()}
