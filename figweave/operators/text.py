@@ -77,9 +77,10 @@ def condition_alternatives(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label", F.explode(F.split(tail, " or ")))
 
 
-def page_document(pages: DataFrame, limit: int, per_doc: int = 10) -> DataFrame:
-    """(doc, text): pages of a document in order, each under a heading `## = Page i =`, trimmed; only its first `limit` pages."""
-    rows = pages.select(F.floor(F.col("page_id") / per_doc).alias("doc"), (F.col("page_id") % per_doc + 1).alias("page"), "text").filter(F.col("page") <= limit)
+def page_document(pages: DataFrame, limit: int | None = None, per_doc: int = 10) -> DataFrame:
+    """(doc, text): pages of a document in order, each under a heading `## = Page i =`, trimmed; all pages, or only the first `limit`."""
+    rows = pages.select(F.floor(F.col("page_id") / per_doc).alias("doc"), (F.col("page_id") % per_doc + 1).alias("page"), "text")
+    rows = rows if limit is None else rows.filter(F.col("page") <= limit)
     part = F.concat(F.lit("## = Page "), F.col("page").cast("string"), F.lit(" =\n"), "text", F.lit("\n"))
     return rows.groupBy("doc").agg(F.btrim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", part.alias("t")))), lambda x: x["t"]), "\n"), F.lit(" \n")).alias("text"))
 

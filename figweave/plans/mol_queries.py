@@ -376,9 +376,9 @@ _MESSAGES = "json_group_array(json_object('role', role, 'text', text))"
 
 
 @query("", "SELECT conv_id, count(*) AS n_turns, '[' || string_agg('{\"role\":' || to_json(role) || ',\"text\":' || to_json(text) || '}', ',' ORDER BY turn) || ']' AS payload FROM conversations WHERE turn < 2 GROUP BY 1", plain=True)
-def message_payload(spark, sf_dir):
+def message_payload(spark, sf_dir, where="turn < 2"):
     """The messages of the first round as one JSON payload."""
-    rows = X.table(spark, sf_dir, "conversations").filter("turn < 2")
+    rows = X.table(spark, sf_dir, "conversations").filter(where)
     return J.message_payload(rows)
 
 

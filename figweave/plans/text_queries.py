@@ -180,8 +180,8 @@ def condition_alternatives(spark, sf_dir):
 
 
 @query("", """SELECT page_id // 10 AS doc, trim(string_agg('## = Page ' || (page_id % 10 + 1) || ' =' || chr(10) || html || chr(10), chr(10) ORDER BY page_id), ' ' || chr(10)) AS text FROM pages WHERE page_id % 10 < 5 GROUP BY 1""", plain=True)
-def page_markdown(spark, sf_dir):
-    return S.page_document(X.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), limit=5)
+def page_markdown(spark, sf_dir, limit=5):
+    return S.page_document(X.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), limit=limit)
 
 
 @query("", "SELECT page_id // 10 AS doc, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars FROM pages WHERE page_id % 10 + 1 <= 5 GROUP BY 1", plain=True)

@@ -27,3 +27,7 @@ whole("related_sentences", ORACLES["related_sentences"].replace("(SELECT * FROM
 _CUTS = {"tokens_to_ids": (" WHERE tok_idx < 500", ""), "ids_to_text": ("tok_idx < 500 AND ", ""), "pad_batch": ("least(count(*), 200)", "count(*)")}
 for _name, _cut in _CUTS.items():
     whole(_name, _all_tags(_name).replace(*_cut), source=X.all_tags, limit=None)
+
+# all pages and all turns
+whole("page_markdown", ORACLES["page_markdown"].replace(" WHERE page_id % 10 < 5", ""), limit=None)
+whole("message_payload", ORACLES["message_payload"].replace(" WHERE turn < 2", ""), where="true")

@@ -1,5 +1,7 @@
 """The `_whole` queries read all rows of their tables: brute force over small ones."""
 
+import json
+
 import pytest
 
 from figweave.plans import ORACLES, QUERIES
@@ -13,6 +15,8 @@ def small(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("whole"))
     spark.createDataFrame(DOCS, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(7, "gamma delta")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, f"page {i}") for i in range(13)], "page_id long, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(5)], "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -41,3 +45,10 @@ def test_whole_texts(spark, small):
     assert {d: r.text for d, r in run("ids_to_text").items()} == {d: " ".join(w for w in t if w) for d, t in tokens.items()}
     assert {d: r.ids.count(",") - 1 for d, r in run("tokens_to_ids").items()} == {d: len(t) for d, t in tokens.items()}
     assert {d: (r.length, r.padded, r.n_fill) for d, r in run("pad_batch").items()} == {d: (len(t), 1200, 1200 - len(t)) for d, t in tokens.items()}
+
+
+def test_all_pages_and_turns(spark, small):
+    pages = {r.doc: r.text for r in QUERIES["page_markdown_whole"](spark, small).collect()}
+    assert pages == {d: "\n".join(f"## = Page {i % 10 + 1} =\npage {i}\n" for i in range(13) if i // 10 == d).strip() for d in (0, 1)}
+    (row,) = QUERIES["message_payload_whole"](spark, small).collect()
+    assert row.n_turns == 5 and [m["text"] for m in json.loads(row.payload)] == [f"t{i}" for i in range(5)]
