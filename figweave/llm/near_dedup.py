@@ -81,6 +81,11 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def signature_bytes(least: np.ndarray) -> np.ndarray:
+    """One byte of each minimum, uniform whatever the set's size: the minimum of a large set is small, so its own upper bytes are mostly 0."""
+    return _mix(least.astype(np.uint64)).astype(np.uint8)
+
+
 def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     """For each number of compared hashes, the fewest matches that keep a pair: below it, the posterior chance that the similarity is at least `threshold` is under `miss`.
 
@@ -108,7 +113,7 @@ def _sketch(rows: DataFrame) -> DataFrame:
                 least = signature(found)
                 sums = [int(np.sum(_mix(found ^ np.uint64(s)), dtype=np.uint64).astype(np.int64)) for s in (0x5BD1E995, 0xC2B2AE3D27D4EB4F)]
                 bands = _mix(np.sum(least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND, axis=1, dtype=np.uint64)).astype(np.int64)
-                out.append((i, len(found), *sums, (least >> np.uint32(24)).astype(np.uint8).tobytes(), bands if len(found) else bands[:0]))
+                out.append((i, len(found), *sums, signature_bytes(least).tobytes(), bands if len(found) else bands[:0]))
             yield pd.DataFrame(out, columns=["id", "n", "s1", "s2", "sig", "bands"])
 
     return rows.mapInPandas(sketch, "id long, n long, s1 long, s2 long, sig binary, bands array<long>")

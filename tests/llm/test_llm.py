@@ -246,6 +246,18 @@ def test_edited_sections_locate_the_edit(spark):
     assert r["at"] == [3] and 0.9 < r.near < 1 and r.own == 1.0
 
 
+def test_signatures_of_long_texts_prune(spark):
+    """Unrelated sets of 2,000 shingles are pruned by the signature comparison, near copies are kept."""
+    rng, rows = random.Random(3), []
+    for i in range(20):
+        w = [f"w{rng.randrange(100_000)}" for _ in range(2004)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:1900]))]
+    sketches = near_dedup._sketch(spark.createDataFrame(rows, "id long, text string")).cache()
+    pairs = spark.createDataFrame(list(itertools.combinations(range(40), 2)), "a long, b long")
+    kept = {(r.a, r.b) for r in near_dedup._bayes(pairs, sketches, 0.75).collect()}
+    assert kept == {(2 * i, 2 * i + 1) for i in range(20)}
+
+
 def test_near_copies_stay_near(spark):
     """Long lines with a word put in front, taken out or put in the middle share nearly all pieces; Dice by brute force over the pieces."""
     rng, rows = random.Random(6), []
