@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from figweave.plans import ORACLES, QUERIES
@@ -22,7 +23,7 @@ def duck(sf):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    text = lambda v: "null" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pd.api.types.is_scalar(v) and pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     return sorted(tuple(text(v) for v in r) for r in df.itertuples(index=False))
 
 
