@@ -23,8 +23,10 @@ BATCH, MISS = 32, 1e-7
 SMALL = 64
 #: Cells of the table of shingle counts that orders the prefix filter: 4 MB.
 CELLS = 1 << 20
-#: Up to so many 8-byte ids are broadcast to filter texts; beyond that the join shuffles.
+#: Up to so many rows of three numbers are broadcast to pick texts; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Most holders of a shingle that meet in one group of the prefix filter's join.
+PART = 1000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -104,19 +106,19 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
 
 
 def _sketch(rows: DataFrame) -> DataFrame:
-    """Per (id, text): set size, 128-bit hash of the set, one-byte signature and band keys."""
+    """Per (row, id, th, text): set size, 128-bit hash of the set, one-byte signature and band keys."""
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text in zip(batch["id"], batch["text"]):
+            for row, i, th, text in zip(batch["row"], batch["id"], batch["th"], batch["text"]):
                 found = shingles(text)
                 least = signature(found)
                 sums = [int(np.sum(_mix(found ^ np.uint64(s)), dtype=np.uint64).astype(np.int64)) for s in (0x5BD1E995, 0xC2B2AE3D27D4EB4F)]
                 bands = _mix(np.sum(least.reshape(BANDS, ROWS).astype(np.uint64) * _BAND, axis=1, dtype=np.uint64)).astype(np.int64)
-                out.append((i, len(found), *sums, signature_bytes(least).tobytes(), bands if len(found) else bands[:0]))
-            yield pd.DataFrame(out, columns=["id", "n", "s1", "s2", "sig", "bands"])
+                out.append((row, i, th, len(found), *sums, signature_bytes(least).tobytes(), bands if len(found) else bands[:0]))
+            yield pd.DataFrame(out, columns=["row", "id", "th", "n", "s1", "s2", "sig", "bands"])
 
-    return rows.mapInPandas(sketch, "id long, n long, s1 long, s2 long, sig binary, bands array<long>")
+    return rows.select("row", "id", "th", "text").mapInPandas(sketch, "row long, id long, th long, n long, s1 long, s2 long, sig binary, bands array<long>")
 
 
 def _bayes(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -159,17 +161,20 @@ def _exact(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of edges(a, b): the least node reachable. Label propagation with pointer jumping; each round is a
-    written table, so an executor loss costs one round."""
+    written table, so an executor loss costs one round. Joins are counted, so the center of a large star is no hot key."""
     both = write_table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "cc-labels")
+    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"), F.count("*").alias("degree")), "cc-labels")
+    n_edges, n_nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
-        new = write_table(lower.join(ends, "label", "left").select("node", "old", F.least("label", "end").alias("label")), "cc-labels")
+        ends = labels.select(F.col("node").alias("b"), F.col("label").alias("far"), "degree")
+        near = join_counted(both, ends, ["b"], "degree", n_edges).groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
+        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+        jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("end")).join(sizes, "label")
+        jumped = join_counted(labels, jumps, ["label"], "n", n_nodes)
+        new = write_table(jumped.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "end", "near").alias("label"), "degree"), "cc-labels")
         if not new.filter("label <> old").limit(1).count():
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = new.select("node", "label", "degree")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -178,11 +183,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents whose sets of 5-word shingles have 100 * intersection >= percent * union are linked; a component is named by its smallest id,
     which stays. Steps:
 
-    1. Sketch every whole text; documents with equal sets collapse to a class, so copies cost nothing below.
+    1. Sketch every whole text; rows with equal sets collapse to a class, so copies cost nothing below. A class is named by the place of one of
+       its rows, not by a document's id, so an id with several texts has several classes.
     2. Band the signatures. Each bucket links its members to one center (a star, never all pairs): the member whose buckets
        are the largest together, so copies meet at the text that they come from.
-    3. Compare signatures batch by batch and prune by the posterior bound; then verify on full sets two edges a document, to its
-       likeliest and its most central partner, and unite. Edges inside a component need no check.
+    3. Compare signatures batch by batch and prune by the posterior bound; then verify on full sets two edges a class, to its
+       likeliest and its most central partner, and unite, along with the classes of one id. Edges inside a component need no check.
     4. All other candidates that still cross components are verified: surviving star edges, and in each bucket that holds
        several components every member outside its largest one against the rest. Among buckets of more than SMALL members
        the pairs come from an exact prefix filter instead. So no candidate pair of a bucket is left undecided, and pairs are only
@@ -190,15 +196,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Misses are those of banding (about 5e-6 at similarity 0.75) and of the Bayesian bound (MISS). Null or empty texts, or texts
     without words, are linked with nothing. A null id cannot name a component: the row comes back with a null component and kept. Rows that repeat
-    an id share its component. Other columns are ignored. No rows give no rows.
+    an id are one document: what any of them with words is linked to, all of those are. Other columns are ignored. No rows give no rows.
     """
     threshold = percent / 100
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = write_table(_sketch(rows), "nd-sketch")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    sketches = write_table(_sketch(rows.withColumn("row", F.monotonically_increasing_id())), "nd-sketch")
     facts = sketches.select("id", "n", "s1", "s2")
     whole = facts.filter("n > 0 and id is not null")
-    sets = write_table(whole.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "nd-sets")
-    reps = write_table(sketches.filter("n > 0").join(sets.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").select("id", "n", "sig", "bands").dropDuplicates(["id"]), "nd-reps")
+    total = whole.count()
+    sets = write_table(sketches.filter("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("row").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("members")), "nd-sets")
+    # from here on `id` is a class
+    reps = write_table(sketches.join(sets.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), F.col("id").alias("doc"), "th", "n", "sig", "bands"), "nd-reps")
     banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = write_table(banded.groupBy("band", "key").agg(F.count("*").alias("n_rows")).filter("n_rows > 1"), "nd-buckets")
     n_rows = buckets.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
@@ -210,15 +218,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = write_table(starred.filter("id <> center").select(*pair).distinct(), "nd-stars")
     likely = write_table(_bayes(stars, reps, threshold), "nd-likely")
     ends = likely.select(F.col("a").alias("id"), "a", "b", "m").unionByName(likely.select(F.col("b").alias("id"), "a", "b", "m"))
-    texts = _texts_of(rows, members.select("id").distinct())
+    texts = _texts_of(rows, reps.join(central, "id", "left_semi").select("id", "doc", "th"))
     # to the likeliest partner and to the one of widest reach, where the copies of a text meet
     partner = ends.withColumn("other", F.col("a") + F.col("b") - F.col("id")).join(central.select(F.col("id").alias("other"), "reach"), "other")
     best = partner.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("m", "reach", -F.col("other"))).alias("p"), F.max_by(F.struct("a", "b"), F.struct("reach", "m", -F.col("other"))).alias("q"))
     tried = write_table(best.select(F.explode(F.array("p", "q")).alias("e")).select("e.a", "e.b").distinct(), "nd-first")
-    links = write_table(_exact(tried, texts, percent), "nd-links")
+    links = write_table(_exact(tried, texts, percent).unionByName(_one_document(whole, sets, total)), "nd-links")
     labels = components(links)
-    known = reps.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    known = write_table(known, "nd-known")
+    known = write_table(reps.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "nd-known")
     open_ = _crossing(likely.select("a", "b"), known).join(tried, ["a", "b"], "left_anti")
     mixed = join_counted(members.select("band", "key", "id"), _several(members, known), ["band", "key"], "n_here", n_rows)
     mixed = write_table(mixed.join(known, "id"), "nd-mixed")
@@ -226,37 +233,58 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     minor = few.filter("label <> main").select("band", "key", F.col("id").alias("x"), F.col("label").alias("lx"))
     sides = few.select("band", "key", F.col("id").alias("y"), F.col("label").alias("ly")).join(minor, ["band", "key"]).filter("lx <> ly")
     cross = sides.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    cross = cross.unionByName(_prefix_pairs(mixed.filter(F.col("n_here") > SMALL), reps, texts, percent)).distinct().join(stars, ["a", "b"], "left_anti")
+    cross = cross.unionByName(_prefix_pairs(mixed.filter(F.col("n_here") > SMALL), reps, texts, percent, n_rows)).distinct().join(stars, ["a", "b"], "left_anti")
     more = _bayes(write_table(cross, "nd-cross"), reps, threshold).select("a", "b")
     late = write_table(_exact(write_table(open_.unionByName(more), "nd-open"), texts, percent), "nd-late")
     # components of components: edges between first labels
     names = known.select(F.col("id").alias("a"), F.col("label").alias("la")), known.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     joined = components(late.join(names[0], "a").join(names[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    final = known.join(joined.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select(F.col("id").alias("rep"), F.coalesce("least", "label").alias("component_id"))
-    named = write_table(sets.join(final, "rep").drop("rep"), "nd-named")
-    found = join_counted(whole, named, ["s1", "s2"], "members", whole.count()).select("id", F.col("n").alias("n_shingles"), "component_id")
+    named = _named(sets.join(known.withColumnRenamed("id", "node"), "node"), joined)
+    found = join_counted(whole, named, ["s1", "s2"], "members", total).select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = facts.filter("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents that candidates need, written once."""
-    ids = write_table(ids, "nd-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return write_table(rows.filter("text is not null").join(ids, "id", "left_semi").dropDuplicates(["id"]), "nd-texts")
+def _one_document(whole: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """Edges (a, b) between the classes of an id that has several."""
+    first = F.struct("s1", "s2")
+    repeated = whole.groupBy("id").agg(F.min(first).alias("x"), F.max(first).alias("y"), F.count("*").alias("c")).filter("x <> y").select("id", "c")
+    rows = join_counted(whole, write_table(repeated, "nd-repeated"), ["id"], "c", total).select("id", "s1", "s2").distinct()
+    rows = write_table(rows.join(sets.select("s1", "s2", "node"), ["s1", "s2"]).select("id", "node"), "nd-one-doc")
+    hubs = write_table(rows.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("c")), "nd-hubs")
+    return join_counted(rows, hubs, ["id"], "c", total).filter("node <> a").select("a", F.col("node").alias("b"))
 
 
-def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _named(sets: DataFrame, joined: DataFrame) -> DataFrame:
+    """(s1, s2, members, component_id) of sets(node, s1, s2, least_id, members, label), where joined(node, label) unites labels: the least id under one label."""
+    sets = write_table(sets, "nd-labelled")
+    labels = sets.groupBy("label").agg(F.min("least_id").alias("least"), F.count("*").alias("n_sets"))
+    ends = joined.select(F.col("node").alias("label"), F.col("label").alias("end"))
+    labels = write_table(labels.join(ends, "label", "left").withColumn("end", F.coalesce("end", "label")), "nd-labels")
+    last = write_table(labels.groupBy("end").agg(F.min("least").alias("component_id"), F.count("*").alias("n_labels")), "nd-ends")
+    labels = write_table(join_counted(labels, last, ["end"], "n_labels", labels.count()).select("label", "n_sets", "component_id"), "nd-named")
+    return write_table(join_counted(sets, labels, ["label"], "n_sets", sets.count()).select("s1", "s2", "members", "component_id"), "nd-classes")
+
+
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of wanted(id, doc, th), the classes that candidates need; a class's text is that of a row with its document's id and text hash. Written once."""
+    wanted = write_table(wanted.withColumnsRenamed({"id": "class", "th": "hash"}), "nd-ids")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    found = rows.filter("text is not null").join(wanted, (F.col("id") == F.col("doc")) & (F.col("th") == F.col("hash")))
+    return write_table(found.select(F.col("class").alias("id"), "text").dropDuplicates(["id"]), "nd-texts")
+
+
+def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, n_rows: int) -> DataFrame:
     """Pairs (a, b) across components among the documents of large mixed buckets (band, key, id, label, main), by an exact prefix filter.
 
     Two sets that are similar enough share at least percent / (100 + percent) of both sizes together. So, with shingles in order of
     how many documents have them, rarest first, they share one within the first n - that + 1. A heavily changed copy has only shingles of its own there and makes no pair.
     The filter is exact in any one order of all shingles, so the counts may be rough: they are sums over CELLS hashed cells, whose table is of that size whatever the input.
     """
-    sized = mixed.join(reps.select("id", "n"), "id")
-    least = sized.groupBy("band", "key").agg(F.min("n").alias("least"))
-    docs = sized.join(least, ["band", "key"]).groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min(F.greatest("least", F.ceil(F.col("n") * percent / 100.0 - 1e-9))).alias("least"), F.max((F.col("label") != F.col("main")).cast("int")).alias("minor"))
+    sized = write_table(mixed.join(reps.select("id", "n"), "id"), "nd-sized")
+    least = write_table(sized.groupBy("band", "key").agg(F.min("n").alias("least"), F.count("*").alias("c")), "nd-least")
+    docs = join_counted(sized, least, ["band", "key"], "c", n_rows).groupBy("id").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.min(F.greatest("least", F.ceil(F.col("n") * percent / 100.0 - 1e-9))).alias("least"), F.max((F.col("label") != F.col("main")).cast("int")).alias("minor"))
     need = F.ceil((F.col("n") + F.col("least")) * percent / (100.0 + percent) - 1e-9)
     docs = write_table(docs.withColumn("first", F.col("n") - need + 1), "nd-hot")
 
@@ -285,12 +313,15 @@ def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent:
 
     schema = "id long, h long, label long, minor int, n long, place long"
     heads = write_table(found.select("id", "text", "label", "minor", "n", "first").mapInPandas(head, schema), "nd-hot-heads")
-    one = heads.filter("minor = 1").select(F.col("id").alias("x"), "h", F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    other = heads.select(F.col("id").alias("y"), "h", F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    # shingles that several heads hold; of a common one, the holders are dealt to parts of at most PART and each minor one meets every part
+    counts_ = heads.groupBy("h").agg(F.count("*").alias("c"), F.max("minor").alias("m")).filter("c > 1 and m = 1").drop("m")
+    heads = join_counted(heads, write_table(counts_, "nd-common"), ["h"], "c", heads.count()).withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
+    one = heads.filter("minor = 1").select(F.col("id").alias("x"), "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    other = heads.select(F.col("id").alias("y"), "h", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("place").alias("py"))
     # with both sizes known, the first shared shingle must stand early enough in both
     shared = F.ceil((F.col("nx") + F.col("ny")) * percent / (100.0 + percent) - 1e-9)
     early = (F.col("px") <= F.col("nx") - shared + 1) & (F.col("py") <= F.col("ny") - shared + 1)
-    both = other.join(one, (other["h"] == one["h"]) & (F.col("lx") != F.col("ly")) & early)
+    both = other.join(one, (other["h"] == one["h"]) & (other["part"] == one["part"]) & (F.col("lx") != F.col("ly")) & early)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
