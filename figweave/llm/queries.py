@@ -69,7 +69,7 @@ def op7_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.pareto_mix(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", F.round("expected", 6).alias("expected"))
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
