@@ -7,7 +7,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -159,22 +159,35 @@ def _exact(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInPandas(verify, "a long, b long")
 
 
+def scrambled(x: Column) -> Column:
+    """A one-to-one map of the longs that leaves no order behind: shifts and exclusive ors."""
+    for shift, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+        x = x.bitwiseXOR(shift(x, by))
+    return x
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of each node of edges(a, b): the least node reachable. Label propagation with pointer jumping; each round is a
-    written table, so an executor loss costs one round. Joins are counted, so the center of a large star is no hot key."""
-    both = write_table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = write_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label"), F.count("*").alias("degree")), "cc-labels")
-    n_edges, n_nodes = both.count(), labels.count()
-    while True:
-        ends = labels.select(F.col("node").alias("b"), F.col("label").alias("far"), "degree")
-        near = join_counted(both, ends, ["b"], "degree", n_edges).groupBy(F.col("a").alias("node")).agg(F.min("far").alias("near"))
-        sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-        jumps = labels.select(F.col("node").alias("label"), F.col("label").alias("end")).join(sizes, "label")
-        jumped = join_counted(labels, jumps, ["label"], "n", n_nodes)
-        new = write_table(jumped.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "end", "near").alias("label"), "degree"), "cc-labels")
-        if not new.filter("label <> old").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label", "degree")
+    """(node, label) of each node of edges(a, b): nodes have one label if edges connect them.
+
+    Contraction: every node takes the least of itself and its neighbours as its name, edges then run between names, and those within a name go. Node numbers must be in no order
+    (see scrambled()), so each round at least halves what is left, on average, and most edges take part in one round only. Each round is a written
+    table, so an executor loss costs one round. Edges meet names in counted joins, so the center of a large star is no hot key.
+    """
+    live = write_table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "cc-edges")
+    labels = None
+    while n_edges := live.count():
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        names = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("name"), F.count("*").alias("degree"))
+        names = write_table(names, "cc-names")
+        if labels is None:
+            labels = names.select("node", F.col("name").alias("label"))
+        else:
+            onto = names.select(F.col("node").alias("label"), "name")
+            labels = write_table(labels.join(onto, "label", "left").select("node", F.coalesce("name", "label").alias("label")), "cc-labels")
+        for end in ("a", "b"):
+            live = join_counted(live, names.select(F.col("node").alias(end), F.col("name").alias(f"n{end}"), "degree"), [end], "degree", 2 * n_edges).drop("degree")
+        live = write_table(live.filter("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), "cc-edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0) if labels is None else labels
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -185,14 +198,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Sketch every whole text; rows with equal sets collapse to a class, so copies cost nothing below. A class is named by the place of one of
        its rows, not by a document's id, so an id with several texts has several classes.
-    2. Band the signatures. Each bucket links its members to one center (a star, never all pairs): the member whose buckets
-       are the largest together, so copies meet at the text that they come from.
-    3. Compare signatures batch by batch and prune by the posterior bound; then verify on full sets two edges a class, to its
-       likeliest and its most central partner, and unite, along with the classes of one id. Edges inside a component need no check.
-    4. All other candidates that still cross components are verified: surviving star edges, and in each bucket that holds
-       several components every member outside its largest one against the rest. Among buckets of more than SMALL members
-       the pairs come from an exact prefix filter instead. So no candidate pair of a bucket is left undecided, and pairs are only
-       made where they could matter.
+    2. Band the signatures. Each bucket has one center, the member whose buckets are the largest together, so copies meet at the text that they come from. A class
+       gets two candidates of its buckets' centers (never all pairs): the one with most bands in common and the most central one.
+    3. Compare their signatures batch by batch and prune by the posterior bound, verify the rest on full sets, and unite, along with the
+       classes of one id. Edges inside a component need no check.
+    4. Candidates that still cross components: in each bucket that holds several components every member outside its largest one against the rest, by the same
+       comparison and verification. Among buckets of more than SMALL members the pairs come from an exact prefix filter instead. So no candidate pair of a bucket is left
+       undecided, and pairs are only made where they could matter.
 
     Misses are those of banding (about 5e-6 at similarity 0.75) and of the Bayesian bound (MISS). Null or empty texts, or texts
     without words, are linked with nothing. A null id cannot name a component: the row comes back with a null component and kept. Rows that repeat
@@ -200,7 +212,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     threshold = percent / 100
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
-    sketches = write_table(_sketch(rows.withColumn("row", F.monotonically_increasing_id())), "nd-sketch")
+    sketches = write_table(_sketch(rows.withColumn("row", scrambled(F.monotonically_increasing_id()))), "nd-sketch")
     facts = sketches.select("id", "n", "s1", "s2")
     whole = facts.filter("n > 0 and id is not null")
     total = whole.count()
@@ -212,30 +224,32 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_rows = buckets.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     members = write_table(join_counted(banded, buckets, ["band", "key"], "n_rows", n_rows), "nd-members")
     central = write_table(members.groupBy("id").agg(F.sum("n_rows").alias("reach")), "nd-reach")
-    centers = members.join(central, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("reach", -F.col("id"))).alias("center"), F.count("*").alias("n_rows"))
-    pair = F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")
-    starred = join_counted(members.drop("n_rows"), write_table(centers, "nd-centers"), ["band", "key"], "n_rows", n_rows)
-    stars = write_table(starred.filter("id <> center").select(*pair).distinct(), "nd-stars")
-    likely = write_table(_bayes(stars, reps, threshold), "nd-likely")
-    ends = likely.select(F.col("a").alias("id"), "a", "b", "m").unionByName(likely.select(F.col("b").alias("id"), "a", "b", "m"))
+    centers = members.join(central, "id").groupBy("band", "key").agg(F.max(F.struct("reach", F.bitwise_not("id").alias("c"))).alias("m"), F.count("*").alias("n_rows"))
+    centers = write_table(centers.select("band", "key", "n_rows", F.col("m.reach").alias("reach"), F.bitwise_not("m.c").alias("center")), "nd-centers")
+    starred = join_counted(members.drop("n_rows"), centers, ["band", "key"], "n_rows", n_rows).filter("id <> center")
+    starred = starred.groupBy("id", "center").agg(F.count("*").alias("shared"), F.first("reach").alias("reach"))
+    # to the center of most shared bands, the likeliest to be alike, and to the one of widest reach, where the copies of a text meet
+    best = starred.groupBy("id").agg(F.max_by("center", F.struct("shared", "reach", F.bitwise_not("center"))).alias("p"), F.max_by("center", F.struct("reach", "shared", F.bitwise_not("center"))).alias("q"))
+    picked = best.select("id", F.explode(F.array("p", "q")).alias("center"))
+    tried = write_table(picked.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), "nd-first")
     texts = _texts_of(rows, reps.join(central, "id", "left_semi").select("id", "doc", "th"))
-    # to the likeliest partner and to the one of widest reach, where the copies of a text meet
-    partner = ends.withColumn("other", F.col("a") + F.col("b") - F.col("id")).join(central.select(F.col("id").alias("other"), "reach"), "other")
-    best = partner.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("m", "reach", -F.col("other"))).alias("p"), F.max_by(F.struct("a", "b"), F.struct("reach", "m", -F.col("other"))).alias("q"))
-    tried = write_table(best.select(F.explode(F.array("p", "q")).alias("e")).select("e.a", "e.b").distinct(), "nd-first")
-    links = write_table(_exact(tried, texts, percent).unionByName(_one_document(whole, sets, total)), "nd-links")
+    likely = write_table(_bayes(tried, reps, threshold), "nd-likely")
+    verified, same = _exact(likely, texts, percent), _one_document(whole, sets, total)
+    links = write_table(verified if same is None else verified.unionByName(same), "nd-links")
     labels = components(links)
     known = write_table(reps.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "nd-known")
-    open_ = _crossing(likely.select("a", "b"), known).join(tried, ["a", "b"], "left_anti")
     mixed = join_counted(members.select("band", "key", "id"), _several(members, known), ["band", "key"], "n_here", n_rows)
     mixed = write_table(mixed.join(known, "id"), "nd-mixed")
     few = mixed.filter(F.col("n_here") <= SMALL)
     minor = few.filter("label <> main").select("band", "key", F.col("id").alias("x"), F.col("label").alias("lx"))
     sides = few.select("band", "key", F.col("id").alias("y"), F.col("label").alias("ly")).join(minor, ["band", "key"]).filter("lx <> ly")
     cross = sides.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    cross = cross.unionByName(_prefix_pairs(mixed.filter(F.col("n_here") > SMALL), reps, texts, percent, n_rows)).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _bayes(write_table(cross, "nd-cross"), reps, threshold).select("a", "b")
-    late = write_table(_exact(write_table(open_.unionByName(more), "nd-open"), texts, percent), "nd-late")
+    many = mixed.filter(F.col("n_here") > SMALL)
+    if not many.isEmpty():
+        cross = cross.unionByName(_prefix_pairs(many, reps, texts, percent, n_rows))
+    cross = cross.distinct().join(tried, ["a", "b"], "left_anti")
+    more = write_table(_bayes(write_table(cross, "nd-cross"), reps, threshold), "nd-more")
+    late = write_table(_exact(more, texts, percent), "nd-late")
     # components of components: edges between first labels
     names = known.select(F.col("id").alias("a"), F.col("label").alias("la")), known.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     joined = components(late.join(names[0], "a").join(names[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -245,11 +259,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
-def _one_document(whole: DataFrame, sets: DataFrame, total: int) -> DataFrame:
-    """Edges (a, b) between the classes of an id that has several."""
+def _one_document(whole: DataFrame, sets: DataFrame, total: int) -> DataFrame | None:
+    """Edges (a, b) between the classes of an id that has several; None where no id has."""
     first = F.struct("s1", "s2")
     repeated = whole.groupBy("id").agg(F.min(first).alias("x"), F.max(first).alias("y"), F.count("*").alias("c")).filter("x <> y").select("id", "c")
-    rows = join_counted(whole, write_table(repeated, "nd-repeated"), ["id"], "c", total).select("id", "s1", "s2").distinct()
+    repeated = write_table(repeated, "nd-repeated")
+    if repeated.isEmpty():
+        return None
+    rows = join_counted(whole, repeated, ["id"], "c", total).select("id", "s1", "s2").distinct()
     rows = write_table(rows.join(sets.select("s1", "s2", "node"), ["s1", "s2"]).select("id", "node"), "nd-one-doc")
     hubs = write_table(rows.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("c")), "nd-hubs")
     return join_counted(rows, hubs, ["id"], "c", total).filter("node <> a").select("a", F.col("node").alias("b"))
@@ -325,12 +342,6 @@ def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _crossing(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs whose ends have different labels."""
-    one = pairs.join(known.select(F.col("id").alias("a"), F.col("label").alias("la")), "a")
-    return one.join(known.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").filter("la <> lb").select("a", "b")
-
-
 def _several(members: DataFrame, known: DataFrame) -> DataFrame:
     """Buckets with several labels: band, key, `main` (the label with most members) and `n_here`."""
     counts = members.select("band", "key", "id").join(known, "id").groupBy("band", "key", "label").agg(F.count("*").alias("c"))

@@ -72,9 +72,11 @@ def join_counted(facts: DataFrame, dims: DataFrame, keys: list[str], count: str,
 
     `count` is a dims column: how many fact rows the key has; its sum is at most `total`. Keys with at least
     total/HEAVY rows are HEAVY at most, a proven bound, so they are broadcast and their facts stay where they are.
-    All other keys are too small to skew a shuffle join. Keys must not be null.
+    All other keys are too small to skew a shuffle join. Without heavy keys it is a plain join. Keys must not be null; dims is best a written table, as it is read several times.
     """
     heavy = F.col(count) * F.lit(HEAVY) >= F.lit(total)
+    if dims.filter(heavy).isEmpty():
+        return facts.join(dims, keys)
     hot = F.broadcast(dims.filter(heavy))
     rest = dims.filter(~heavy)
     here = facts.join(hot, keys)

@@ -82,12 +82,20 @@ def test_quality_learns(spark):
 def test_dual_coordinate_descent_separates():
     import numpy as np
 
-    rows = [np.array([0, 2], dtype=np.uint32), np.array([1, 2], dtype=np.uint32)] * 20
+    rows = [quality.packed(np.array(x, dtype=np.uint32)) for x in ([0, 2], [1, 2])] * 20
     y = np.array([True, False] * 20)
     w = quality.dual_coordinate_descent(rows, y, quality.log_count_ratios(rows, y))
     assert w[0] > 0 > w[1]
 
 
+def test_packed_features_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for found in ([], [0], [254], [255], [256], [0, 255, 510, quality.SIZE - 1], sorted(rng.choice(quality.SIZE, 3000, replace=False))):
+        assert quality.unpacked(quality.packed(np.array(found, dtype=np.uint32))).tolist() == list(found)
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_dedup_brute(docs, odd, keep):
     for df in (docs, odd):
@@ -183,6 +191,43 @@ def test_near_dedup_chains_and_groups(spark, monkeypatch, small):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in near_dedup.near_dedup(df).collect()) == components_brute(rows)
 
 
+def test_near_dedup_of_repeated_ids(spark, monkeypatch):
+    """An id with several texts is linked to what any of them is like; with `PART` 1 by way of split shingles."""
+    monkeypatch.setattr(near_dedup, "PART", 1)
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    rnd = random.Random(2)
+    text = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(100)]
+    a, b, c = text(), text(), text()
+    near = lambda w, k: " ".join([*w[:k], "changed", *w[k + 1 :]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(b, 3)), (9, near(a, 50)), (4, near(near(a, 9).split(), 50)), (11, " ".join(c)), (11, " ".join(c)), (12, " ".join(c).upper()), (None, " ".join(a)), (13, ""), (13, near(c, 0)), (14, None), (15, "one two")]
+    got = {(r.id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 96, 4, False), (7, 96, 4, False), (9, 96, 4, False), (4, 96, 4, True), (11, 96, 11, True), (12, 96, 11, False), (None, 96, None, True), (13, 0, 13, True), (13, 96, 11, False), (14, 0, 14, True), (15, 1, 15, True)}
+
+
+def test_components_brute(spark):
+    """Random graphs, a star, a path and a ring; nodes have one label if and only if edges connect them."""
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(140)] + [(1000, 1001 + i) for i in range(50)] + [(2000 + i, 2001 + i) for i in range(60)] + [(3000 + i, 3000 + (i + 1) % 9) for i in range(9)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long").select(*[near_dedup.scrambled(F.col(c)).alias(c) for c in "ab"])
+    label = {r.node: r.label for r in near_dedup.components(df).collect()}
+    raw = {tuple(r)[0]: i for r, i in zip(spark.range(4000).select(near_dedup.scrambled(F.col("id"))).collect(), range(4000))}
+    assert len(raw) == 4000
+    label = {raw[n]: x for n, x in label.items()}
+    name = {i: i for e in edges for i in e}
+
+    def find(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for x, y in edges:
+        name[find(x)] = find(y)
+    assert set(label) >= {i for x, y in edges if x != y for i in (x, y)}
+    pairs = {(find(i), label[i]) for i in label}
+    assert len(pairs) == len({p for p, _ in pairs}) == len({q for _, q in pairs})
+    assert near_dedup.components(df.limit(0)).count() == 0
+
+
 def test_posterior_bound():
     """Pairs at the threshold are pruned with a chance that fits the miss probability, far pairs nearly always."""
     import numpy as np
@@ -252,7 +297,7 @@ def test_signatures_of_long_texts_prune(spark):
     for i in range(20):
         w = [f"w{rng.randrange(100_000)}" for _ in range(2004)]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:1900]))]
-    sketches = near_dedup._sketch(spark.createDataFrame(rows, "id long, text string")).cache()
+    sketches = near_dedup._sketch(spark.createDataFrame(rows, "id long, text string").withColumn("row", F.col("id")).withColumn("th", F.lit(0))).cache()
     pairs = spark.createDataFrame(list(itertools.combinations(range(40), 2)), "a long, b long")
     kept = {(r.a, r.b) for r in near_dedup._bayes(pairs, sketches, 0.75).collect()}
     assert kept == {(2 * i, 2 * i + 1) for i in range(20)}
@@ -349,6 +394,58 @@ def test_mix_reaches_targets(spark, docs, skewed):
     assert again["taken"].tolist() == out.sort_values("id")["taken"].tolist()
 
 
+def copies_brute(rows, target, cap=3.0, tilt=0.5):
+    """Copies of rows (id, size, u) of one source: expected copies by bisection, whole ones certain, the rest in Pareto order while the words fit, the best filler last."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap, mid * n**tilt) * n for _, n, _ in rows if n) < target else (low, mid)
+    expected = {i: min(cap, low * n**tilt) if n else 0.0 for i, n, _ in rows}
+    whole = {i: int(e + 1e-9) for i, e in expected.items()}
+    p = {i: max(0.0, expected[i] - whole[i]) for i in expected}
+    p = {i: v if v > 1e-9 else 0.0 for i, v in p.items()}
+    left = target - sum(whole[i] * n for i, n, _ in rows)
+    order = sorted((u / (1 - u) / (p[i] / (1 - p[i])), i, n) for i, n, u in rows if p[i])
+    drawn, used, rest = set(), 0, []
+    for k, (_, i, n) in enumerate(order):
+        if used + n > left:
+            rest = order[k:]
+            break
+        drawn.add(i)
+        used += n
+    gap = left - used
+    fits = [(abs(n - gap), q, i) for q, i, n in rest if abs(n - gap) < gap]
+    if gap > 0 and fits:
+        drawn.add(min(fits)[2])
+    return {i: whole[i] + (i in drawn) for i in whole}, expected
+
+
+def test_mix_draws_in_pareto_order(spark):
+    """Sizes of one cell are equal here, so the scale is exact; sources take a part, more than all, and all that the cap allows."""
+    rnd = random.Random(8)
+    sizes = {"a": [4, 9, 16, 50, 120, 300], "b": [1, 2, 5, 30], "c": [7, 40, 200], None: [3, 11]}
+    rows = [(100 * k + i, " ".join(["w"] * rnd.choice(sizes[s])), s) for k, s in enumerate(sizes) for i in range((90, 40, 60, 6)[k])] + [(900, None, "a"), (901, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = {r.doc_id: (r.u + 0.5) / 2.0**52 for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(1), "doc_id", F.xxhash64("text")), F.lit(1 << 52)).alias("u")).collect()}
+    got = {r.id: r for r in mixing.pareto_mix(df).collect()}
+    assert len({r.target / r.source_size for r in got.values() if r.source_size}) > 2
+    for s in sizes:
+        mine = [(i, len(words(t)), u[i]) for i, t, x in rows if x == s]
+        copies, expected = copies_brute(mine, got[mine[0][0]].target)
+        assert {i: got[i].copies for i in copies} == copies
+        assert all(got[i].expected == pytest.approx(e, abs=1e-6) for i, e in expected.items())
+
+
+def test_mix_inclusion_frequencies(spark):
+    """Over many documents those of one size are drawn as often as their inclusion probability says."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.array_join(F.array_repeat(F.lit("w"), F.element_at(F.array(*map(F.lit, (2, 8, 30, 100, 400))), (F.col("id") % 5 + 1).cast("int"))), " ").alias("text"),
+                                      F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    out = mixing.pareto_mix(docs).toPandas()
+    for _, g in out.groupby(["source", "size"]):
+        assert g["expected"].nunique() == 1 and g["copies"].mean() == pytest.approx(g["expected"].iloc[0], abs=0.04)
+    assert out.groupby("size")["copies"].mean().is_monotonic_increasing
+
+
 def test_hilbert_curve_is_continuous(spark):
     grid = spark.range(512).select(*[((F.col("id") / 8**k).cast("int") % 8).cast("int").alias(c) for k, c in enumerate("abc")])
     rows = sorted((r.h, (r.a, r.b, r.c)) for r in grid.withColumn("h", sharding.hilbert_index([F.col(c) for c in "abc"], 3)).collect())
@@ -436,6 +533,20 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd, empty):
             assert stage(spark, odd, sf).columns == odd.columns, name
 
 
+def test_mix_stage_shares_copies_among_repeated_rows(spark, sf):
+    import corpus_pipeline as P
+
+    rows = [(1, "a b c d", "s")] * 3 + [(None, "a b c d", "s")] * 2 + [(2, "e f", "s"), (3, None, "s"), (4, "g h i j k l m", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = defaultdict(int)
+    for r in mixing.pareto_mix(df).collect():
+        want[r.id] += r.copies
+    got = defaultdict(int)
+    for r in P.mix_stage(spark, df, sf).collect():
+        got[r.doc_id] += 1
+    assert got == {i: n for i, n in want.items() if n}
+
+
 def test_tables_can_be_dropped(spark):
     rows = write_table(spark.range(5).toDF("x"), "drop")
     assert rows.count() == 5
