@@ -25,7 +25,11 @@ FRAGMENTS = {
 MASSES = {"H": 1.008, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "Br": 79.904, "I": 126.904}
 #: The published atom-wise SMILES token pattern.
 SMILES_TOKEN = r"\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|%[0-9]{2}|[0-9]"
-FORMULA_TOKEN = "(" + "|".join(re.escape(x) for x in FRAGMENTS) + r"|R[0-9]*|[A-Z][a-z]+|[A-Z]|[0-9]+|\(|\))"
+#: What a condensed formula is made of: known names (in the table's order, so that the first that fits is taken), R-sites, elements, counts and brackets.
+FORMULA_PARTS = {"name": "|".join(map(re.escape, FRAGMENTS)), "site": r"R\d*", "element": "[A-Z][a-z]*", "count": r"\d+", "bracket": "[()]"}
+FORMULA_TOKEN = "(" + "|".join(FORMULA_PARTS.values()) + ")"
+#: Counts with more digits are no formula.
+COUNT_DIGITS = 4
 
 
 def bare(symbol: Column) -> Column:
@@ -56,3 +60,68 @@ def expand_symbol(symbol: Column, fragment: Column) -> Column:
 def without_locants(value: Column) -> Column:
     """2-ClC6H4 becomes ClC6H4."""
     return F.regexp_replace(value, r"^[0-9,]+-", "")
+
+
+def formula_tokens(formula: Column) -> Column:
+    return F.regexp_extract_all(formula, F.lit(FORMULA_TOKEN), 1)
+
+
+def _is_count(token: Column) -> Column:
+    return F.regexp_like(token, F.lit(r"^\d+$"))
+
+
+def symbol_counts(formula: Column) -> Column:
+    """array<struct<symbol, n>> of a condensed formula with brackets to any depth: from the right, a stack of factors, each closing bracket's count on top of the ones around it."""
+    start = F.struct(F.array(F.lit(1).cast("long")).alias("factors"), F.lit(1).cast("long").alias("count"), F.array().cast("array<struct<symbol:string,n:bigint>>").alias("found"))
+
+    def step(at, token):
+        top = F.element_at(at["factors"], -1)
+        outer = F.when(F.size(at["factors"]) > 1, F.slice(at["factors"], F.lit(1), F.size(at["factors"]) - 1)).otherwise(at["factors"])
+        factors = F.when(token == ")", F.array_append(at["factors"], top * at["count"])).when(token == "(", outer).otherwise(at["factors"])
+        count = F.when(_is_count(token), F.left(token, F.lit(COUNT_DIGITS + 1)).try_cast("long")).otherwise(F.lit(1).cast("long"))
+        symbol = F.struct(token.alias("symbol"), (top * at["count"]).alias("n"))
+        found = F.when(_is_count(token) | token.isin("(", ")"), at["found"]).otherwise(F.array_append(at["found"], symbol))
+        return F.struct(factors.alias("factors"), count.alias("count"), found.alias("found"))
+
+    return F.when(is_formula(formula), F.aggregate(F.reverse(formula_tokens(formula)), start, step)["found"])
+
+
+def is_formula(formula: Column) -> Column:
+    """Brackets close what they open, and no count has more than COUNT_DIGITS digits."""
+    open_ = F.aggregate(formula_tokens(formula), F.lit(0), lambda n, t: F.when(n < 0, n).otherwise(n + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)))
+    return (open_ == 0) & ~F.regexp_like(formula, F.lit(r"\d{%d}" % (COUNT_DIGITS + 1)))
+
+
+def formula_atoms(formula: Column) -> Column:
+    """A condensed formula as its atoms in order, runs of carbon spread: C2H4O gives C, H, H, C, H, H, O. A run shares out what stands behind it evenly, the rest at the end; brackets to any
+    depth are repeated whole. Null for what is no formula."""
+    none = F.array().cast("array<string>")
+    level = lambda out, run: F.struct(out.alias("out"), run.cast("int").alias("run"))
+    times = lambda unit, n: F.flatten(F.array_repeat(unit, n))
+    carbon = F.array(F.lit("C"))
+
+    def put(levels, unit, n):
+        """levels with n times unit on the innermost one; a run of carbon waits for what follows it."""
+        top = F.element_at(levels, -1)
+        spread = F.concat(top["out"], times(F.concat(carbon, times(unit, F.floor(n / top["run"]).cast("int"))), top["run"]), times(unit, (n % top["run"]).cast("int")))
+        starts_run = (unit == carbon) & (n > 1)
+        new = F.when(top["run"] > 0, level(spread, F.lit(0))).when(starts_run, level(top["out"], n)).otherwise(level(F.concat(top["out"], times(unit, n)), F.lit(0)))
+        return F.array_append(F.slice(levels, F.lit(1), F.size(levels) - 1), new)
+
+    def settled(levels):
+        """What the innermost level holds, a waiting run of carbon included."""
+        top = F.element_at(levels, -1)
+        return F.concat(top["out"], times(carbon, top["run"]))
+
+    start = F.struct(F.array(level(none, F.lit(0))).alias("levels"), F.lit(None).cast("array<string>").alias("unit"))
+
+    def step(at, token):
+        done = F.when(at["unit"].isNull(), at["levels"]).otherwise(put(at["levels"], at["unit"], F.lit(1)))
+        counted = F.when(at["unit"].isNull(), at["levels"]).otherwise(put(at["levels"], at["unit"], F.left(token, F.lit(COUNT_DIGITS)).try_cast("int")))
+        inside = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        levels = F.when(_is_count(token), counted).when(token == "(", F.array_append(done, level(none, F.lit(0)))).when(token == ")", inside).otherwise(done)
+        unit = F.when(_is_count(token) | (token == "("), F.lit(None).cast("array<string>")).when(token == ")", settled(done)).otherwise(F.array(token))
+        return F.struct(levels.alias("levels"), unit.alias("unit"))
+
+    end = lambda at: settled(F.when(at["unit"].isNull(), at["levels"]).otherwise(put(at["levels"], at["unit"], F.lit(1))))
+    return F.when(is_formula(formula), F.aggregate(formula_tokens(formula), start, step, end))

@@ -29,23 +29,23 @@ def iou(a: str, b: str) -> Column:
     return F.when((wide < 0) | (high < 0), 0.0).otherwise(both / (area(a) + area(b) - both))
 
 
-def overlaps(left: DataFrame, right: DataFrame, grid: int | None = None) -> DataFrame:
-    """(image_id, i, j, ci, cj, iou) for each left box i and right box j of one image that touch.
+def overlaps(left: DataFrame, right: DataFrame, grid: int | None = None, within: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """(image_id, i, j, ci, cj, iou) for each left box i and right box j of one image (or of one group `within`) that touch.
 
     grid: splits an image into grid x grid cells that are part of the join key, for images with very many boxes; a pair counts in
     the cell of its intersection's upper left corner only.
     """
     side = lambda df, k: df.select(
-        "image_id", F.col("box_idx").alias("i" if k == "a" else "j"), F.col("category_id").alias("ci" if k == "a" else "cj"), *[F.col(c).alias(k + c) for c in CORNERS])
-    a, b, keys = side(left, "a"), side(right, "b"), ["image_id"]
+        *within, F.col("box_idx").alias("i" if k == "a" else "j"), F.col("category_id").alias("ci" if k == "a" else "cj"), *[F.col(c).alias(k + c) for c in CORNERS])
+    a, b, keys = side(left, "a"), side(right, "b"), [*within]
     touch = (F.col("ax1") <= F.col("bx2")) & (F.col("bx1") <= F.col("ax2")) & (F.col("ay1") <= F.col("by2")) & (F.col("by1") <= F.col("ay2"))
     if grid:
         cell = lambda v: F.floor(v * grid).cast("int")
         spread = lambda df, k: df.withColumn("gx", F.explode(F.sequence(cell(F.col(f"{k}x1")), cell(F.col(f"{k}x2"))))).withColumn(
             "gy", F.explode(F.sequence(cell(F.col(f"{k}y1")), cell(F.col(f"{k}y2")))))
-        a, b, keys = spread(a, "a"), spread(b, "b"), ["image_id", "gx", "gy"]
+        a, b, keys = spread(a, "a"), spread(b, "b"), [*within, "gx", "gy"]
         touch = touch & (F.col("gx") == cell(F.greatest("ax1", "bx1"))) & (F.col("gy") == cell(F.greatest("ay1", "by1")))
-    return a.join(b, keys).filter(touch).select("image_id", "i", "j", "ci", "cj", iou("a", "b").alias("iou"))
+    return a.join(b, keys).filter(touch).select(*within, "i", "j", "ci", "cj", iou("a", "b").alias("iou"))
 
 
 def best_match(pairs: DataFrame, side: str, threshold: float = 0.5) -> DataFrame:
@@ -82,14 +82,12 @@ def greedy_keep(items: DataFrame, conflicts: DataFrame, group: list[str], order:
     return items.join(dropped, [*group, order], "left_anti")
 
 
-def dedup_greedy(ordered: DataFrame, limit: float = 0.6) -> DataFrame:
-    """ordered(image_id, box_idx, category_id, corners, ord) without empty boxes and without those above `limit` with an earlier kept box."""
+def dedup_greedy(ordered: DataFrame, limit: float = 0.6, within: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """ordered(image_id, box_idx, category_id, corners, ord) without empty boxes and without those above `limit` with an earlier kept box of the same group `within`."""
     full = ordered.filter(~is_empty())
-    pairs = overlaps(full, full).filter((F.col("iou") > limit) & (F.col("i") != F.col("j")))
-    place = full.select("image_id", "box_idx", "ord")
-    pairs = pairs.join(place.select("image_id", F.col("box_idx").alias("i"), "ord"), ["image_id", "i"]).join(
-        place.select("image_id", F.col("box_idx").alias("j"), F.col("ord").alias("earlier")), ["image_id", "j"])
-    return greedy_keep(full, pairs.filter("earlier < ord").select("image_id", "ord", "earlier"), ["image_id"], "ord")
+    places = full.withColumn("box_idx", F.col("ord"))
+    pairs = overlaps(places, places, within=within).filter((F.col("iou") > limit) & (F.col("j") < F.col("i")))
+    return greedy_keep(full, pairs.select(*within, F.col("i").alias("ord"), F.col("j").alias("earlier")), [*within], "ord")
 
 
 def transforms(boxes: DataFrame, width: float, height: float) -> DataFrame:
@@ -112,6 +110,24 @@ def resized(width: Column, height: Column, short: int, long: int) -> Column:
     return F.least(F.lit(float(short)) / low, F.lit(float(long)) / high)
 
 
+def resize_scaled(boxes: DataFrame, width: Column, height: Column, short: int, long: int) -> DataFrame:
+    """Pixel boxes of an image of width x height, scaled by how far each side goes when it is resized; sides become whole pixels, so the two ratios may differ a little."""
+    factor = resized(width, height, short, long)
+    rx, ry = F.floor(width * factor) / width, F.floor(height * factor) / height
+    return boxes.withColumns({c: F.col(c) * (rx if c[0] == "x" else ry) for c in CORNERS}).withColumns({"ratio_x": rx, "ratio_y": ry})
+
+
+def padded(boxes: DataFrame, width: Column, height: Column, right: int, bottom: int) -> DataFrame:
+    """Boxes in 0..1 on an image that gets `right` and `bottom` more pixels at those sides: pixels stay, shares shrink."""
+    return boxes.withColumns({c: F.col(c) * (width / (width + right) if c[0] == "x" else height / (height + bottom)) for c in CORNERS})
+
+
+def pdf_points(boxes: DataFrame, page_height: float, image_dpi: float = 200.0, pdf_dpi: float = 72.0) -> DataFrame:
+    """Pixel boxes of a page image as points of the page, whose y runs upward: the lower edge comes first."""
+    by = pdf_dpi / image_dpi
+    return boxes.withColumns({"x1": F.col("x1") * by, "x2": F.col("x2") * by, "y1": page_height - F.col("y2") * by, "y2": page_height - F.col("y1") * by})
+
+
 def quantise(value: Column, bins: int = 2000) -> Column:
     """Coordinate 0..1 to a bin, half to even; within 0.001 outside it is clamped, farther out it is -1."""
     inside = F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
@@ -128,6 +144,16 @@ def reading_order(boxes: DataFrame, scale: float = 1000.0, band: float = 500.0)
     return boxes.withColumn("place", F.row_number().over(order) - 1)
 
 
+def reading_order_groups(boxes: DataFrame, scale: float = 1000.0, band: float = 500.0) -> DataFrame:
+    """boxes with `place`, where a molecule or text box moves with the boxes behind it, up to the next one, as a group: groups by band and x1 of their first box, then boxes by index. Boxes
+    before the first such box are a group of their own."""
+    order = W.partitionBy("image_id").orderBy("box_idx")
+    opens = F.col("category_id").isin(1, 2) | (F.row_number().over(order) == 1)
+    head = F.last(F.when(opens, F.struct(F.floor(F.col("y1") * scale / band).alias("band"), "x1", "box_idx")), ignorenulls=True).over(order)
+    rows = boxes.withColumn("head", head)
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("image_id").orderBy("head", "box_idx")) - 1).drop("head")
+
+
 def coref_links(boxes: DataFrame) -> DataFrame:
     """(image_id, mol_idx, idt_idx): each run of category-3 boxes right after a category 1 or 2 box links to it; a 4 breaks the run."""
     order = W.partitionBy("image_id").orderBy("box_idx")

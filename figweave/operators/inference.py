@@ -2,26 +2,59 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: DataFrame functions by name.
-TOOLS: dict[str, Callable] = {}
+@dataclass(frozen=True)
+class Tool:
+    """A DataFrame function that is called by name: what it does and its parameters as JSON types by name."""
 
+    name: str
+    call: Callable
+    description: str = ""
+    parameters: dict[str, str] = field(default_factory=dict)
 
-def tool(f: Callable) -> Callable:
-    """Registers a DataFrame function as a tool under its name."""
-    TOOLS[f.__name__] = f
-    return f
+
+TOOLS: dict[str, Tool] = {}
+#: Python types of JSON types.
+JSON_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+
+
+def tool(f: Callable | None = None, *, name: str | None = None, description: str | None = None, parameters: dict[str, str] | None = None) -> Callable:
+    """Registers a DataFrame function as a tool, under its own name and docstring unless others are given."""
+    def add(g: Callable) -> Callable:
+        TOOLS[name or g.__name__] = Tool(name or g.__name__, g, description or (g.__doc__ or "").strip(), dict(parameters or {}))
+        return g
+
+    return add if f is None else add(f)
 
 
 def call_tool(name: str, *args, **kwargs):
+    """The named tool's result; a name that no tool has raises."""
     if name not in TOOLS:
         raise KeyError(f"no such tool: {name}; there are {', '.join(sorted(TOOLS))}")
-    return TOOLS[name](*args, **kwargs)
+    return TOOLS[name].call(*args, **kwargs)
+
+
+def dispatch(name: str, arguments: str, *args):
+    """Calls a tool with arguments in JSON, behind `args` (its input frames); arguments must be the tool's parameters, with their types."""
+    given = json.loads(arguments or "{}")
+    wanted = TOOLS[name].parameters if name in TOOLS else {}
+    wrong = [k for k, v in given.items() if k not in wanted or not isinstance(v, JSON_TYPES[wanted[k]])]
+    if name in TOOLS and wrong:
+        raise TypeError(f"{name} does not take {', '.join(sorted(wrong))} so; it takes {wanted}")
+    return call_tool(name, *args, **given)
+
+
+def tool_table(spark: SparkSession) -> DataFrame:
+    """(name, description, parameters) of all tools, parameters as JSON schema: what a model is told."""
+    schema = lambda t: json.dumps({"type": "object", "properties": {k: {"type": v} for k, v in t.parameters.items()}, "required": sorted(t.parameters)})
+    return spark.createDataFrame([(t.name, t.description, schema(t)) for _, t in sorted(TOOLS.items())], "name string, description string, parameters string")
 
 
 def apply_batched(df: DataFrame, load: Callable[[], Callable[[list], list[tuple]]], column: str, schema: str, batch_size: int = 16) -> DataFrame:
@@ -74,6 +107,21 @@ def violations(reactions: DataFrame, given: DataFrame, answered: DataFrame) -> D
     return sides.filter("p = 0").select("image_id", text("product")).unionByName(sides.filter("r = 0").select("image_id", text("reactant"))).unionByName(lost)
 
 
+def number_violations(labels: DataFrame) -> DataFrame:
+    """(image_id, violation) of labels(image_id, role, label): products whose number is not that of a `product template` of their image, where it has one."""
+    numbers = labels.select("image_id", "role", F.regexp_extract("label", r"^(\d+)", 1).alias("number")).distinct()
+    templates = numbers.filter("role = 'product template'").select("image_id", "number")
+    odd = numbers.filter("role = 'product'").join(templates.select("image_id").distinct(), "image_id", "left_semi").join(templates, ["image_id", "number"], "left_anti")
+    return odd.select("image_id", F.concat(F.lit("product "), "number", F.lit(" has another number than the template")).alias("violation"))
+
+
+def count_violations(given: DataFrame, answered: DataFrame, of: str, to: str) -> DataFrame:
+    """(image_id, violation) where an image has another number of rows in `answered` than in `given`."""
+    n = lambda df, c: df.groupBy("image_id").agg(F.count("*").alias(c))
+    both = n(given, "g").join(n(answered, "a"), "image_id", "left").na.fill(0, ["a"]).filter("g <> a")
+    return both.select("image_id", F.concat(F.col("g").cast("string"), F.lit(f" {of}, "), F.col("a").cast("string"), F.lit(f" {to}")).alias("violation"))
+
+
 def parse_or_reject(df: DataFrame, column: str, schema: str, reason: str) -> tuple[DataFrame, DataFrame]:
     """(good, rejects): good has `parsed`, a struct of the JSON in `column`; rejects has the reason."""
     first = schema.split()[0]

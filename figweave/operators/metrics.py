@@ -12,19 +12,22 @@ from pyspark.sql import Window as W
 
 from figweave.functions.chemistry import normal_smiles
 from figweave.functions.lineage import cut
+from figweave.functions.ordering import ranked
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
 def smiles_scores(pairs: DataFrame) -> DataFrame:
-    """One row of scores of pairs(gold, pred), both canonical text: shares of valid and exact predictions, without chirality, without geometry, and on chiral golds (-1 without any)."""
+    """One row of scores of pairs(gold, pred), both canonical text: shares of valid golds and predictions, of exact predictions, without chirality, without geometry, and on chiral golds (-1 without
+    any). A null or empty gold is not valid and counts as `<empty>`, so that no prediction equals it."""
+    pairs = pairs.withColumn("gold", F.when(F.col("gold") != "", F.col("gold")).otherwise("<empty>"))
     share = lambda c: F.avg(c.cast("int"))
     same = F.col("gold") == F.col("pred")
     plain = lambda c, **k: normal_smiles(F.col(c), **k)
     chiral = F.contains("gold", F.lit("@"))
     return pairs.agg(
-        F.count("*").alias("n"), share(F.col("pred") != "").alias("valid"), share(same).alias("exact"), share(plain("gold", stereo=True) == plain("pred", stereo=True)).alias("no_chirality"),
+        F.count("*").alias("n"), share(F.col("gold") != "<empty>").alias("gold_valid"), share(F.col("pred") != "").alias("valid"), share(same).alias("exact"), share(plain("gold", stereo=True) == plain("pred", stereo=True)).alias("no_chirality"),
         share(plain("gold", chiral=True) == plain("pred", chiral=True)).alias("no_geometry"), share(chiral).alias("chiral_share"), F.coalesce(F.avg(F.when(chiral, same.cast("int"))), F.lit(-1.0)).alias("chiral_exact"))
 
 
@@ -36,12 +39,20 @@ def topk_accuracy(rows: DataFrame, key: str, ks: tuple[int, ...]) -> DataFrame:
     return placed.groupBy("k").agg((F.avg((F.col("place") < F.col("k")).cast("int")) * 100).alias("accuracy"))
 
 
-def rolling(rows: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
-    """rows with the lower median, mean, maximum and last value of the last `size` rows of a key, and the key's mean over all."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(1 - size, 0)
-    held = F.sort_array(F.collect_list(value).over(w))
-    return rows.withColumn("_h", held).withColumn("median", F.element_at("_h", F.floor((F.size("_h") + 1) / 2).cast("int"))).withColumn("mean", F.avg(value).over(w)).withColumn(
-        "max", F.array_max("_h")).withColumn("last", F.col(value)).withColumn("total_mean", F.avg(value).over(W.partitionBy(key))).drop("_h")
+def rolling(rows: DataFrame, key: str, order: list[str], value: str, size: int, chunk: int = 100_000) -> DataFrame:
+    """rows with the lower median, mean, maximum and last value of the last `size` rows of a key, and the key's mean over all.
+
+    A key's rows are windowed in chunks of its order; the last size - 1 rows of a chunk also go to the next one as its halo, so a key with most rows is many tasks.
+    """
+    placed = ranked(rows, order, key).withColumn("_chunk", F.floor(F.col("rank") / chunk))
+    late = F.col("rank") % chunk >= chunk - size + 1
+    mine, more = F.struct(F.col("_chunk").alias("c"), F.lit(False).alias("halo")), F.struct((F.col("_chunk") + 1).alias("c"), F.lit(True).alias("halo"))
+    dealt = placed.withColumn("_to", F.explode(F.when(late, F.array(mine, more)).otherwise(F.array(mine))))
+    w = W.partitionBy(key, "_to.c").orderBy("rank").rowsBetween(1 - size, 0)
+    dealt = dealt.withColumn("_h", F.sort_array(F.collect_list(value).over(w))).withColumn("mean", F.avg(value).over(w)).filter("not _to.halo")
+    total = rows.groupBy(key).agg(F.avg(value).alias("total_mean"))
+    out = dealt.withColumn("median", F.element_at("_h", F.floor((F.size("_h") + 1) / 2).cast("int"))).withColumn("max", F.array_max("_h")).withColumn("last", F.col(value))
+    return out.drop("_h", "_to", "_chunk", "rank").join(total, key)
 
 
 def weighted_mean(rows: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
@@ -62,26 +73,29 @@ def _matches(batch: pd.DataFrame, scale: float) -> pd.DataFrame:
     high = np.clip(np.minimum(p[..., 3], g[..., 3]) - np.maximum(p[..., 1], g[..., 1]), 0, None)
     size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
     iou = wide * high / (size(p) + size(g) - wide * high)
-    out = []
-    for name, (low, top) in AREAS.items():
-        skip = (size(g)[0] * scale < low) | (size(g)[0] * scale >= top)
-        for t in THRESHOLDS:
-            taken = np.zeros(len(gold), dtype=bool)
-            for k, score in enumerate(pred["score"]):
-                best = -1
-                for ignored in (False, True):  # an ignored gold box is taken only where no other fits
-                    fit = np.flatnonzero((iou[k] >= min(t, 1 - 1e-10)) & ~taken & (skip == ignored))
-                    if len(fit):
-                        best = fit[np.argmax(iou[k][fit])]
-                        break
-                if best >= 0:
-                    taken[best] = True
-                    if not skip[best]:
-                        out.append((name, t, k, float(score), 1, 0))
-                elif low <= float(size(p)[k, 0] * scale) < top:
-                    out.append((name, t, k, float(score), 0, 0))
-            out.append((name, t, -1, 0.0, 0, int((~skip).sum())))
-    return pd.DataFrame(out, columns=["area", "threshold", "place", "score", "tp", "n_gold"]).assign(image_id=batch["image_id"].iloc[0])
+    names, thresholds = list(AREAS), np.array(THRESHOLDS)
+    low, high = (np.array([AREAS[n][k] for n in names])[:, None] for k in (0, 1))
+    skip = (size(g)[0] * scale < low) | (size(g)[0] * scale >= high)  # gold boxes by area range
+    inside = (size(p)[:, 0] * scale >= low) & (size(p)[:, 0] * scale < high)
+    taken = np.zeros((len(names), len(thresholds), len(gold)), dtype=bool)  # all area ranges and thresholds at once
+    found = []
+    for k, score in enumerate(pred["score"] if len(gold) else []):
+        fit = (iou[k] >= np.minimum(thresholds, 1 - 1e-10)[:, None]) & ~taken
+        own, ignored = fit & ~skip[:, None], fit & skip[:, None]  # an ignored gold box is taken only where no other fits
+        hit, lost = own.any(axis=2), ignored.any(axis=2)
+        best = np.where(np.where(hit[..., None], own, ignored), iou[k], -1.0).argmax(axis=2)
+        a, t = np.nonzero(hit | lost)
+        taken[a, t, best[a, t]] = True
+        a, t = np.nonzero(hit | (~lost & inside[:, k : k + 1]))
+        found.append((a, t, np.full(len(a), k), np.full(len(a), float(score)), hit[a, t].astype(int)))
+    if not len(gold):
+        a, k = np.nonzero(inside)
+        found = [(np.repeat(a, len(thresholds)), np.tile(np.arange(len(thresholds)), len(a)), np.repeat(k, len(thresholds)), np.repeat(pred["score"].to_numpy()[k], len(thresholds)), np.zeros(len(a) * len(thresholds), dtype=int))]
+    a, t = (x.ravel() for x in np.indices((len(names), len(thresholds))))
+    found.append((a, t, np.full(len(a), -1), np.zeros(len(a)), np.zeros(len(a), dtype=int)))
+    a, t, place, score, tp = (np.concatenate(x) for x in zip(*found))
+    n_gold = np.where(place < 0, (~skip).sum(axis=1)[a], 0)
+    return pd.DataFrame({"area": np.array(names, dtype=object)[a], "threshold": thresholds[t], "place": place, "score": score, "tp": tp, "n_gold": n_gold, "image_id": batch["image_id"].iloc[0]})
 
 
 def detection_matches(gold: DataFrame, pred: DataFrame, scale: float) -> DataFrame:
@@ -92,28 +106,37 @@ def detection_matches(gold: DataFrame, pred: DataFrame, scale: float) -> DataFra
     return rows.groupBy("image_id").applyInPandas(lambda b: _matches(b, scale), schema)
 
 
-def average_precision(matches: DataFrame, cells: int = 1000, most: int = 100) -> DataFrame:
-    """(area, threshold, ap, recall): interpolated precision at 101 recall points. At most `most` predictions an image count.
+def average_precision(matches: DataFrame, cells: int = 1000, most: tuple[int, ...] = (100,)) -> DataFrame:
+    """(area, threshold, most, ap, recall): interpolated precision at 101 recall points. For each of `most`, at most so many predictions an image count.
 
-    The curve runs over scores in order; equal (rounded to 1/cells) scores share a step, so what is sorted is bounded by `cells` and not by the predictions.
+    The curve has a step for each distinct score. It is made in two levels, so that no task sorts all scores: sums and maxima of `cells` score cells, and the steps inside
+    each cell.
     """
-    steps = matches.filter((F.col("place") >= 0) & (F.col("place") < most)).groupBy("area", "threshold", F.round(F.col("score") * cells).alias("s")).agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
-    totals = matches.groupBy("area", "threshold").agg(F.sum("n_gold").alias("gold"))
-    down = W.partitionBy("area", "threshold").orderBy(F.desc("s"))
-    up = W.partitionBy("area", "threshold").orderBy("s")
-    curve = steps.join(totals, ["area", "threshold"]).filter("gold > 0").withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down))
-    curve = curve.withColumn("recall", F.col("ctp") / F.col("gold")).withColumn("envelope", F.max(F.col("ctp") / F.col("cn")).over(up))
-    points = curve.withColumn("from", F.coalesce(F.lag("recall").over(down), F.lit(-0.01)))
-    reached = points.filter("recall > from").withColumn("n_points", F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.col("from") * 100 + 1e-9))
-    got = reached.groupBy("area", "threshold").agg((F.sum(F.col("envelope") * F.greatest("n_points", F.lit(0))) / 101).alias("ap"), F.max("recall").alias("recall"))
-    return totals.filter("gold > 0").join(got, ["area", "threshold"], "left").na.fill(0.0, ["ap", "recall"]).drop("gold")
+    curve_of = ["area", "threshold", "most"]
+    cell = [*curve_of, "cell"]
+    matches = matches.withColumn("most", F.explode(F.array(*map(F.lit, most))))
+    steps = matches.filter((F.col("place") >= 0) & (F.col("place") < F.col("most"))).groupBy(*curve_of, "score").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")).withColumn("cell", F.floor(F.col("score") * cells))
+    totals = matches.groupBy(*curve_of).agg(F.sum("n_gold").alias("gold"))
+    higher = W.partitionBy(*curve_of).orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
+    lower = W.partitionBy(*curve_of).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    sums = steps.groupBy(*cell).agg(F.sum("tp").alias("ctp"), F.sum("n").alias("cn"))
+    sums = sums.select(*cell, *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"before_{c}") for c in ("ctp", "cn")])
+    down, up = W.partitionBy(*cell).orderBy(F.desc("score")), W.partitionBy(*cell).orderBy("score")
+    curve = steps.join(sums, cell).withColumn("ctp", F.col("before_ctp") + F.sum("tp").over(down)).withColumn("cn", F.col("before_cn") + F.sum("n").over(down))
+    curve = curve.withColumn("precision", F.col("ctp") / F.col("cn"))
+    tops = curve.groupBy(*cell).agg(F.max("precision").alias("top"))
+    tops = tops.select(*cell, F.coalesce(F.max("top").over(lower), F.lit(0.0)).alias("later"))
+    curve = curve.withColumn("envelope", F.max("precision").over(up)).join(tops, cell).join(totals, curve_of).filter("gold > 0 and tp > 0")
+    recall, start = F.col("ctp") / F.col("gold"), F.when(F.col("ctp") == F.col("tp"), F.lit(-0.01)).otherwise((F.col("ctp") - F.col("tp")) / F.col("gold"))
+    points = F.floor(recall * 100 + 1e-9) - F.floor(start * 100 + 1e-9)
+    got = curve.groupBy(*curve_of).agg((F.sum(F.greatest("envelope", "later") * points) / 101).alias("ap"), F.max(recall).alias("recall"))
+    return totals.filter("gold > 0").join(got, curve_of, "left").na.fill(0.0, ["ap", "recall"]).drop("gold")
 
 
 def detection_summary(gold: DataFrame, pred: DataFrame, scale: float) -> DataFrame:
     """(name, value): the twelve summary numbers; 0 without predictions, -1 for an area without gold boxes."""
     matches = cut(detection_matches(gold, pred, scale))
-    by_cut = [average_precision(matches, most=n).withColumn("most", F.lit(n)) for n in (1, 10, 100)]
-    rows = by_cut[0].unionByName(by_cut[1]).unionByName(by_cut[2])
+    rows = average_precision(matches, most=(1, 10, 100))
     at = lambda v, area="all", t=None, most=100: F.coalesce(F.avg(F.when((F.col("area") == area) & (F.col("most") == most) & (F.lit(True) if t is None else F.col("threshold") == t), F.col(v))), F.lit(-1.0))
     names = {"AP": at("ap"), "AP50": at("ap", t=0.5), "AP75": at("ap", t=0.75), "AP_small": at("ap", "small"), "AP_medium": at("ap", "medium"), "AP_large": at("ap", "large"),
              "AR1": at("recall", most=1), "AR10": at("recall", most=10), "AR100": at("recall"), "AR_small": at("recall", "small"), "AR_medium": at("recall", "medium"), "AR_large": at("recall", "large")}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from figweave.functions.chemistry import FRAGMENTS, MASSES, bare, expand_symbol
+from figweave.functions.chemistry import FRAGMENTS, MASSES, bare, expand_symbol, is_formula, symbol_counts, without_locants
 from figweave.functions.lineage import cut
 
 
@@ -51,6 +51,12 @@ def normalise_points(points: DataFrame, flip_y: bool = True) -> DataFrame:
     return points.select("mol_id", "atom_idx", scale("x").alias("x"), y.alias("y"))
 
 
+def from_grid(cells: DataFrame, bins: int) -> DataFrame:
+    """(mol_id, atom_idx, x, y, symbol) of grid cells (mol_id, gx, gy, symbol), column by column."""
+    place = F.row_number().over(W.partitionBy("mol_id").orderBy("gx", "gy")) - 1
+    return cells.select("mol_id", place.alias("atom_idx"), (F.col("gx") / F.lit(bins - 1.0)).alias("x"), (F.col("gy") / F.lit(bins - 1.0)).alias("y"), "symbol")
+
+
 def is_element() -> Column:
     return F.regexp_like("symbol", F.lit("^[A-Z][a-z]?$"))
 
@@ -130,12 +136,15 @@ def pattern(atoms: DataFrame, edges: DataFrame, symbols: list[str], links: list[
     return rows.select("mol_id", *[f"m{k}" for k in range(len(symbols))])
 
 
-def site_subsets(sites: DataFrame, limit: int = 10) -> DataFrame:
-    """sites(mol_id, n) with every subset of 0..n-1 taken as hydrogen: smallest first, descending inside a size. (mol_id, place, members)."""
-    masks = sites.filter(F.col("n") <= limit).withColumn("mask", F.explode(F.sequence(F.lit(0), F.expr("(1 << cast(n as int)) - 1"))))
+def site_subsets(sites: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(subsets, rejects) of sites(mol_id, n): every subset of 0..n-1 taken as hydrogen, smallest first, descending inside a size (mol_id, place, members); molecules with more than `limit` sites,
+    which would make more than 2**limit rows each, are rejects (mol_id, n, reason)."""
+    few = F.col("n") <= limit
+    masks = sites.filter(few).withColumn("mask", F.explode(F.sequence(F.lit(0), F.expr("(1 << cast(n as int)) - 1"))))
     rows = masks.withColumn("members", F.expr("filter(if(n > 0, sequence(cast(n as int) - 1, 0, -1), array()), k -> getbit(mask, k) = 1)"))
     order = W.partitionBy("mol_id").orderBy(F.bit_count("mask"), F.desc("mask"))
-    return rows.select("mol_id", (F.row_number().over(order) - 1).alias("place"), F.array_join("members", ",").alias("members"))
+    subsets = rows.select("mol_id", (F.row_number().over(order) - 1).alias("place"), F.array_join("members", ",").alias("members"))
+    return subsets, sites.filter(~few).select("mol_id", "n", F.lit(f"more than {limit} sites").alias("reason"))
 
 
 def assignments(texts: DataFrame) -> DataFrame:
@@ -153,9 +162,9 @@ def substitute(atoms: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def substitute_nested(symbol: Column, mapping: dict[str, str]) -> Column:
-    """R-group names inside symbols replaced, longest name first: [SO2Ar] with Ar = ClC6H4 gives [SO2ClC6H4]."""
+    """R-group names inside symbols replaced, longest name first, the group without its locants: [SO2Ar] with Ar = 2-ClC6H4 gives [SO2ClC6H4]."""
     for name in sorted(mapping, key=len, reverse=True):
-        symbol = F.regexp_replace(symbol, f"{name}(?![a-z0-9])", mapping[name].replace("$", r"\$"))
+        symbol = F.regexp_replace(symbol, f"{name}(?![a-z0-9])", without_locants(F.lit(mapping[name].replace("$", r"\$"))))
     return symbol
 
 
@@ -165,17 +174,15 @@ def expand_abbreviations(atoms: DataFrame) -> DataFrame:
     return atoms.withColumn("name", bare(F.col("symbol"))).join(F.broadcast(table), "name", "left").select("mol_id", "atom_idx", "symbol", expand_symbol(F.col("symbol"), F.col("known")).alias("fragment"))
 
 
-def formula_counts(texts: DataFrame, token: str) -> DataFrame:
-    """texts(id, formula): how often each symbol occurs in a condensed formula with one level of (..)n. (id, symbol, n)."""
-    tokens = texts.select("id", F.posexplode(F.regexp_extract_all("formula", F.lit(token), 1)).alias("k", "t"))
-    order = W.partitionBy("id").orderBy("k")
-    follows = F.lead("t").over(order)
-    number = F.when(F.regexp_like(follows, F.lit("^[0-9]+$")), follows.cast("long")).otherwise(1)
-    rows = tokens.withColumn("own", number).withColumn("opened", F.sum(F.when(F.col("t") == "(", 1).otherwise(0)).over(order)).withColumn("closed", F.sum(F.when(F.col("t") == ")", 1).otherwise(0)).over(order))
-    groups = rows.filter("t = ')'").select("id", F.col("closed").alias("opened"), F.col("own").alias("times"))
-    rows = rows.filter("not regexp_like(t, '^[0-9()]+$')").join(groups, ["id", "opened"], "left")
-    each = F.col("own") * F.when(F.col("opened") > F.col("closed"), F.coalesce("times", F.lit(1))).otherwise(1)
-    return rows.groupBy("id", F.col("t").alias("symbol")).agg(F.sum(each).alias("n"))
+def formula_counts(texts: DataFrame) -> DataFrame:
+    """texts(id, formula): how often each symbol occurs in a condensed formula, brackets to any depth. (id, symbol, n). What is no formula gives no rows; see formula_rejects."""
+    found = texts.select("id", F.explode(symbol_counts(F.col("formula"))).alias("s"))
+    return found.groupBy("id", F.col("s.symbol").alias("symbol")).agg(F.sum("s.n").alias("n"))
+
+
+def formula_rejects(texts: DataFrame) -> DataFrame:
+    """texts that are no condensed formula: brackets that do not close, or counts of too many digits."""
+    return texts.filter(~F.coalesce(is_formula(F.col("formula")), F.lit(False)))
 
 
 def signatures(atoms: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,6 +193,25 @@ def signatures(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(b, "mol_id", "left").select("mol_id", F.concat("ka", F.lit("|"), F.coalesce("kb", F.lit(""))).alias("key"))
 
 
+def refined_keys(atoms: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """(mol_id, key) by colour refinement: an atom's name is its symbol, then, `rounds` times, a digest of its name and of its bonds with their far ends' names; a molecule's key is the
+    sorted list of names. Molecules without rings of more than 2 * rounds atoms across have equal keys exactly if they are equal; of ring systems some regular ones cannot be told apart
+    so, and a pattern search decides between them."""
+    near = edges.groupBy("mol_id", F.col("a").alias("atom_idx")).agg(F.collect_list(F.struct("b", F.col("order").cast("string").alias("o"))).alias("near"))
+    rows = atoms.select("mol_id", "atom_idx", "symbol").join(near, ["mol_id", "atom_idx"], "left")
+    mols = rows.groupBy("mol_id").agg(F.sort_array(F.collect_list(F.struct("atom_idx", "symbol", "near"))).alias("m"))
+    places = F.transform("m", lambda x: x["atom_idx"])
+    linked = F.transform("m", lambda x: F.transform(F.coalesce(x["near"], F.array().cast("array<struct<b:int,o:string>>")), lambda y: F.struct(y["o"].alias("o"), (F.array_position(places, y["b"]) - 1).cast("int").alias("at"))))
+    mols = mols.select("mol_id", F.transform("m", lambda x: x["symbol"]).alias("names"), linked.alias("linked"))
+
+    def refine(names, _):
+        bonds = lambda near: F.array_join(F.sort_array(F.transform(near, lambda y: F.concat(y["o"], F.lit("~"), F.get(names, y["at"])))), ",")
+        return F.transform("linked", lambda near, i: F.md5(F.concat(F.get(names, i), F.lit("|"), bonds(near))))
+
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("names"), refine)
+    return mols.select("mol_id", F.md5(F.array_join(F.sort_array(last), ",")).alias("key"))
+
+
 def backout(atoms: DataFrame, edges: DataFrame, symbols: list[str], links: list[tuple[int, int]], sites: dict[str, int]) -> DataFrame:
     """R-groups of products by a template: core atoms `symbols` and `links`, and sites {name: core atom}.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from figweave.operators.boxes import greedy_keep
+from figweave.operators.boxes import dedup_greedy, greedy_keep
 
 ROLES = ("reactants", "conditions", "products")
 
@@ -55,6 +55,20 @@ def dedup(rows: DataFrame, same: DataFrame) -> DataFrame:
     return greedy_keep(keep, conflicts, ["image_id"], "rxn_idx")
 
 
+def dedup_boxes(rows: DataFrame, boxes: DataFrame, limit: float = 0.6) -> DataFrame:
+    """Rows of reactions without empty boxes and without those that overlap an earlier kept box of the same reaction by more than `limit`; reactants come first, then products, then conditions.
+    A box that a reaction names twice stays once. Other reactions do not matter."""
+    rank = F.when(F.col("role") == "reactants", 0).when(F.col("role") == "products", 1).otherwise(2)
+    members = rows.select("image_id", "rxn_idx", "role", "box_idx").join(boxes, ["image_id", "box_idx"])
+    members = members.withColumn("ord", F.row_number().over(W.partitionBy("image_id", "rxn_idx").orderBy(rank, "box_idx")).cast("long"))
+    return dedup_greedy(members, limit, ("image_id", "rxn_idx")).select("image_id", "rxn_idx", "role", "box_idx")
+
+
+def of_sentences(sentences: DataFrame, found: DataFrame, keys: tuple[str, ...] = ("doc_id", "para_idx", "sent_idx")) -> DataFrame:
+    """Sentences in which at least one reaction was found."""
+    return sentences.join(found.select(*keys).distinct(), [*keys], "left_semi")
+
+
 def with_ids(rows: DataFrame) -> DataFrame:
     """(image_id, rxn_idx, reaction_id): `r_s` with r the place of the reaction in its image, template first, and s its step, 1."""
     place = F.dense_rank().over(W.partitionBy("image_id").orderBy("rxn_idx")) - 1

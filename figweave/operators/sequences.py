@@ -1,24 +1,28 @@
-"""Token sequences: vocabularies, ids, padding, and reaction sequences."""
+"""Token sequences: vocabularies, ids, padding, and sequences of reactions, boxes and coreferences.
+
+A box is five tokens: four bins (BINS_AT and up) and a category (-1 less the category's number, or NOISE where it is unknown). In a reaction sequence a role token closes
+the boxes of its role: reactants RCT conditions CND products PRD, then RXN, or NOISE for a reaction that is none.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from figweave.functions.ordering import ranked
+from figweave.operators.boxes import coref_links
+
 PAD, SOS, EOS, UNK = 0, 1, 2, 3
-#: Special tokens of a reaction sequence; coordinate bins follow from BINS_AT on.
-RXN, RCT, CND, PRD, END, BINS_AT = 4, 5, 6, 7, 2, 10
-ROLE_TOKEN = {"reactants": RCT, "conditions": CND, "products": PRD}
+RXN, RCT, CND, PRD, NOISE, END, BINS_AT = 4, 5, 6, 7, 8, 2, 10
+#: Role by the token that closes it, in the order of a sequence.
+CLOSES = {"reactants": RCT, "conditions": CND, "products": PRD}
 
 
 def fit_vocabulary(tokens: DataFrame, special: int = 4) -> DataFrame:
-    """(token, id): distinct tokens in order behind the special ids. Ranked in ranges, never in one task."""
+    """(token, id): distinct tokens in order behind the special ids. Ranked in ranges, never in one task and in no group that grows with a prefix."""
     distinct = tokens.select("token").filter("token <> ''").distinct()
-    head = distinct.withColumn("head", F.left("token", F.lit(2)))
-    before = head.groupBy("head").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(W.partitionBy("head").orderBy("token")) - 1
-    return head.withColumn("place", place).join(before, "head").select("token", (F.col("place") + F.col("start") + special).cast("long").alias("id"))
+    return ranked(distinct, ["token"]).select("token", (F.col("rank") + special).alias("id"))
 
 
 def to_ids(tokens: DataFrame, vocabulary: DataFrame, limit: int | None = None) -> DataFrame:
@@ -44,30 +48,69 @@ def pad_batches(rows: DataFrame, batch: str, values: str, fill: int = PAD) -> Da
     return rows.withColumn("_w", widest).withColumn(values, F.concat(values, F.array_repeat(F.lit(fill).cast("long"), F.col("_w") - F.size(values)))).drop("_w")
 
 
+def box_tokens(q: Column, category: Column) -> Column:
+    """Five tokens of a box: its bins `q` and its category, NOISE for an unknown one."""
+    kind = F.when(category.between(1, 4), F.lit(-1) - category).otherwise(NOISE)
+    return F.concat(F.transform(q, lambda v: (v + BINS_AT).cast("int")), F.array(kind.cast("int")))
+
+
+def _in_order(order: str, value: Column) -> Column:
+    """Arrays of a group, one behind the other."""
+    return F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("k"), value.alias("v")))), lambda x: x["v"]))
+
+
+def box_sequence(rows: DataFrame, order: str = "box_idx") -> DataFrame:
+    """(image_id, tokens) of rows(image_id, q: array of 4 bins, category_id, order): the boxes in order between start and end."""
+    boxes = rows.groupBy("image_id").agg(_in_order(order, box_tokens(F.col("q"), F.col("category_id"))).alias("t"))
+    return boxes.select("image_id", F.concat(F.array(F.lit(SOS)), "t", F.array(F.lit(END))).alias("tokens"))
+
+
 def reaction_sequence(rows: DataFrame) -> DataFrame:
-    """(image_id, tokens) of rows(image_id, rxn_idx, role, box_idx, q: array of 4 bins, category_id): per reaction its boxes, five tokens each, under role tokens, closed by RXN; END behind all."""
-    role = F.when(F.col("role") == "reactants", RCT).when(F.col("role") == "conditions", CND).otherwise(PRD)
-    box = F.concat(F.transform("q", lambda v: (v + BINS_AT).cast("int")), F.array(F.lit(-1) - F.col("category_id")))
-    parts = rows.groupBy("image_id", "rxn_idx", role.alias("role")).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("box_idx", box.alias("b")))), lambda x: x["b"])).alias("boxes"))
-    parts = parts.groupBy("image_id", "rxn_idx").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("role", F.concat(F.array("role"), "boxes").alias("t")))), lambda x: x["t"])).alias("t"))
-    each = F.transform(F.sort_array(F.collect_list(F.struct("rxn_idx", "t"))), lambda x: F.concat(x["t"], F.array(F.lit(RXN))))
-    return parts.groupBy("image_id").agg(F.concat(F.flatten(each), F.array(F.lit(END))).alias("tokens"))
+    """(image_id, tokens) of rows(image_id, rxn_idx, role, box_idx, q: array of 4 bins, category_id): start, the reactions in order, end. Each role's boxes come before the token that
+    closes the role, which is there for empty roles too."""
+    side = lambda r: F.concat(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("box_idx", F.col("b"))))), lambda x: x["b"])), F.array(F.lit(CLOSES[r])))
+    rows = rows.withColumn("b", box_tokens(F.col("q"), F.col("category_id")))
+    each = rows.groupBy("image_id", "rxn_idx").agg(F.concat(*[side(r) for r in CLOSES], F.array(F.lit(RXN))).alias("t"))
+    return each.groupBy("image_id").agg(_in_order("rxn_idx", F.col("t")).alias("t")).select("image_id", F.concat(F.array(F.lit(SOS)), "t", F.array(F.lit(END))).alias("tokens"))
 
 
-def parse_reactions(sequences: DataFrame) -> DataFrame:
-    """(image_id, rxn, role, k, x1, y1, x2, y2, category_id) of token sequences: role tokens switch the role, RXN closes a reaction, END stops; reactions without a
-    reactant or a product go. A box is four bins and a category token; incomplete ones are skipped."""
+def _found(sequences: DataFrame) -> DataFrame:
+    """Tokens (image_id, k, t, b0..b3, is_box) before the first end. A box stands where four bins in corner order are followed by a category; no two can overlap, as a category is
+    no bin, so reading on by one token after a broken box finds the same boxes."""
     tokens = sequences.select("image_id", F.posexplode("tokens").alias("k", "t"))
     order = W.partitionBy("image_id").orderBy("k")
-    ended = F.coalesce(F.max((F.col("t") == END).cast("int")).over(order), F.lit(0))
-    rows = tokens.withColumn("ended", ended).filter("ended = 0")
-    rows = rows.withColumn("rxn", F.coalesce(F.sum((F.col("t") == RXN).cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("role", F.last(F.when(F.col("t").isin(RCT, CND, PRD), F.col("t")), ignorenulls=True).over(order))
-    back = [F.lag("t", i).over(order) for i in range(4, 0, -1)]
-    rows = rows.select("image_id", "rxn", "role", "k", "t", *[b.alias(f"b{i}") for i, b in enumerate(back)]).filter("t < 0")
-    good = rows.filter(" and ".join(f"b{i} >= {BINS_AT}" for i in range(4)) + " and b0 < b2 and b1 < b3")
-    name = F.when(F.col("role") == RCT, "reactants").when(F.col("role") == CND, "conditions").otherwise("products")
-    out = good.select("image_id", "rxn", name.alias("role"), "k", *[(F.col(f"b{i}") - BINS_AT).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], (-1 - F.col("t")).alias("category_id"))
+    ended = F.max((F.col("t") == END).cast("int")).over(order)
+    rows = tokens.select("image_id", "k", "t", ended.alias("ended"), *[F.lag("t", 4 - i).over(order).alias(f"b{i}") for i in range(4)]).filter("ended = 0").drop("ended")
+    bins = " and ".join(f"b{i} >= {BINS_AT}" for i in range(4))
+    return rows.withColumn("is_box", F.coalesce(F.expr(f"t between -5 and -2 and {bins} and b0 < b2 and b1 < b3"), F.lit(False)))
+
+
+def _corners() -> list[Column]:
+    return [*[(F.col(f"b{i}") - BINS_AT).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))], (-1 - F.col("t")).alias("category_id")]
+
+
+def parse_boxes(sequences: DataFrame) -> DataFrame:
+    """(image_id, box_idx, x1, y1, x2, y2, category_id) of box sequences, corners as bins; other tokens are skipped."""
+    place = F.row_number().over(W.partitionBy("image_id").orderBy("k")) - 1
+    return _found(sequences).filter("is_box").select("image_id", place.alias("box_idx"), *_corners())
+
+
+def parse_corefs(sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(boxes, links) of coreference sequences: the identifiers right behind a molecule or text box link to it."""
+    boxes = parse_boxes(sequences)
+    return boxes, coref_links(boxes)
+
+
+def parse_reactions(sequences: DataFrame) -> DataFrame:
+    """(image_id, rxn, label, role, k, x1, y1, x2, y2, category_id) of reaction sequences. Boxes are reactants up to RCT, conditions up to CND, products up to PRD and nothing behind it; RXN or
+    NOISE (the label) closes a reaction, which needs a reactant and a product; END stops. What is not closed by then goes. `rxn` counts the closing tokens before."""
+    rows, order = _found(sequences), W.partitionBy("image_id").orderBy("k")
+    closing = F.col("t").isin(RXN, NOISE)
+    rows = rows.withColumn("rxn", F.coalesce(F.sum(closing.cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("state", F.last(F.when(F.col("t").isin(RCT, CND, PRD, RXN, NOISE), F.col("t")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)))
+    role = F.when(F.col("state").isNull() | F.col("state").isin(RXN, NOISE), "reactants").when(F.col("state") == RCT, "conditions").when(F.col("state") == CND, "products")
     whole = W.partitionBy("image_id", "rxn")
+    rows = rows.withColumn("role", role).withColumn("label", F.max(F.when(F.col("t") == RXN, "[Rxn]").when(F.col("t") == NOISE, "[Noise]")).over(whole))
+    boxes = rows.filter("is_box and role is not null and label is not null").select("image_id", "rxn", "label", "role", "k", *_corners())
     has = lambda r: F.max((F.col("role") == r).cast("int")).over(whole)
-    return out.withColumn("a", has("reactants")).withColumn("b", has("products")).filter("a = 1 and b = 1").drop("a", "b")
+    return boxes.withColumn("a", has("reactants")).withColumn("b", has("products")).filter("a = 1 and b = 1").drop("a", "b")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 #: A full stop ends a sentence unless a digit is before it, or if a blank is behind it; what is behind it up to the next blank is lost.
 STOP = r"([^0-9])\.[^ ]*( |$)|([0-9])\. "
+#: A compound label, and an R-group equation.
 LABEL = r"\b(\d+[a-zA-Z]{0,2})\b"
 EQUATION = r"([RXY]\d?) *= *(\w+)"
 #: Solvents that a condition text may name.

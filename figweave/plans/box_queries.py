@@ -77,6 +77,48 @@ def box_dedup_greedy(spark, sf_dir):
     return B.dedup_greedy(boxes).select("image_id", "box_idx", "ord")
 
 
+_ROLE_RANK = "CASE role WHEN 'reactants' THEN 0 WHEN 'products' THEN 1 ELSE 2 END"
+
+
+@query("det", f"""rx AS (SELECT *, box_idx // 6 AS rxn_idx, ['reactants', 'conditions', 'products'][box_idx % 3 + 1] AS role FROM det),
+    o AS (SELECT *, row_number() OVER (PARTITION BY image_id, rxn_idx ORDER BY {_ROLE_RANK}, box_idx) AS ord FROM rx WHERE x2 - x1 > 1e-2 AND y2 - y1 > 1e-2),
+    q AS (SELECT o.image_id, o.rxn_idx, row_number() OVER (PARTITION BY o.image_id, o.rxn_idx ORDER BY o.ord) AS n, o.ord, (SELECT coalesce(list(b.ord), []) FROM o b JOIN o a ON a.image_id = b.image_id AND a.rxn_idx = b.rxn_idx
+        WHERE a.image_id = o.image_id AND a.rxn_idx = o.rxn_idx AND a.ord = o.ord AND b.ord < a.ord AND {IOU} > 6e-1) AS earlier FROM o),
+    r(image_id, rxn_idx, n, kept) AS (SELECT DISTINCT image_id, rxn_idx, 0::BIGINT, []::BIGINT[] FROM q UNION ALL
+        SELECT r.image_id, r.rxn_idx, q.n, CASE WHEN list_has_any(r.kept, q.earlier) THEN r.kept ELSE list_append(r.kept, q.ord) END FROM r JOIN q ON q.image_id = r.image_id AND q.rxn_idx = r.rxn_idx AND q.n = r.n + 1),
+    last AS (SELECT image_id, rxn_idx, arg_max(kept, n) AS kept FROM r GROUP BY 1, 2)
+    SELECT o.image_id, o.rxn_idx, role, o.box_idx FROM o JOIN last USING (image_id, rxn_idx) WHERE list_contains(kept, o.ord)""", recursive=True)
+def reaction_box_dedup(spark, sf_dir):
+    """Boxes de-duplicated inside each reaction, six boxes in order here, and not across reactions."""
+    boxes = X.detections(spark, sf_dir)
+    rows = X.reactions(boxes).withColumn("rxn_idx", F.floor(F.col("box_idx") / 6).cast("int"))
+    return R.dedup_boxes(rows, boxes)
+
+
+@query("det", """g AS (SELECT *, (sum((category_id IN (1, 2))::INT) OVER w) AS grp FROM det WINDOW w AS (PARTITION BY image_id ORDER BY box_idx)),
+    h AS (SELECT *, first_value(floor(y1 * 1e3 / 500)) OVER v AS hb, first_value(x1) OVER v AS hx, first_value(box_idx) OVER v AS hi FROM g WINDOW v AS (PARTITION BY image_id, grp ORDER BY box_idx))
+    SELECT image_id, box_idx, row_number() OVER (PARTITION BY image_id ORDER BY hb, hx, hi, box_idx) - 1 AS place FROM h""")
+def box_reading_groups(spark, sf_dir):
+    """Reading order where a molecule moves with its identifiers."""
+    return B.reading_order_groups(X.detections(spark, sf_dir)).select("image_id", "box_idx", "place")
+
+
+_MOVED = ["s_x1", "s_y2", "p_x1", "p_y2", "d_x1", "d_y1", "d_x2", "d_y2"]
+
+
+@query("det", """s AS (SELECT image_id, box_idx, x1, x2, y1, y2, 600 + image_id % 300 AS w, 400 + image_id % 500 AS h FROM det), f AS (SELECT *, least(800e0 / least(w, h), 1000e0 / greatest(w, h)) AS f FROM s)
+    SELECT image_id, box_idx, round(x1 * w * (floor(w * f) / w), 6) AS s_x1, round(y2 * h * (floor(h * f) / h), 6) AS s_y2, round(x1 * (w / (w + 50)::DOUBLE), 6) AS p_x1, round(y2 * (h / (h + 20)::DOUBLE), 6) AS p_y2,
+        round(x1 * w * 72e0 / 200e0, 6) AS d_x1, round(792e0 - y2 * h * 72e0 / 200e0, 6) AS d_y1, round(x2 * w * 72e0 / 200e0, 6) AS d_x2, round(792e0 - y1 * h * 72e0 / 200e0, 6) AS d_y2 FROM f""")
+def box_resize_pad_pdf(spark, sf_dir):
+    """Boxes of images of many sizes: resized to a short side of 800 and at most 1,000, padded, and as points of a page."""
+    w, h = F.lit(600) + F.col("image_id") % 300, F.lit(400) + F.col("image_id") % 500
+    boxes = X.detections(spark, sf_dir).withColumn("w", w).withColumn("h", h)
+    pixels = boxes.withColumns({c: F.col(c) * F.col("w" if c[0] == "x" else "h") for c in B.CORNERS})
+    take = lambda df, k, cs: df.select("image_id", "box_idx", *[F.col(c).alias(f"{k}_{c}") for c in cs])
+    parts = [take(B.resize_scaled(pixels, F.col("w"), F.col("h"), 800, 1000), "s", ("x1", "y2")), take(B.padded(boxes, F.col("w"), F.col("h"), 50, 20), "p", ("x1", "y2")), take(B.pdf_points(pixels, 792.0), "d", B.CORNERS)]
+    return round6(parts[0].join(parts[1], ["image_id", "box_idx"]).join(parts[2], ["image_id", "box_idx"]), *_MOVED)
+
+
 _GEO = ["px_x1", "px_y1", "px_x2", "px_y2", "w", "h", "cx", "cy", "flip_x1", "flip_x2", "rot_x1", "rot_y1", "rot_x2", "rot_y2", "crop_area"]
 
 
@@ -201,6 +243,24 @@ def reaction_equal_pooled(spark, sf_dir):
     return R.equal_pairs(*_sets(spark, sf_dir), pooled=True)
 
 
+_MOL = """mr AS (SELECT {t}.image_id, rxn_idx, role, {t}.box_idx, category_id, count(*) FILTER (WHERE category_id = 1) OVER (PARTITION BY {t}.image_id, rxn_idx, role) AS n FROM {t} JOIN {b} ON {b}.image_id = {t}.image_id AND {b}.box_idx = {t}.box_idx)
+    SELECT image_id, rxn_idx, role, box_idx FROM mr WHERE category_id = 1 OR (n = 0 AND role <> 'conditions')"""
+_EQUAL_MOL = "mg AS (WITH " + _MOL.format(t="rxn", b="det") + "), mp AS (WITH " + _MOL.format(t="prxn", b="pred") + "), " + _EQUAL.format(pool="false").replace("FROM rxn g", "FROM mg g").replace("FROM prxn GROUP BY 1, 2)", "FROM mp GROUP BY 1, 2)")
+
+
+def _hits_mol_only(spark, sf_dir):
+    gold, pred, match = _sets(spark, sf_dir)
+    boxes = X.detections(spark, sf_dir), X.predictions(spark, sf_dir)
+    pairs = R.equal_pairs(R.mol_only(gold, boxes[0]), R.mol_only(pred, boxes[1]), match)
+    return pairs, R.hits(gold, pred, pairs)
+
+
+@query("det pred rxn prxn", _EQUAL_MOL + " SELECT * FROM eq")
+def reaction_equal_mol_only(spark, sf_dir):
+    """Only molecule boxes count, where a side has any."""
+    return _hits_mol_only(spark, sf_dir)[0]
+
+
 def _hits(spark, sf_dir):
     gold, pred, match = _sets(spark, sf_dir)
     return R.hits(gold, pred, R.equal_pairs(gold, pred, match))
@@ -223,6 +283,11 @@ def reaction_score(spark, sf_dir):
     return _scored(_hits(spark, sf_dir).groupBy(F.lit("all").alias("kind")).agg(F.count("*").alias("n_images"), *_sums()), "kind")
 
 
+@query("det pred rxn prxn", _EQUAL_MOL + " " + _SCORED.format(keys="kind", src="(SELECT *, 'molecules' AS kind FROM ht)", group="kind"))
+def reaction_score_mol_only(spark, sf_dir):
+    return _scored(_hits_mol_only(spark, sf_dir)[1].groupBy(F.lit("molecules").alias("kind")).agg(F.count("*").alias("n_images"), *_sums()), "kind")
+
+
 @query("det pred rxn prxn", _EQUAL.format(pool="false") + " " + _SCORED.format(keys="size", src="(SELECT *, gold AS size FROM ht)", group="size"))
 def reaction_score_by_size(spark, sf_dir):
     """By the number of gold reactions of an image."""
@@ -261,9 +326,17 @@ def reaction_mol_only(spark, sf_dir):
     return R.mol_only(X.reactions(boxes), boxes).select("image_id", "rxn_idx", "role", "box_idx")
 
 
-@query()
+@query("pred prxn", f"""pr AS ({pairs_sql('pred', 'pred')}), gi AS ({best_sql('i')}), lk AS (SELECT g.image_id, g.rxn_idx, list_sort(list(role || ':' || lpad(match::VARCHAR, 6, '0'))) AS key, count(*) - count(match) AS open FROM prxn g LEFT JOIN gi ON gi.image_id = g.image_id AND gi.i = g.box_idx GROUP BY 1, 2),
+    rk AS (SELECT image_id, rxn_idx, list_sort(list(role || ':' || lpad(box_idx::VARCHAR, 6, '0'))) AS key FROM prxn GROUP BY 1, 2),
+    ok AS (SELECT image_id, rxn_idx, row_number() OVER (PARTITION BY image_id ORDER BY rxn_idx) AS n FROM prxn GROUP BY image_id, rxn_idx HAVING bool_or(role = 'reactants') AND bool_or(role = 'products')),
+    eq AS (SELECT lk.image_id, lk.rxn_idx, list(rk.rxn_idx) AS earlier FROM lk JOIN rk ON lk.image_id = rk.image_id AND lk.key = rk.key WHERE open = 0 AND rk.rxn_idx < lk.rxn_idx GROUP BY 1, 2),
+    q AS (SELECT ok.*, coalesce(earlier, []) AS earlier FROM ok LEFT JOIN eq USING (image_id, rxn_idx)),
+    r(image_id, n, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::INT[] FROM q UNION ALL
+        SELECT r.image_id, q.n, CASE WHEN list_has_any(r.kept, q.earlier) THEN r.kept ELSE list_append(r.kept, q.rxn_idx) END FROM r JOIN q ON q.image_id = r.image_id AND q.n = r.n + 1),
+    last AS (SELECT image_id, arg_max(kept, n) AS kept FROM r GROUP BY 1)
+    SELECT image_id, rxn_idx, role, box_idx FROM prxn JOIN last USING (image_id) WHERE list_contains(kept, rxn_idx)""", recursive=True)
 def reaction_dedup(spark, sf_dir):
-    """Reactions of the predictions without repeats of an earlier one; order-dependent, so rows only."""
+    """Reactions of the predictions without repeats of an earlier one that stayed."""
     boxes = X.predictions(spark, sf_dir)
     rows = X.reactions(boxes)
     same = R.equal_pairs(rows, rows, B.best_match(B.overlaps(boxes, boxes), "i"))

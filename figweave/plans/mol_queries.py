@@ -119,11 +119,18 @@ def mol_pattern(spark, sf_dir):
     return G.pattern(atoms, edges, ["C", "*", "O"], [(0, 1), (1, 2)])
 
 
-@query("atm", r"""st AS (SELECT mol_id, count(*) AS n FROM atm WHERE regexp_matches(symbol, '^\[R\d*\]$') GROUP BY 1), mk AS (SELECT mol_id, n, unnest(range(1 << n::INT)) AS mask FROM st WHERE n <= 6)
+@query("atm", r"""st AS (SELECT mol_id, count(*) AS n FROM atm WHERE regexp_matches(symbol, '^\[R\d*\]$') GROUP BY 1), mk AS (SELECT mol_id, n, unnest(range(1 << n::INT)) AS mask FROM st WHERE n <= 10)
     SELECT mol_id, row_number() OVER (PARTITION BY mol_id ORDER BY bit_count(mask), mask DESC) - 1 AS place, array_to_string(list_filter(range(n - 1, -1, -1), lambda k: (mask >> k) & 1 = 1), ',') AS members FROM mk""")
 def rsite_subsets(spark, sf_dir):
     sites = X.atoms(spark, sf_dir).filter(F.regexp_like("symbol", F.lit(r"^\[R\d*\]$"))).groupBy("mol_id").agg(F.count("*").alias("n"))
-    return G.site_subsets(sites, 6)
+    return G.site_subsets(sites)[0]
+
+
+@query("atm", r"SELECT mol_id, count(*) AS n, 'more than 1 sites' AS reason FROM atm WHERE regexp_matches(symbol, '^\[R\d*\]$') GROUP BY 1 HAVING count(*) > 1")
+def rsite_rejects(spark, sf_dir):
+    """Molecules with more sites than a limit, 1 here, are reported and not dropped."""
+    sites = X.atoms(spark, sf_dir).filter(F.regexp_like("symbol", F.lit(r"^\[R\d*\]$"))).groupBy("mol_id").agg(F.count("*").alias("n"))
+    return G.site_subsets(sites, 1)[1]
 
 
 _ASSIGN = r"""fo AS (SELECT image_id, box_idx, regexp_extract(text, '([RXY]\d?) *= *(\w+)', 1) AS name, regexp_extract(text, '([RXY]\d?) *= *(\w+)', 2) AS value FROM men), asg AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY seen, name, value) AS rxn_idx, name, value FROM (SELECT image_id, name, value, min(box_idx) AS seen FROM fo WHERE name <> '' GROUP BY 1, 2, 3))"""
@@ -144,7 +151,7 @@ def rgroup_substitute(spark, sf_dir):
 def rgroup_nested(spark, sf_dir):
     """Names inside symbols: [SO2R1] with R1 = Me, [SO2Ar] with Ar = 2-ClC6H4 without its locant."""
     inner = F.when(F.col("symbol").isin("[R1]", "[Ar]"), F.concat(F.lit("[SO2"), F.substr("symbol", F.lit(2)))).otherwise(F.col("symbol"))
-    return X.atoms(spark, sf_dir).select("mol_id", "atom_idx", G.substitute_nested(inner, {"R1": "Me", "Ar": "ClC6H4"}).alias("symbol"))
+    return X.atoms(spark, sf_dir).select("mol_id", "atom_idx", G.substitute_nested(inner, {"R1": "Me", "Ar": "2-ClC6H4"}).alias("symbol"))
 
 
 @query("atm", rf"""SELECT mol_id, atom_idx, symbol, CASE WHEN known IS NOT NULL THEN known WHEN regexp_matches(name, '^R\d+$') THEN '[' || name[2:] || '*]' WHEN regexp_matches(name, '^(R[a-z'']*|Ar|X|Y|Z)$') THEN '*' WHEN name = symbol THEN symbol ELSE '[' || name || ']' END AS fragment
@@ -163,7 +170,24 @@ def formula_counts(spark, sf_dir):
     num = lambda c: c.cast("string")
     text = F.concat(F.lit("C"), num(F.col("q") % 5 + 1), F.lit("H"), num(F.col("q") % 4 + 6), F.lit("(OMe"), F.when(F.col("s") % 2 == 0, "2").otherwise(""), F.lit("Cl)"), F.when(F.col("p") % 3 == 0, "3").otherwise(""), F.lit("N"))
     rows = X.raw(spark, sf_dir).select((F.col("image_id") * 100 + F.col("box_idx")).alias("id"), text.alias("formula"))
-    return G.formula_counts(rows, C.FORMULA_TOKEN)
+    return G.formula_counts(rows)
+
+
+@query("raw", "SELECT id, t.symbol, t.n FROM (SELECT image_id * 100 + box_idx AS id, q % 3 + 2 AS a, s % 3 + 1 AS b, p % 4 + 1 AS c FROM raw), LATERAL (SELECT unnest([{'symbol': 'C', 'n': 1 + c}, {'symbol': 'H', 'n': a * c}, {'symbol': 'OMe', 'n': b * c}], recursive := true)) t(symbol, n)")
+def formula_nested(spark, sf_dir):
+    """Brackets in brackets, C(CH3(OMe)2)3: all factors around a symbol count."""
+    num = lambda c: c.cast("string")
+    text = F.concat(F.lit("C(CH"), num(F.col("q") % 3 + 2), F.lit("(OMe)"), num(F.col("s") % 3 + 1), F.lit(")"), num(F.col("p") % 4 + 1))
+    return G.formula_counts(X.raw(spark, sf_dir).select((F.col("image_id") * 100 + F.col("box_idx")).alias("id"), text.alias("formula")))
+
+
+@query("raw", """SELECT image_id, box_idx, array_to_string(CASE WHEN m > 1 THEN flatten(list_transform(range(m), lambda i: ['C'] || list_transform(range(h // m), lambda j: 'F'))) || list_transform(range(h % m), lambda j: 'F')
+    ELSE ['C'] || list_transform(range(h), lambda j: 'F') END || flatten(list_transform(range(k), lambda i: ['O', 'Me'])), '') AS atoms FROM (SELECT image_id, box_idx, q % 5 + 1 AS m, s % 9 + 2 AS h, p % 3 + 1 AS k FROM raw)""")
+def formula_atoms(spark, sf_dir):
+    """Atoms of C3F7(O(Me))2 in order, the fluorine shared out among the carbons."""
+    num = lambda c: c.cast("string")
+    text = F.concat(F.lit("C"), num(F.col("q") % 5 + 1), F.lit("F"), num(F.col("s") % 9 + 2), F.lit("(O(Me))"), num(F.col("p") % 3 + 1))
+    return X.raw(spark, sf_dir).select("image_id", "box_idx", F.array_join(C.formula_atoms(text), "").alias("atoms"))
 
 
 _KEYS = _EDGE + """, nm AS (SELECT ed.mol_id, x.symbol || "order" || y.symbol AS t FROM ed JOIN atm x ON x.mol_id = ed.mol_id AND x.atom_idx = a JOIN atm y ON y.mol_id = ed.mol_id AND y.atom_idx = b),
@@ -179,6 +203,18 @@ def mol_exact(spark, sf_dir):
     return keys.join(groups, "key").select("mol_id", "twin", "n")
 
 
+@query("atm bnd", """sg AS (SELECT atm.*, sum((src IS NULL)::INT) OVER (PARTITION BY atm.mol_id ORDER BY atom_idx) AS seg, "order" AS o FROM atm LEFT JOIN bnd ON bnd.mol_id = atm.mol_id AND dst = atom_idx),
+    ps AS (SELECT mol_id, seg, string_agg(coalesce('-' || "o" || '-', '') || symbol, '' ORDER BY atom_idx) AS fwd, string_agg(symbol || coalesce('-' || CASE WHEN o > 4 THEN 11 - o ELSE o END || '-', ''), '' ORDER BY atom_idx DESC) AS bwd FROM sg GROUP BY 1, 2),
+    ky AS (SELECT mol_id, string_agg(least(fwd, bwd), '.' ORDER BY least(fwd, bwd)) AS key FROM ps GROUP BY 1)
+    SELECT mol_id, min(mol_id) OVER (PARTITION BY key) AS twin, count(*) OVER (PARTITION BY key) AS n FROM ky""")
+def mol_exact_refined(spark, sf_dir):
+    """Equal molecules by refined keys. The molecules here are sets of chains, which the SQL spells out from either end."""
+    atoms, _, edges = _graph(spark, sf_dir)
+    keys = G.refined_keys(atoms, edges)
+    groups = keys.groupBy("key").agg(F.min("mol_id").alias("twin"), F.count("*").alias("n"))
+    return keys.join(groups, "key").select("mol_id", "twin", "n")
+
+
 @query("atm", _FORMULA + " SELECT q.mol_id, count(*) AS n, min(f.mol_id) AS first FROM fm q JOIN fm f USING (formula) WHERE q.mol_id % 20 = 0 GROUP BY 1")
 def formula_search(spark, sf_dir):
     """For molecules with an id divisible by 20: how many have their formula."""
@@ -270,6 +306,56 @@ def token_stream_parse(spark, sf_dir):
     return Q.parse_reactions(Q.reaction_sequence(rows)).select("image_id", "rxn", "role", "category_id", *B.CORNERS)
 
 
+#: Token sequences of the reactions, and the same with every 17th token lost and, in every fifth image, noise for the end of a reaction.
+_TOKENS = """bt AS (SELECT rxn.image_id, rxn_idx, role, rxn.box_idx, [""" + ", ".join(f"round_even({c} * 1999, 0)::INT + 10" for c in B.CORNERS) + """, -1 - category_id] AS b FROM rxn JOIN det USING (image_id, box_idx)),
+    rs AS (SELECT image_id, rxn_idx, flatten(list(b ORDER BY box_idx) FILTER (WHERE role = 'reactants')) AS r, flatten(list(b ORDER BY box_idx) FILTER (WHERE role = 'conditions')) AS c, flatten(list(b ORDER BY box_idx) FILTER (WHERE role = 'products')) AS p FROM bt GROUP BY 1, 2),
+    sq AS (SELECT image_id, [1] || flatten(list(coalesce(r, []) || [5] || coalesce(c, []) || [6] || coalesce(p, []) || [7, 4] ORDER BY rxn_idx)) || [2] AS tokens FROM rs GROUP BY 1),
+    tk AS (SELECT image_id, list_transform(list_filter(list_transform(tokens, lambda t, i: {'t': t, 'i': i - 1}), lambda x: (x.i + image_id) % 17 <> 0), lambda x: CASE WHEN x.t = 4 AND image_id % 5 = 0 THEN 8 ELSE x.t END) AS tokens FROM sq)"""
+
+
+def _token_sequences(spark, sf_dir):
+    boxes = X.detections(spark, sf_dir)
+    rows = X.reactions(boxes).join(boxes, ["image_id", "box_idx"]).withColumn("q", F.array(*[B.quantise(F.col(c)) for c in B.CORNERS]))
+    return Q.reaction_sequence(rows)
+
+
+def _broken_sequences(spark, sf_dir):
+    left = F.filter("tokens", lambda t, i: (i + F.col("image_id")) % 17 != 0)
+    noisy = F.transform(left, lambda t: F.when((t == Q.RXN) & (F.col("image_id") % 5 == 0), Q.NOISE).otherwise(t))
+    return _token_sequences(spark, sf_dir).select("image_id", noisy.alias("tokens"))
+
+
+@query("det rxn", _TOKENS + " SELECT image_id, array_to_string(tokens, ',') AS tokens FROM sq")
+def token_sequence(spark, sf_dir):
+    """Reactions as token sequences, role tokens behind their boxes."""
+    return _token_sequences(spark, sf_dir).select("image_id", F.array_join("tokens", ",").alias("tokens"))
+
+
+_IS_BOX = "tokens[i+1] >= 10 AND tokens[i+2] >= 10 AND tokens[i+3] >= 10 AND tokens[i+4] >= 10 AND tokens[i+5] BETWEEN -5 AND -2 AND tokens[i+1] < tokens[i+3] AND tokens[i+2] < tokens[i+4]"
+_READ = _TOKENS + f""", rd(image_id, i, role, rxn, kind, p0) AS (SELECT image_id, 0, 0, 0, '', 0 FROM tk UNION ALL
+        SELECT image_id, CASE WHEN box THEN i + 5 ELSE i + 1 END, CASE t WHEN 4 THEN 0 WHEN 8 THEN 0 WHEN 5 THEN 1 WHEN 6 THEN 2 WHEN 7 THEN 3 ELSE role END, CASE WHEN t IN (4, 8) THEN rxn + 1 ELSE rxn END,
+            CASE WHEN box THEN 'box' WHEN t = 4 THEN '[Rxn]' WHEN t = 8 THEN '[Noise]' ELSE '' END, i FROM (SELECT rd.*, tokens[i+1] AS t, role < 3 AND coalesce({_IS_BOX}, false) AS box FROM rd JOIN tk USING (image_id) WHERE i < len(tokens)) WHERE t <> 2),
+    cl AS (SELECT image_id, rxn - 1 AS rxn, kind AS label FROM rd WHERE kind IN ('[Rxn]', '[Noise]')),
+    ok AS (SELECT image_id, rxn FROM rd WHERE kind = 'box' GROUP BY 1, 2 HAVING bool_or(role = 0) AND bool_or(role = 2))
+    SELECT image_id, rxn, label, ['reactants', 'conditions', 'products'][role + 1] AS role, p0 + 4 AS k, tokens[p0+1] - 10 AS x1, tokens[p0+2] - 10 AS y1, tokens[p0+3] - 10 AS x2, tokens[p0+4] - 10 AS y2, -1 - tokens[p0+5] AS category_id
+    FROM rd JOIN tk USING (image_id) JOIN cl USING (image_id, rxn) JOIN ok USING (image_id, rxn) WHERE kind = 'box'"""
+
+
+@query("det rxn", _READ, recursive=True)
+def token_parse_broken(spark, sf_dir):
+    """Sequences with lost tokens and noise; the SQL reads token by token."""
+    return Q.parse_reactions(_broken_sequences(spark, sf_dir))
+
+
+@query("det rxn", _TOKENS + f""", bx AS (SELECT image_id, i, tokens, row_number() OVER (PARTITION BY image_id ORDER BY i) - 1 AS box_idx FROM (SELECT image_id, tokens, unnest(range(len(tokens))) AS i FROM tk) WHERE {_IS_BOX} AND i < coalesce(list_position(tokens, 2), 1000000)),
+    bc AS (SELECT image_id, box_idx, tokens[i+1] - 10 AS x1, -1 - tokens[i+5] AS category_id FROM bx)
+    SELECT image_id, box_idx, x1, category_id, CASE WHEN category_id = 3 AND (a).c IN (1, 2) THEN (a).b END AS mol_idx FROM (SELECT *, last_value(CASE WHEN category_id <> 3 THEN {{'b': box_idx, 'c': category_id}} END IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY box_idx) AS a FROM bc)""")
+def token_boxes_corefs(spark, sf_dir):
+    """The same sequences read as plain boxes, and the links that their order says."""
+    boxes, links = Q.parse_corefs(_broken_sequences(spark, sf_dir))
+    return boxes.join(links.withColumnRenamed("idt_idx", "box_idx"), ["image_id", "box_idx"], "left").select("image_id", "box_idx", "x1", "category_id", "mol_idx")
+
+
 _SMI = """sm AS (SELECT mol_id, string_agg(symbol || CASE WHEN atom_idx % 3 = 1 THEN '@' ELSE '' END || CASE WHEN atom_idx % 4 = 2 THEN '/' ELSE '' END, '' ORDER BY atom_idx) AS gold FROM atm GROUP BY 1),
     gp AS (SELECT mol_id, CASE WHEN mol_id % 11 = 0 THEN '<empty>' ELSE gold END AS gold, CASE WHEN mol_id % 5 = 0 THEN replace(gold, '@', '') WHEN mol_id % 5 = 1 THEN replace(gold, '/', chr(92)) WHEN mol_id % 5 = 2 THEN '' ELSE gold END AS pred FROM sm)"""
 
@@ -278,19 +364,20 @@ def _smiles_pairs(spark, sf_dir):
     part = F.concat("symbol", F.when(F.col("atom_idx") % 3 == 1, "@").otherwise(""), F.when(F.col("atom_idx") % 4 == 2, "/").otherwise(""))
     gold = X.atoms(spark, sf_dir).groupBy("mol_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("atom_idx", part.alias("p")))), lambda x: x["p"]), "").alias("g"))
     pred = F.when(F.col("mol_id") % 5 == 0, F.translate("g", "@", "")).when(F.col("mol_id") % 5 == 1, F.translate("g", "/", "\\")).when(F.col("mol_id") % 5 == 2, "").otherwise(F.col("g"))
-    return gold.select("mol_id", F.when(F.col("mol_id") % 11 == 0, "<empty>").otherwise(F.col("g")).alias("gold"), pred.alias("pred"))
+    none = F.when(F.col("mol_id") % 2 == 0, F.lit("")).otherwise(F.lit(None))
+    return gold.select("mol_id", F.when(F.col("mol_id") % 11 == 0, none).otherwise(F.col("g")).alias("gold"), pred.alias("pred"))
 
 
 @query("atm", _SMI + r""", f AS (SELECT *, replace(gold, '@', '') AS ga, replace(pred, '@', '') AS pa, translate(gold, '/' || chr(92), '') AS gs, translate(pred, '/' || chr(92), '') AS ps, contains(gold, '@') AS chiral FROM gp)
-    SELECT count(*) AS n, round(avg((pred <> '')::INT), 6) AS valid, round(avg((gold = pred)::INT), 6) AS exact, round(avg((ga = pa)::INT), 6) AS no_chirality, round(avg((gs = ps)::INT), 6) AS no_geometry, round(avg(chiral::INT), 6) AS chiral_share, round(coalesce(avg((gold = pred)::INT) FILTER (WHERE chiral), -1), 6) AS chiral_exact FROM f""")
+    SELECT count(*) AS n, round(avg((gold <> '<empty>')::INT), 6) AS gold_valid, round(avg((pred <> '')::INT), 6) AS valid, round(avg((gold = pred)::INT), 6) AS exact, round(avg((ga = pa)::INT), 6) AS no_chirality, round(avg((gs = ps)::INT), 6) AS no_geometry, round(avg(chiral::INT), 6) AS chiral_share, round(coalesce(avg((gold = pred)::INT) FILTER (WHERE chiral), -1), 6) AS chiral_exact FROM f""")
 def smiles_scores(spark, sf_dir):
-    return round6(M.smiles_scores(_smiles_pairs(spark, sf_dir)), "valid", "exact", "no_chirality", "no_geometry", "chiral_share", "chiral_exact")
+    return round6(M.smiles_scores(_smiles_pairs(spark, sf_dir)), "gold_valid", "valid", "exact", "no_chirality", "no_geometry", "chiral_share", "chiral_exact")
 
 
 @query("atm", _SMI + r""" SELECT mol_id, replace(replace(replace(replace(regexp_replace(gold, '\[R(\d+)\]', '[\1*]', 'g'), '/', ''), chr(92), ''), '@', ''), '  ', ' ') AS plain, len(regexp_extract_all(gold, '\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|%[0-9]{2}|[0-9]')) AS n_tokens FROM gp WHERE gold <> '<empty>'""")
 def smiles_text(spark, sf_dir):
     """Normal form of SMILES text, and how many atom-wise tokens it has."""
-    rows = _smiles_pairs(spark, sf_dir).filter("gold <> '<empty>'")
+    rows = _smiles_pairs(spark, sf_dir).filter("gold <> ''")
     return rows.select("mol_id", C.normal_smiles(F.col("gold")).alias("plain"), F.size(F.regexp_extract_all("gold", F.lit(C.SMILES_TOKEN), 0)).alias("n_tokens"))
 
 
@@ -308,6 +395,12 @@ def grid_encode(spark, sf_dir):
     return rows.groupBy("mol_id", F.rint(F.col("x1") * 63).cast("int").alias("gx"), F.rint(F.col("y1") * 63).cast("int").alias("gy")).agg(F.max_by("symbol", "atom_idx").alias("symbol"), F.count("*").alias("n"))
 
 
+@query("det atm", "SELECT mol_id, round(gx / 63e0, 6) AS x, round(gy / 63e0, 6) AS y, symbol, row_number() OVER (PARTITION BY mol_id ORDER BY gx, gy) - 1 AS atom_idx FROM (SELECT image_id AS mol_id, round_even(x1 * 63, 0)::INT AS gx, round_even(y1 * 63, 0)::INT AS gy, arg_max(symbol, box_idx) AS symbol FROM det JOIN atm ON mol_id = image_id AND atom_idx = box_idx GROUP BY 1, 2, 3)")
+def grid_decode(spark, sf_dir):
+    """Atoms read back from their grid, column by column."""
+    return round6(G.from_grid(grid_encode(spark, sf_dir), 64), "x", "y")
+
+
 @query("atm", "SELECT symbol, min(mol_id * 100 + atom_idx) AS first FROM atm GROUP BY 1")
 def distinct_molecules(spark, sf_dir):
     """Distinct symbols, the first occurrence kept."""
@@ -397,6 +490,23 @@ def output_checks(spark, sf_dir):
     return J.violations(X.reactions(X.detections(spark, sf_dir)), atoms, atoms.filter("symbol <> '[Ar]'"))
 
 
+@query("raw rxn", """lb AS (SELECT image_id, CASE box_idx % 3 WHEN 0 THEN 'product template' ELSE 'product' END AS role, (image_id % 9 + 1 + (p % 7 = 0)::INT) || 'a' AS label FROM raw WHERE box_idx % 3 < 2),
+    nm AS (SELECT DISTINCT image_id, role, regexp_extract(label, '^(\\d+)', 1) AS number FROM lb),
+    gv AS (SELECT image_id, count(*) AS n FROM raw GROUP BY 1), an AS (SELECT image_id, count(*) AS n FROM raw WHERE p % 12 <> 5 GROUP BY 1), rc AS (SELECT image_id, count(DISTINCT rxn_idx) AS n FROM rxn GROUP BY 1), tr AS (SELECT image_id, max(ln) AS n FROM raw GROUP BY 1)
+    SELECT image_id, 'product ' || number || ' has another number than the template' AS violation FROM nm WHERE role = 'product' AND image_id IN (SELECT image_id FROM nm WHERE role = 'product template') AND (image_id, number) NOT IN (SELECT (image_id, number) FROM nm WHERE role = 'product template')
+    UNION ALL SELECT image_id, gv.n || ' molecules given, ' || coalesce(an.n, 0) || ' in the output' FROM gv LEFT JOIN an USING (image_id) WHERE gv.n <> coalesce(an.n, 0)
+    UNION ALL SELECT image_id, tr.n || ' table rows, ' || coalesce(rc.n, 0) || ' reactions' FROM tr LEFT JOIN rc USING (image_id) WHERE tr.n <> coalesce(rc.n, 0)""")
+def output_rules(spark, sf_dir):
+    """Numbers of templates and products, counts of molecules, and table rows against reactions."""
+    raw = X.raw(spark, sf_dir)
+    labels = raw.filter("box_idx % 3 < 2").select("image_id", F.when(F.col("box_idx") % 3 == 0, "product template").otherwise("product").alias("role"),
+                                                  F.concat((F.col("image_id") % 9 + 1 + (F.col("p") % 7 == 0).cast("int")).cast("string"), F.lit("a")).alias("label"))
+    counts = J.count_violations(raw.select("image_id"), raw.filter("p % 12 <> 5").select("image_id"), "molecules given", "in the output")
+    rows = raw.groupBy("image_id").agg(F.max("ln").alias("n")).select("image_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    reactions = X.reactions(X.detections(spark, sf_dir)).select("image_id", "rxn_idx").distinct()
+    return J.number_violations(labels).unionByName(counts).unionByName(J.count_violations(rows, reactions, "table rows", "reactions"))
+
+
 @query("", "SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[aeiou]')) AS vowels FROM documents", plain=True)
 def batched_apply(spark, sf_dir):
     """A toy model through the batched user function: loaded once per worker, called with at most 16 texts."""

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from figweave.functions.metrics import prf, prf_sql
 from figweave.operators import boxes as B
+from figweave.operators import reactions as R
 from figweave.operators import tables as T
 from figweave.operators import text as S
 from figweave.plans import fixtures as X
 from figweave.plans.box_queries import _LINKS, round6
 from figweave.plans.registry import query
+from figweave.sources import readers as A
 
 _ROWS = """ro AS (SELECT *, sum(CASE WHEN y1 > py THEN 0 WHEN py IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y1 DESC, x0, text ROWS UNBOUNDED PRECEDING)::INT AS row_idx FROM (
     SELECT *, lag(y0) OVER (PARTITION BY page ORDER BY y1 DESC, x0, text) AS py, count(*) OVER (PARTITION BY page) AS n FROM lin) WHERE n > 1)"""
@@ -43,7 +45,7 @@ def table_cells(spark, sf_dir):
 
 def _grid(spark, sf_dir):
     cells = T.cells_of(T.rows_of(X.text_lines(spark, sf_dir)))
-    return T.align(cells, T.columns_of(cells))
+    return T.align(cells)
 
 
 @query("lin", _GRID + " SELECT * FROM gr")
@@ -69,19 +71,23 @@ def header_promotion(spark, sf_dir):
     return T.promoted(T.cells_of(T.rows_of(X.text_lines(spark, sf_dir))))
 
 
-@query("lin", """tb AS (SELECT page, min(x0) AS l, min(y0) AS bottom, max(x1) AS r, max(y1) AS top FROM lin GROUP BY 1),
-    bx AS (SELECT page, x0, y0, x1, y1, text FROM lin UNION ALL SELECT page, l, top + 5 + page % 40, r, top + 20 + page % 40, 'see Table ' || page FROM tb UNION ALL
-        SELECT page, l, bottom - 30 - page % 25, r, bottom - 5 - page % 25, 'note a' || page % 7 || ' dry' FROM tb UNION ALL SELECT page, l - 90, top + 1, l - 10, top + 9, 'Scheme apart' FROM tb),
-    k AS (SELECT bx.*, bottom, top, regexp_extract(text, '(Table.*|Scheme.*)', 1) AS t, regexp_extract(text, '(a[A-Z0-9].*)', 1) AS f FROM bx JOIN tb USING (page) WHERE x0 <= r AND x1 >= l)
-    SELECT page, coalesce(arg_min(t, (abs(y0 - top), text)) FILTER (WHERE t <> '' AND abs(y0 - top) < 30), '') AS title,
-        coalesce(arg_min(f, (abs(y1 - bottom), text)) FILTER (WHERE f <> '' AND abs(y1 - bottom) < 30 AND NOT (y0 >= bottom AND y1 <= top)), '') AS footnote FROM k GROUP BY page""")
+_MARKERS = "[" + ", ".join(f"'a{chr(c)}'" for c in range(65, 91)) + ", " + ", ".join(f"'a{d}'" for d in range(1, 10)) + ", 'a0']"
+
+
+@query("lin", f"""tb AS (SELECT page, min(x0) AS l, min(y0) AS bottom, max(x1) AS r, max(y1) AS top FROM lin GROUP BY 1),
+    bx AS (SELECT page, x0, y0, x1, y1, text FROM lin UNION ALL SELECT page, l, top + 5 + page % 40, r, top + 20 + page % 40, CASE WHEN page % 3 = 0 THEN 'Scheme 1 and Table ' ELSE 'see Scheme ' END || page FROM tb UNION ALL
+        SELECT page, l, bottom - 30 - page % 25, r, bottom - 5 - page % 25, 'note a' || page % 7 || ' dry aB' || page % 2 FROM tb UNION ALL SELECT page, l - 90, top + 1, l - 10, top + 9, 'Scheme apart' FROM tb),
+    w AS (SELECT bx.*, bottom, top, CASE WHEN contains(text, 'Table') THEN 'Table' WHEN contains(text, 'Scheme') THEN 'Scheme' END AS tw, list_filter({_MARKERS}, lambda m: contains(text, m))[1] AS fw FROM bx JOIN tb USING (page) WHERE x0 <= r AND x1 >= l),
+    k AS (SELECT *, text[strpos(text, tw):] AS t, text[strpos(text, fw):] AS f FROM w)
+    SELECT page, coalesce(arg_min(t, (abs(y0 - top), text)) FILTER (WHERE tw IS NOT NULL AND abs(y0 - top) < 30), '') AS title,
+        coalesce(arg_min(f, (abs(y1 - bottom), text)) FILTER (WHERE fw IS NOT NULL AND abs(y1 - bottom) < 30 AND NOT (y0 >= bottom AND y1 <= top)), '') AS footnote FROM k GROUP BY page""")
 def table_title(spark, sf_dir):
     lines = X.text_lines(spark, sf_dir)
     tables = lines.groupBy("page").agg(F.min("x0").alias("left"), F.min("y0").alias("bottom"), F.max("x1").alias("right"), F.max("y1").alias("top"))
     page = F.col("page").cast("string")
     extra = [
-        ("left", F.col("top") + 5 + F.col("page") % 40, "right", F.col("top") + 20 + F.col("page") % 40, F.concat(F.lit("see Table "), page)),
-        ("left", F.col("bottom") - 30 - F.col("page") % 25, "right", F.col("bottom") - 5 - F.col("page") % 25, F.concat(F.lit("note a"), (F.col("page") % 7).cast("string"), F.lit(" dry"))),
+        ("left", F.col("top") + 5 + F.col("page") % 40, "right", F.col("top") + 20 + F.col("page") % 40, F.concat(F.when(F.col("page") % 3 == 0, F.lit("Scheme 1 and Table ")).otherwise(F.lit("see Scheme ")), page)),
+        ("left", F.col("bottom") - 30 - F.col("page") % 25, "right", F.col("bottom") - 5 - F.col("page") % 25, F.concat(F.lit("note a"), (F.col("page") % 7).cast("string"), F.lit(" dry aB"), (F.col("page") % 2).cast("string"))),
         (F.col("left") - 90, F.col("top") + 1, F.col("left") - 10, F.col("top") + 9, F.lit("Scheme apart")),
     ]
     boxes = lines.select("page", "x0", "y0", "x1", "y1", "text")
@@ -98,9 +104,29 @@ _GROUP = "regexp_extract(text, '^(?:[A-Za-z0-9_]+-)?([A-Za-z0-9_-]+)(?: \\([A-Za
     SELECT page, row_idx, header AS name, tag, text AS value, (page, row_idx) IN (SELECT (page, row_idx) FROM sg WHERE value <> '') AS new_reaction FROM gr WHERE tag <> 'alkyl group'
     UNION ALL SELECT page, row_idx, name, 'substitution', value, true FROM sg WHERE value <> ''""")
 def table_expand(spark, sf_dir):
-    conditions, groups = T.expand(_grid(spark, sf_dir)[0])
-    return conditions.select("page", "row_idx", F.col("header").alias("name"), "tag", F.col("text").alias("value"), "new_reaction").unionByName(
-        groups.select("page", "row_idx", "name", F.lit("substitution").alias("tag"), "value", F.lit(True).alias("new_reaction")))
+    return T.expanded(_grid(spark, sf_dir)[0])
+
+
+@query("lin atm", _GRID + f""", sg AS (SELECT page, row_idx, header AS name, {_GROUP} AS value FROM gr WHERE tag = 'alkyl group')
+    SELECT page, row_idx, atom_idx, coalesce('[' || (SELECT min(value) FROM sg WHERE sg.page = n.page AND sg.row_idx = n.row_idx AND value <> '' AND symbol = '[' || name || ']') || ']', symbol) AS symbol
+    FROM (SELECT DISTINCT page, row_idx FROM sg WHERE value <> '') n JOIN atm ON mol_id = page""")
+def table_reactions(spark, sf_dir):
+    """A new reaction for each table row that names groups: the page's molecule with the groups put in at the sites that the header names."""
+    cells = T.cells_of(T.rows_of(X.text_lines(spark, sf_dir)))
+    return T.row_reactions(T.expanded(T.align(cells)[0]), X.atoms(spark, sf_dir), T.columns_of(cells))
+
+
+@query("lin atm", _GRID + " SELECT mol_id, atom_idx, symbol, header AS name FROM atm JOIN (SELECT DISTINCT page, header FROM co WHERE tag = 'alkyl group') ON page = mol_id AND symbol = '[' || header || ']'")
+def table_sites(spark, sf_dir):
+    """Atoms that a table's headers name."""
+    return T.relevant_atoms(X.atoms(spark, sf_dir), T.columns_of(T.cells_of(T.rows_of(X.text_lines(spark, sf_dir)))))
+
+
+@query("lin", _CELLS + f""", up AS (SELECT page, (count(*) FILTER (WHERE row_idx = 1) > 0 AND count(*) FILTER (WHERE row_idx = 0) <> count(*) FILTER (WHERE row_idx = 1))::INT AS k FROM ce GROUP BY 1)
+    SELECT page, cell_idx AS col_idx, text AS header, {tag_sql('text')} AS tag FROM ce JOIN up USING (page) WHERE row_idx = k""")
+def header_retag(spark, sf_dir):
+    """Headers and their tags, of the first data row where that becomes the header."""
+    return T.columns_of(T.promote(T.cells_of(T.rows_of(X.text_lines(spark, sf_dir))))).select("page", "col_idx", "header", "tag")
 
 
 @query("lin", "SELECT page, count(*) AS n_inside FROM lin WHERE x0 > 90 AND x0 < 390 AND x1 > 90 AND x1 < 390 AND y0 > 600 AND y0 < 715 AND y1 > 600 AND y1 < 715 GROUP BY 1")
@@ -123,6 +149,40 @@ def sentences(spark, sf_dir):
     return S.sentences(docs)
 
 
+@query("", "WITH " + _SENT.format(text=_PARA, src="documents") + " SELECT doc_id, para_idx, sent_idx, sentence FROM se WHERE len(string_split(sentence, ' ')) >= 12", plain=True)
+def sentences_with_reactions(spark, sf_dir):
+    """Sentences in which something was found; here what is found is any sentence of twelve words, in place of a model's answer."""
+    rows = sentences(spark, sf_dir)
+    return R.of_sentences(rows, rows.filter(F.size(F.split("sentence", " ")) >= 12))
+
+
+@query("raw", """SELECT ['Text', 'Title', 'List', 'Table', 'Figure'][(p % 5 + 1)::INT] AS type, count(*) AS n, sum(place)::BIGINT AS places FROM (SELECT p, row_number() OVER (PARTITION BY image_id ORDER BY box_idx) AS place FROM raw) GROUP BY 1""")
+def layout_blocks(spark, sf_dir):
+    """Layout blocks with their page by position, split by type."""
+    kinds = ("Text", "Title", "List", "Table", "Figure")
+    blocks = A.numbered(X.raw(spark, sf_dir).select("image_id", "box_idx", X.pick(kinds, F.col("p") % 5).alias("type")), "image_id", "box_idx")
+    count = lambda k, df: df.agg(F.lit(k).alias("type"), F.count("*").alias("n"), F.sum("page").alias("places"))
+    parts = [count(k, df) for k, df in A.split_blocks(blocks, kinds).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.filter("n > 0")
+
+
+@query("raw", """f AS (SELECT image_id, box_idx, 'figure' AS kind FROM raw WHERE p % 4 = 0), t AS (SELECT image_id, box_idx, 'table' AS kind, abs(s % 200 - q * 2) > 50 AS fig FROM raw WHERE p % 4 = 3)
+    SELECT 'tables' AS content, image_id, box_idx, kind FROM t UNION ALL SELECT 'figures', * FROM f UNION ALL SELECT 'figures', image_id, box_idx, kind FROM t WHERE fig UNION ALL SELECT 'all', * FROM f UNION ALL SELECT 'all', image_id, box_idx, kind FROM t""")
+def content_switch(spark, sf_dir):
+    """Tables, figures with the tables that hold one, or all."""
+    rows = X.raw(spark, sf_dir)
+    figures = rows.filter("p % 4 = 0").select("image_id", "box_idx", F.lit("figure").alias("kind"))
+    tables = rows.filter("p % 4 = 3").select("image_id", "box_idx", F.lit("table").alias("kind"), (F.col("s") % 200).cast("double").alias("title_y"), (F.col("q") * 2).cast("double").alias("header_y"))
+    out = None
+    for name in ("tables", "figures", "all"):
+        part = A.content_switch(figures, tables, None if name == "all" else name).select(F.lit(name).alias("content"), "image_id", "box_idx", "kind")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _LABELS = r"""la AS (SELECT image_id, box_idx, unnest(regexp_extract_all(text, '\b(\d+[a-zA-Z]{0,2})\b', 1)) AS label, generate_subscripts(regexp_extract_all(text, '\b(\d+[a-zA-Z]{0,2})\b', 1), 1) - 1 AS ordinal FROM men)"""
 
 
