@@ -64,11 +64,15 @@ def merge_fill(rows: DataFrame, ok: Column, first: Column, second: Column) -> Da
     return rows.agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_failed"), F.count_if(~ok & (second == 1)).alias("n_filled"), F.avg(ok.cast("int")).alias("success"), F.sum(F.when(ok, first).otherwise(second)).alias("merged")).withColumn("success", F.round("success", 6))
 
 
-def _matches(batch: pd.DataFrame, scale: float) -> pd.DataFrame:
-    """Greedy matches of one image: predictions by score take the free gold box with the highest IoU that reaches the threshold."""
-    gold, pred = batch[batch["gold"]], batch[~batch["gold"]].sort_values(["score", "box_idx"], ascending=[False, True], kind="stable")
-    box = lambda d: d[["x1", "y1", "x2", "y2"]].to_numpy()[:, None, :]
-    g, p = box(gold).transpose(1, 0, 2), box(pred)
+def _matches(image: tuple, scale: float) -> list[np.ndarray]:
+    """Greedy matches of one image, as arrays: predictions by score take the free gold box with the highest IoU that reaches the threshold. `image` holds gold flags, scores, indices and
+    corners of its boxes."""
+    is_gold, scores, index, *corners = (np.asarray(x) for x in image)
+    boxes = np.stack(corners, axis=-1)
+    preds = np.flatnonzero(~is_gold)
+    preds = preds[np.lexsort((index[preds], -scores[preds]))]
+    scores, g, p = scores[preds], boxes[is_gold][None], boxes[preds][:, None]
+    n_boxes = g.shape[1]
     wide = np.clip(np.minimum(p[..., 2], g[..., 2]) - np.maximum(p[..., 0], g[..., 0]), 0, None)
     high = np.clip(np.minimum(p[..., 3], g[..., 3]) - np.maximum(p[..., 1], g[..., 1]), 0, None)
     size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
@@ -77,9 +81,9 @@ def _matches(batch: pd.DataFrame, scale: float) -> pd.DataFrame:
     low, high = (np.array([AREAS[n][k] for n in names])[:, None] for k in (0, 1))
     skip = (size(g)[0] * scale < low) | (size(g)[0] * scale >= high)  # gold boxes by area range
     inside = (size(p)[:, 0] * scale >= low) & (size(p)[:, 0] * scale < high)
-    taken = np.zeros((len(names), len(thresholds), len(gold)), dtype=bool)  # all area ranges and thresholds at once
+    taken = np.zeros((len(names), len(thresholds), n_boxes), dtype=bool)  # all area ranges and thresholds at once
     found = []
-    for k, score in enumerate(pred["score"] if len(gold) else []):
+    for k, score in enumerate(scores if n_boxes else []):
         fit = (iou[k] >= np.minimum(thresholds, 1 - 1e-10)[:, None]) & ~taken
         own, ignored = fit & ~skip[:, None], fit & skip[:, None]  # an ignored gold box is taken only where no other fits
         hit, lost = own.any(axis=2), ignored.any(axis=2)
@@ -88,22 +92,34 @@ def _matches(batch: pd.DataFrame, scale: float) -> pd.DataFrame:
         taken[a, t, best[a, t]] = True
         a, t = np.nonzero(hit | (~lost & inside[:, k : k + 1]))
         found.append((a, t, np.full(len(a), k), np.full(len(a), float(score)), hit[a, t].astype(int)))
-    if not len(gold):
+    n = len(thresholds)
+    if not n_boxes:
         a, k = np.nonzero(inside)
-        found = [(np.repeat(a, len(thresholds)), np.tile(np.arange(len(thresholds)), len(a)), np.repeat(k, len(thresholds)), np.repeat(pred["score"].to_numpy()[k], len(thresholds)), np.zeros(len(a) * len(thresholds), dtype=int))]
-    a, t = (x.ravel() for x in np.indices((len(names), len(thresholds))))
+        found = [(np.repeat(a, n), np.tile(np.arange(n), len(a)), np.repeat(k, n), np.repeat(scores[k], n), np.zeros(len(a) * n, dtype=int))]
+    a, t = (x.ravel() for x in np.indices((len(names), n)))
     found.append((a, t, np.full(len(a), -1), np.zeros(len(a)), np.zeros(len(a), dtype=int)))
     a, t, place, score, tp = (np.concatenate(x) for x in zip(*found))
-    n_gold = np.where(place < 0, (~skip).sum(axis=1)[a], 0)
-    return pd.DataFrame({"area": np.array(names, dtype=object)[a], "threshold": thresholds[t], "place": place, "score": score, "tp": tp, "n_gold": n_gold, "image_id": batch["image_id"].iloc[0]})
+    return [a, t, place, score, tp, np.where(place < 0, (~skip).sum(axis=1)[a], 0)]
 
 
 def detection_matches(gold: DataFrame, pred: DataFrame, scale: float) -> DataFrame:
-    """(image_id, area, threshold, place, score, tp, n_gold) by image; images without a prediction are left out."""
+    """(image_id, area, threshold, place, score, tp, n_gold) by image; images without a prediction are left out. One row per image goes to Python, many in a batch."""
+    columns = ["gold", "score", "box_idx", "x1", "y1", "x2", "y2"]
     seen = pred.select("image_id").distinct()
     rows = gold.join(seen, "image_id", "left_semi").withColumn("gold", F.lit(True)).unionByName(pred.withColumn("gold", F.lit(False)))
-    schema = "area string, threshold double, place int, score double, tp int, n_gold int, image_id long"
-    return rows.groupBy("image_id").applyInPandas(lambda b: _matches(b, scale), schema)
+    images = rows.groupBy("image_id").agg(F.collect_list(F.struct(*columns)).alias("b"))
+    images = images.select("image_id", *[F.transform("b", lambda x, c=c: x[c]).alias(c) for c in columns])
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        areas, thresholds = np.array(list(AREAS), dtype=object), np.array(THRESHOLDS)
+        for batch in batches:
+            found = [_matches(image, scale) for image in zip(*[batch[c] for c in columns])]
+            if found:
+                a, t, place, score, tp, n_gold = (np.concatenate(x) for x in zip(*found))
+                ids = np.repeat(batch["image_id"].to_numpy(), [len(f[0]) for f in found])
+                yield pd.DataFrame({"area": areas[a], "threshold": thresholds[t], "place": place, "score": score, "tp": tp, "n_gold": n_gold, "image_id": ids})
+
+    return images.mapInPandas(match, "area string, threshold double, place int, score double, tp int, n_gold int, image_id long")
 
 
 def average_precision(matches: DataFrame, cells: int = 1000, most: tuple[int, ...] = (100,)) -> DataFrame:
