@@ -108,7 +108,7 @@ def detection_matches(gold: DataFrame, pred: DataFrame, scale: float) -> DataFra
     seen = pred.select("image_id").distinct()
     rows = gold.join(seen, "image_id", "left_semi").withColumn("gold", F.lit(True)).unionByName(pred.withColumn("gold", F.lit(False)))
     images = rows.groupBy("image_id").agg(F.collect_list(F.struct(*columns)).alias("b"))
-    images = images.select("image_id", *[F.transform("b", lambda x, c=c: x[c]).alias(c) for c in columns])
+    images = images.select("image_id", *[F.col(f"b.{c}").alias(c) for c in columns])
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         areas, thresholds = np.array(list(AREAS), dtype=object), np.array(THRESHOLDS)
