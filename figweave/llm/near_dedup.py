@@ -140,6 +140,25 @@ def _bayes(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long, m long")
 
 
+def _longs(sig: Column) -> Column:
+    """A signature as longs of eight bytes."""
+    return F.transform(F.sequence(F.lit(0), F.lit(HASHES // 8 - 1)), lambda i: F.conv(F.hex(F.substring(sig, i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+
+
+def _survives(x: Column, y: Column, threshold: float) -> Column:
+    """Whether no batch of the comparison prunes two signatures in _longs() form: what _bayes does, as a join's condition, so that pruned pairs are never made."""
+    def differing(i):
+        z = x[i].bitwiseXOR(y[i])  # the lowest bit of each byte becomes whether the byte has any
+        for by in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, by))
+        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+
+    out, least = F.lit(True), least_matches(threshold)
+    for n in least:
+        out = out & (sum(differing(i) for i in range(n // 8)) <= n - least[n])
+    return out
+
+
 def _exact(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,16 +259,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = write_table(reps.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "nd-known")
     mixed = join_counted(members.select("band", "key", "id"), _several(members, known), ["band", "key"], "n_here", n_rows)
     mixed = write_table(mixed.join(known, "id"), "nd-mixed")
-    few = mixed.filter(F.col("n_here") <= SMALL)
-    minor = few.filter("label <> main").select("band", "key", F.col("id").alias("x"), F.col("label").alias("lx"))
-    sides = few.select("band", "key", F.col("id").alias("y"), F.col("label").alias("ly")).join(minor, ["band", "key"]).filter("lx <> ly")
-    cross = sides.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    longs = reps.select("id", _longs(F.col("sig")).alias("s"))
+    few = mixed.filter(F.col("n_here") <= SMALL).join(longs, "id")
+    minor = few.filter("label <> main").select("band", "key", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("s").alias("sx"))
+    sides = few.select("band", "key", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("s").alias("sy")).join(minor, ["band", "key"])
+    cross = sides.filter((F.col("lx") != F.col("ly")) & _survives(F.col("sx"), F.col("sy"), threshold)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     many = mixed.filter(F.col("n_here") > SMALL)
     if not many.isEmpty():
-        cross = cross.unionByName(_prefix_pairs(many, reps, texts, percent, n_rows))
+        cross = cross.unionByName(_prefix_pairs(many, reps, longs, texts, percent, n_rows))
     cross = cross.distinct().join(tried, ["a", "b"], "left_anti")
-    more = write_table(_bayes(write_table(cross, "nd-cross"), reps, threshold), "nd-more")
-    late = write_table(_exact(more, texts, percent), "nd-late")
+    late = write_table(_exact(write_table(cross, "nd-cross"), texts, percent), "nd-late")
     # components of components: edges between first labels
     names = known.select(F.col("id").alias("a"), F.col("label").alias("la")), known.select(F.col("id").alias("b"), F.col("label").alias("lb"))
     joined = components(late.join(names[0], "a").join(names[1], "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -292,8 +311,8 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return write_table(found.select(F.col("class").alias("id"), "text").dropDuplicates(["id"]), "nd-texts")
 
 
-def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, n_rows: int) -> DataFrame:
-    """Pairs (a, b) across components among the documents of large mixed buckets (band, key, id, label, main), by an exact prefix filter.
+def _prefix_pairs(mixed: DataFrame, reps: DataFrame, longs: DataFrame, texts: DataFrame, percent: int, n_rows: int) -> DataFrame:
+    """Pairs (a, b) across components among the documents of large mixed buckets (band, key, id, label, main), by an exact prefix filter, that the signature comparison does not prune.
 
     Two sets that are similar enough share at least percent / (100 + percent) of both sizes together. So, with shingles in order of
     how many documents have them, rarest first, they share one within the first n - that + 1. A heavily changed copy has only shingles of its own there and makes no pair.
@@ -332,13 +351,13 @@ def _prefix_pairs(mixed: DataFrame, reps: DataFrame, texts: DataFrame, percent:
     heads = write_table(found.select("id", "text", "label", "minor", "n", "first").mapInPandas(head, schema), "nd-hot-heads")
     # shingles that several heads hold; of a common one, the holders are dealt to parts of at most PART and each minor one meets every part
     counts_ = heads.groupBy("h").agg(F.count("*").alias("c"), F.max("minor").alias("m")).filter("c > 1 and m = 1").drop("m")
-    heads = join_counted(heads, write_table(counts_, "nd-common"), ["h"], "c", heads.count()).withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
-    one = heads.filter("minor = 1").select(F.col("id").alias("x"), "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    other = heads.select(F.col("id").alias("y"), "h", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    heads = join_counted(heads, write_table(counts_, "nd-common"), ["h"], "c", heads.count()).withColumn("parts", F.ceil(F.col("c") / PART).cast("int")).join(longs, "id")
+    one = heads.filter("minor = 1").select(F.col("id").alias("x"), "h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("s").alias("sx"))
+    other = heads.select(F.col("id").alias("y"), "h", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("s").alias("sy"))
     # with both sizes known, the first shared shingle must stand early enough in both
     shared = F.ceil((F.col("nx") + F.col("ny")) * percent / (100.0 + percent) - 1e-9)
     early = (F.col("px") <= F.col("nx") - shared + 1) & (F.col("py") <= F.col("ny") - shared + 1)
-    both = other.join(one, (other["h"] == one["h"]) & (other["part"] == one["part"]) & (F.col("lx") != F.col("ly")) & early)
+    both = other.join(one, (other["h"] == one["h"]) & (other["part"] == one["part"]) & (F.col("lx") != F.col("ly")) & early & _survives(F.col("sx"), F.col("sy"), percent / 100))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -301,6 +301,10 @@ def test_signatures_of_long_texts_prune(spark):
     pairs = spark.createDataFrame(list(itertools.combinations(range(40), 2)), "a long, b long")
     kept = {(r.a, r.b) for r in near_dedup._bayes(pairs, sketches, 0.75).collect()}
     assert kept == {(2 * i, 2 * i + 1) for i in range(20)}
+    longs = sketches.select("id", near_dedup._longs(F.col("sig")).alias("s"))
+    x, y = (longs.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    inside = pairs.join(x, "a").join(y, "b").filter(near_dedup._survives(F.col("sa"), F.col("sb"), 0.75))
+    assert {(r.a, r.b) for r in inside.collect()} == kept
 
 
 def test_near_copies_stay_near(spark):
