@@ -113,38 +113,73 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         lineSep="\r\n", compression="gzip", maxRecordsPerFile=records_per_file).text(path)
 
 
+BROKEN = ("broken", *[None] * 8)
+
+
+def _headers(raw: bytes) -> dict[str, str]:
+    """Named fields of a record's head, names in lower case; a line without a colon is left out."""
+    fields = (x.partition(":") for x in raw.decode(errors="replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in fields if colon}
+
+
+def _number(text: str | None) -> int | None:
+    """A field's number; None where the field is missing or no number."""
+    return int(text) if text and text.isascii() and text.lstrip("-").isdigit() and len(text) < 19 else None
+
+
 def _parse(data: bytes) -> Iterator[tuple]:
+    """Records of an archive. A block that is cut short comes with what it has, and a broken row behind it. One without length, type or identifier is a broken row; where the next record begins cannot be known without a length, so reading goes on at the next `WARC/` line."""
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            yield ("broken", None, None, None, None, None, None, None, None)
-            return
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        size = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        number = lambda k, head=head: int(head[k]) if k in head else None
-        refers = head.get("WARC-Refers-To")
-        name = head["WARC-Record-ID"]
-        yield (head["WARC-Type"], name, head.get("WARC-Segment-Origin-ID", name), number("X-Page-ID"), number("WARC-Segment-Number"), number("WARC-Segment-Total-Length"),
-               head.get("WARC-Payload-Digest", "").removeprefix("sha256:"), int(refers.strip("<>").rpartition(":")[2]) if refers else None, block)
+        head = _headers(data[at:end]) if end >= 0 and data.startswith(b"WARC/", at) else {}
+        size = _number(head.get("content-length"))
+        if size is None or size < 0:
+            yield BROKEN
+            at = data.find(b"\r\n\r\nWARC/", at) + 4
+            if at < 4:
+                return
+            continue
+        name, kind = head.get("warc-record-id"), head.get("warc-type")
+        refers = head.get("warc-refers-to")
+        if name and kind:
+            yield (kind, name, head.get("warc-segment-origin-id", name), _number(head.get("x-page-id")), _number(head.get("warc-segment-number")),
+                   _number(head.get("warc-segment-total-length")), head.get("warc-payload-digest", "").removeprefix("sha256:"),
+                   _number(refers.strip("<>").rpartition(":")[2]) if refers else None, data[end + 4 : end + 4 + size])
+        if not (name and kind) or end + 4 + size > len(data):
+            yield BROKEN
         at = end + 4 + size + 4
 
 
+def _inflated(rest: bytes) -> tuple[bytes, bool]:
+    """The bytes of a gzip file, and whether all of it could be read; a damaged member ends it, with what it gave before."""
+    parts, at, z = [], 0, None
+    while at < len(rest):
+        z = z or zlib.decompressobj(31)
+        piece = memoryview(rest)[at : at + (1 << 16)]
+        try:
+            parts.append(z.decompress(piece))
+        except zlib.error:
+            return b"".join(parts), False
+        at += len(piece) - len(z.unused_data)
+        z = None if z.eof else z
+    return b"".join(parts), z is None
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under `path`, one row each (columns of RECORD). An archive cut short ends in a row of type `broken`."""
+    """Every record of the archives under `path`, one row each (columns of RECORD). 
+
+    What is damaged gives a row of type `broken` (all else null) and never fails a task: a head without length, type or identifier, and a gzip
+    stream that ends early or cannot be read, up to which its records come back. So does one whose block is cut short: it has what is there of it, which reassemble() reports.
+    """
     columns = [x.split()[0] for x in RECORD.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                data, rest = [], bytes(content)
-                while rest:
-                    z = zlib.decompressobj(31)
-                    data.append(z.decompress(rest))
-                    rest = z.unused_data
-                out, n = [], 0
-                for record in _parse(b"".join(data)):
+                data, whole = _inflated(bytes(content))
+                out, n = [] if whole else [BROKEN], 0
+                for record in _parse(data):
                     out.append(record)
                     n += len(record[-1] or b"")
                     if n > FLUSH_BYTES:

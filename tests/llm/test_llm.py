@@ -354,6 +354,32 @@ def test_warc_round_trip(spark):
     assert warc.resolve_revisits(warc.reassemble(warc.read_records(spark, path))).count() == 0
 
 
+def test_damaged_archives_give_broken_rows(spark, tmp_path):
+    """Whole records before and after a damaged head come back; damage fails nothing."""
+    import gzip
+
+    record = lambda i, **more: warc._record(b"block", WARC_Type="response", WARC_Record_ID=f"<{i}>", X_Page_ID=i, **more) + b"\r\n"
+    bad = b"WARC/1.1\r\nno colon here\r\nWARC-Type: response\r\n\r\nblock\r\n\r\n"
+    odd = record(3).replace(b"Content-Length: 5", b"content-length:5\r\nno colon").replace(b"X-Page-ID: 3", b"X-Page-ID: three")
+    nameless = record(4).replace(b"WARC-Record-ID", b"Other")
+    packed = gzip.compress(b"".join(record(i) for i in range(200)))
+    files = {"a": gzip.compress(record(1)) + gzip.compress(bad + record(2)), "b": gzip.compress(odd + nameless + record(5)), "c": packed[: len(packed) // 2], "d": b"no gzip at all", "e": b"",
+             "f": gzip.compress(record(6)[:-7]), "g": gzip.compress(record(7)) + b"\x00garbage"}
+    got = {}
+    for name, data in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc.gz").write_bytes(data)
+        got[name] = warc.read_records(spark, f"file://{tmp_path}/{name}").select("type", "record_id", "page_id").collect()
+    ids = {k: [r.record_id for r in v if r.type != "broken"] for k, v in got.items()}
+    broken = {k: sum(r.type == "broken" for r in v) for k, v in got.items()}
+    assert ids["a"] == ["<1>", "<2>"] and ids["b"] == ["<3>", "<5>"] and ids["c"] == [f"<{i}>" for i in range(len(ids["c"]))] and ids["d"] == ids["e"] == [] and ids["f"] == ["<6>"] and ids["g"] == ["<7>"]
+    assert broken["a"] == broken["b"] == broken["d"] == broken["f"] == broken["g"] == 1 and broken["c"] >= 1 and broken["e"] == 0
+    assert [r.page_id for r in got["b"] if r.record_id == "<3>"] == [None]
+    assert len(ids["c"]) > 10
+    short = warc.reassemble(warc.read_records(spark, f"file://{tmp_path}/f")).collect()
+    assert [(r.page_id, r.status) for r in short] == [(6, "framing")]
+
+
 def test_broken_framing_is_reported():
     framed = warc.chunked(b"abc" * 100, 50)
     assert warc.unchunked(framed) == b"abc" * 100 and warc.unchunked(warc.chunked(b"", 50)) == b""
