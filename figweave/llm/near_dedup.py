@@ -146,17 +146,23 @@ def _longs(sig: Column) -> Column:
 
 
 def _survives(x: Column, y: Column, threshold: float) -> Column:
-    """Whether no batch of the comparison prunes two signatures in _longs() form: what _bayes does, as a join's condition, so that pruned pairs are never made."""
-    def differing(i):
-        z = x[i].bitwiseXOR(y[i])  # the lowest bit of each byte becomes whether the byte has any
+    """Whether no batch of the comparison prunes two signatures in _longs() form: what _bayes does, as a join's condition, so that pruned pairs are never made.
+
+    Array functions keep the condition short: written out long by long it has thousands of terms, which the driver holds many times over in plans and their texts.
+    """
+    def differing(z):  # the lowest bit of each byte becomes whether the byte has any
         for by in (4, 2, 1):
             z = z.bitwiseOR(F.shiftrightunsigned(z, by))
         return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
-    out, least = F.lit(True), least_matches(threshold)
-    for n in least:
-        out = out & (sum(differing(i) for i in range(n // 8)) <= n - least[n])
-    return out
+    def kept(counts):
+        out, least = F.lit(True), least_matches(threshold)
+        for n in least:
+            out = out & (F.aggregate(F.slice(counts, 1, n // 8), F.lit(0), lambda s, c: s + c) <= n - least[n])
+        return out
+
+    counts = F.transform(F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b)), differing)
+    return F.element_at(F.transform(F.array(counts), kept), 1)
 
 
 def _exact(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
