@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from figweave.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, sharding, warc
+from figweave.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, phrases, pieces, quality, sharding, vector_codes, warc
 from figweave.llm.shared import write_table
 
 
@@ -84,15 +84,84 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("doc.text", 256).alias("kept_sha256"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of 2 to 3 words that occur 10 times or more, the first 2000 of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def piece_model() -> str:
+    """The public BPE vocabulary with byte fallback that the query uses; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded with begin and end ids, and decoded from its ids."""
+    model = piece_model()
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all usable vectors: 8 parts, 16 entries, 6 rounds."""
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pack_buckets, op2_nbsvm_quality, op3_minhash_near_dedup, op4_chat_prefix_targets, op5_exact_dedup,
-    op6_merkle_fingerprints, op7_warc_segments, op8_pareto_mix, op9_hilbert_shards, op10_line_dedup)}
+    op6_merkle_fingerprints, op7_warc_segments, op8_pareto_mix, op9_hilbert_shards, op10_line_dedup,
+    op11_phrase_collocations, op12_piece_table, op13_vector_codes)}
 
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _CONTROL = "|".join(re.escape(x) for x in ("\\", *chat.CONTROL))
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out: codebook c, assignment a, sums of a round, the next codebook."""
+    far = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = [f"""
+        v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, part, e[part * len(e) // {parts} + 1:(part + 1) * len(e) // {parts}] AS x FROM v, range({parts}) t(part)),
+        c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {entries}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT p.vec_id, p.part, any_value(p.x) AS x, min({{'d': {far}, 'k': c.k}}) AS best FROM p JOIN c{r} c ON c.part = p.part GROUP BY p.vec_id, p.part)")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (SELECT part, k, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM (
+                 SELECT part, best.k AS k, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY part, best.k, i) GROUP BY part, k),
+        c{r + 1} AS MATERIALIZED (SELECT c.part, c.k, coalesce(s.x, c.x) AS x FROM c{r} c LEFT JOIN s{r} s ON s.part = c.part AND s.k = c.k)""")
+    return f"""WITH {", ".join(steps)},
+        h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, k)) AS h FROM c{rounds}),
+        o AS (SELECT vec_id, string_agg(lpad(to_hex(best.k), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+        SELECT o.vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY v.label))::BIGINT AS label_error, h.h AS codebooks_sha256 FROM o JOIN v ON v.vec_id = o.vec_id, h"""
+
+
 ORACLE_SQL = {
+    "op11_phrase_collocations": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, {_AZ.format("coalesce(text, '')")} AS t FROM documents),
+        s AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-
+]')) AS piece FROM d),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM s),
+        u AS (SELECT lang, unnest(w) AS x FROM w),
+        n AS (SELECT lang, count(*) AS n FROM u GROUP BY lang),
+        g AS (SELECT lang, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g FROM w, range(1, 4) t(k)),
+        ph AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 10),
+        h AS MATERIALIZED (SELECT lang, g, f, k, array_to_string(g[1:k], ' ') AS head, array_to_string(g[k + 1:], ' ') AS tail FROM ph, range(1, 3) t(k) WHERE k < len(g)),
+        e AS MATERIALIZED (SELECT lang, array_to_string(g, ' ') AS e, f FROM ph),
+        k AS (SELECT h.lang, h.g, h.f AS a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * h.f * h.f) // (x.f::HUGEINT * y.f) AS score
+              FROM h JOIN e x ON x.lang = h.lang AND x.e = h.head JOIN e y ON y.lang = h.lang AND y.e = h.tail),
+        c AS (SELECT lang, g, a, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS c FROM k GROUP BY lang, g, a),
+        i AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, g[1:2] AS g, f FROM ph WHERE len(g) = 3 UNION ALL SELECT lang, g[2:3], f FROM ph WHERE len(g) = 3) GROUP BY lang, g),
+        o AS (SELECT c.lang, array_to_string(c.g, ' ') AS phrase, a, c.c.l AS l, c.c.r AS r, c.c.score::BIGINT AS score FROM c LEFT JOIN i ON i.lang = c.lang AND i.g = c.g WHERE coalesce(100 * i.f < 50 * a, true))
+        SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM o JOIN n ON n.lang = o.lang QUALIFY rank <= 2000""",
+    "op13_vector_codes": _codes_sql(),
     "op3_minhash_near_dedup": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
