@@ -20,6 +20,8 @@ from figweave.llm.shared import ranked, width, write_table
 CHUNK, BLOCK = 1 << 18, 8 << 20
 #: Filter entries that one merging task is planned for.
 SHARD = 1 << 21
+#: Parts that a language's phrases are ranked in before the last ranking.
+SALTS = 16
 ROUNDS = 6
 _FOLD = {**{c: c + 32 for c in range(65, 91)}, **{ord(c): "\n" for c in ".,;:!?\x0b\x0c\r"}, 9: " "}
 _TOKEN = re.compile("[^ \n]+|\n+")
@@ -98,10 +100,10 @@ class QuotientFilter:
     def _pair(cls, a: QuotientFilter, b: QuotientFilter) -> QuotientFilter:
         return cls.of(a.half, np.concatenate([a.high, b.high]), np.concatenate([a.low, b.low]), np.concatenate([a.counts, b.counts]))
 
-    def pack(self, spread: int = 1) -> bytes:
-        """spread: which part of the key range it holds, as 1/spread; there are about as many quotients in it as entries."""
+    def pack(self) -> bytes:
+        """With as many quotient bits as give the range of its keys about as many quotients as it has entries."""
         n, half = len(self.high), self.half
-        q = min(half, max(1, (n * spread).bit_length()))
+        q = half - max(0, (int(self.high[-1] - self.high[0]) // n).bit_length() - 1) if n else 1
         quotient = (self.high >> np.uint64(half - q)).astype(np.int64)
         base = int(quotient[0]) if n else 0  # a shard's quotients lie close together: bits start at its first
         used = np.zeros(int(quotient[-1]) - base + 1 if n else 0, bool)
@@ -270,7 +272,7 @@ def _count_block(numbers: dict[str, int], texts: list[str], packing: Packing, sh
     bounds = np.searchsorted(shard, np.arange(shards + 1))
     for s in np.unique(shard).tolist():
         cut = slice(int(bounds[s]), int(bounds[s + 1]))
-        yield s, QuotientFilter(packing.half, held.high[cut], held.low[cut], held.counts[cut]).pack(shards)
+        yield s, QuotientFilter(packing.half, held.high[cut], held.low[cut], held.counts[cut]).pack()
 
 
 def _shard(high: np.ndarray, half: int, shards: int) -> np.ndarray:
@@ -339,8 +341,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     named = kept.select("ids", "a", "cut", F.posexplode("ids").alias("at", "id")).join(words, "id")
     named = named.groupBy("ids", "lang", "a", "cut").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w"))
     named = named.select("lang", "a", "cut.l", "cut.r", "cut.score", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("phrase"))
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # a language may hold most phrases: the first of each of SALTS parts of it, then the first of these
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    best = named.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", place("lang", "salt")).filter(F.col("rank") <= top)
+    best = best.withColumn("rank", place("lang")).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
