@@ -25,11 +25,8 @@ FRAGMENTS = {
 MASSES = {"H": 1.008, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "Br": 79.904, "I": 126.904}
 #: The published atom-wise SMILES token pattern.
 SMILES_TOKEN = r"\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>|\*|\$|%[0-9]{2}|[0-9]"
-#: What a condensed formula is made of: known names (in the table's order, so that the first that fits is taken), R-sites, elements, counts and brackets.
-FORMULA_PARTS = {"name": "|".join(map(re.escape, FRAGMENTS)), "site": r"R\d*", "element": "[A-Z][a-z]*", "count": r"\d+", "bracket": "[()]"}
-FORMULA_TOKEN = "(" + "|".join(FORMULA_PARTS.values()) + ")"
-#: Counts with more digits are no formula.
-COUNT_DIGITS = 4
+#: A formula of more characters, a count of more digits or more atoms in all than this is no formula: a short text of nested counts would else stand for any number of atoms.
+FORMULA_CHARS, COUNT_DIGITS, FORMULA_ATOMS = 2000, 4, 10_000
 
 
 def bare(symbol: Column) -> Column:
@@ -62,8 +59,14 @@ def without_locants(value: Column) -> Column:
     return F.regexp_replace(value, r"^[0-9,]+-", "")
 
 
+def formula_token() -> str:
+    """The pattern of one token of a condensed formula: the longest known name that fits, else an R-site, an element, a count, a bracket. No other character belongs to a formula."""
+    names = sorted(FRAGMENTS, key=len, reverse=True)
+    return "|".join([*map(re.escape, names), r"R\d*", "[A-Z][a-z]*", r"\d+", "[()]"])
+
+
 def formula_tokens(formula: Column) -> Column:
-    return F.regexp_extract_all(formula, F.lit(FORMULA_TOKEN), 1)
+    return F.regexp_extract_all(formula, F.lit(f"({formula_token()})"), 1)
 
 
 def _is_count(token: Column) -> Column:
@@ -86,10 +89,33 @@ def symbol_counts(formula: Column) -> Column:
     return F.when(is_formula(formula), F.aggregate(F.reverse(formula_tokens(formula)), start, step)["found"])
 
 
-def is_formula(formula: Column) -> Column:
-    """Brackets close what they open, and no count has more than COUNT_DIGITS digits."""
+def formula_size(formula: Column) -> Column:
+    """How many atoms a formula stands for, as a double, so that no product overflows. A count of 0 counts as 1, as what it repeats is made first."""
+    start = F.struct(F.array(F.lit(1.0)).alias("factors"), F.lit(1.0).alias("count"), F.lit(0.0).alias("size"))
+
+    def step(at, token):
+        top = F.element_at(at["factors"], -1)
+        outer = F.when(F.size(at["factors"]) > 1, F.slice(at["factors"], F.lit(1), F.size(at["factors"]) - 1)).otherwise(at["factors"])
+        factors = F.when(token == ")", F.array_append(at["factors"], top * at["count"])).when(token == "(", outer).otherwise(at["factors"])
+        count = F.when(_is_count(token), F.greatest(F.left(token, F.lit(COUNT_DIGITS + 1)).try_cast("double"), F.lit(1.0))).otherwise(F.lit(1.0))
+        size = at["size"] + F.when(_is_count(token) | token.isin("(", ")"), F.lit(0.0)).otherwise(top * at["count"])
+        return F.struct(factors.alias("factors"), count.alias("count"), size.alias("size"))
+
+    return F.aggregate(F.reverse(formula_tokens(formula)), start, step)["size"]
+
+
+def formula_problem(formula: Column) -> Column:
+    """Why a text is no condensed formula; null for formulas. Each rule is only asked if those before it hold, so no text costs more than FORMULA_CHARS and FORMULA_ATOMS allow."""
     open_ = F.aggregate(formula_tokens(formula), F.lit(0), lambda n, t: F.when(n < 0, n).otherwise(n + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)))
-    return (open_ == 0) & ~F.regexp_like(formula, F.lit(r"\d{%d}" % (COUNT_DIGITS + 1)))
+    return (
+        F.when(formula.isNull(), "no text").when(F.length(formula) > FORMULA_CHARS, f"more than {FORMULA_CHARS} characters")
+        .when(F.regexp_like(formula, F.lit(r"\d{%d}" % (COUNT_DIGITS + 1))), f"a count of more than {COUNT_DIGITS} digits")
+        .when(F.regexp_replace(formula, formula_token(), "") != "", "characters of no token").when(open_ != 0, "brackets that do not close")
+        .when(formula_size(formula) > FORMULA_ATOMS, f"more than {FORMULA_ATOMS} atoms"))
+
+
+def is_formula(formula: Column) -> Column:
+    return formula_problem(formula).isNull()
 
 
 def formula_atoms(formula: Column) -> Column:

@@ -42,17 +42,31 @@ def topk_accuracy(rows: DataFrame, key: str, ks: tuple[int, ...]) -> DataFrame:
 def rolling(rows: DataFrame, key: str, order: list[str], value: str, size: int, chunk: int = 100_000) -> DataFrame:
     """rows with the lower median, mean, maximum and last value of the last `size` rows of a key, and the key's mean over all.
 
-    A key's rows are windowed in chunks of its order; the last size - 1 rows of a chunk also go to the next one as its halo, so a key with most rows is many tasks.
+    Keys of at most `chunk` rows, by a count when this is called, are one window each, and the mean over all is a window on the same partitions. The rows of larger keys are ranked and windowed in chunks of their order; the last size - 1 rows of a chunk also go to the next one
+    as its halo, so a key with most rows is many tasks. `chunk` only says which way.
     """
-    placed = ranked(rows, order, key).withColumn("_chunk", F.floor(F.col("rank") / chunk))
+    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    large = n.filter(F.col("_n") > chunk).select(key)
+
+    def finished(df: DataFrame) -> DataFrame:
+        out = df.withColumn("median", F.element_at("_h", F.floor((F.size("_h") + 1) / 2).cast("int"))).withColumn("max", F.array_max("_h")).withColumn("last", F.col(value))
+        return out.select(*rows.columns, "mean", "median", "max", "last", "total_mean")
+
+    def plain(df: DataFrame) -> DataFrame:
+        w = W.partitionBy(key).orderBy(*order).rowsBetween(1 - size, 0)
+        return finished(df.withColumn("_h", F.sort_array(F.collect_list(value).over(w))).withColumn("mean", F.avg(value).over(w)).withColumn("total_mean", F.avg(value).over(W.partitionBy(key))))
+
+    if large.isEmpty():
+        return plain(rows)
+    large = cut(large)
+    placed = ranked(rows.join(large, key, "left_semi"), order, key).withColumn("_chunk", F.floor(F.col("rank") / chunk))
     late = F.col("rank") % chunk >= chunk - size + 1
     mine, more = F.struct(F.col("_chunk").alias("c"), F.lit(False).alias("halo")), F.struct((F.col("_chunk") + 1).alias("c"), F.lit(True).alias("halo"))
     dealt = placed.withColumn("_to", F.explode(F.when(late, F.array(mine, more)).otherwise(F.array(mine))))
     w = W.partitionBy(key, "_to.c").orderBy("rank").rowsBetween(1 - size, 0)
     dealt = dealt.withColumn("_h", F.sort_array(F.collect_list(value).over(w))).withColumn("mean", F.avg(value).over(w)).filter("not _to.halo")
-    total = rows.groupBy(key).agg(F.avg(value).alias("total_mean"))
-    out = dealt.withColumn("median", F.element_at("_h", F.floor((F.size("_h") + 1) / 2).cast("int"))).withColumn("max", F.array_max("_h")).withColumn("last", F.col(value))
-    return out.drop("_h", "_to", "_chunk", "rank").join(total, key)
+    total = rows.join(large, key, "left_semi").groupBy(key).agg(F.avg(value).alias("total_mean"))
+    return plain(rows.join(large, key, "left_anti")).unionByName(finished(dealt.join(total, key)))
 
 
 def weighted_mean(rows: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:

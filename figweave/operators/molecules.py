@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from figweave.functions.chemistry import FRAGMENTS, MASSES, bare, expand_symbol, is_formula, symbol_counts, without_locants
+from figweave.functions.chemistry import FRAGMENTS, MASSES, bare, expand_symbol, formula_problem, symbol_counts, without_locants
 from figweave.functions.lineage import cut
+from figweave.operators.graphs import packed, united
 
 
 def edges_of(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -93,8 +94,31 @@ def weights(atoms: DataFrame) -> DataFrame:
     return atoms.join(F.broadcast(table), "symbol").groupBy("mol_id").agg(mass.alias("weight"), (F.sum(F.when(F.col("symbol") == "C", F.col("mass")).otherwise(0.0)) / mass).alias("carbon_share"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, group: str = "mol_id") -> DataFrame:
-    """nodes(group, atom_idx) with `label`, the least atom reachable over edges(group, a, b) in both directions. Label propagation with pointer jumping."""
+def components(nodes: DataFrame, edges: DataFrame, group: str = "mol_id", limit: int = 256) -> DataFrame:
+    """nodes(group, atom_idx) with `label`, the least atom reachable over edges(group, a, b) in both directions.
+
+    Molecules of at most `limit` atoms become one row each, in one shuffle, and are united by a fold over their bonds. Larger ones, found by a count when this is called, go through label propagation, whose rounds are
+    joins: `limit` only says which way, never what comes out.
+    """
+    large = nodes.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(group)
+    if large.isEmpty():
+        return folded_components(nodes, edges, group)
+    large = cut(large)
+    of = lambda df, how: df.join(large, group, how)
+    small = folded_components(of(nodes, "left_anti"), of(edges, "left_anti"), group)
+    return small.unionByName(propagated_components(of(nodes, "left_semi"), of(edges, "left_semi"), group))
+
+
+def folded_components(nodes: DataFrame, edges: DataFrame, group: str = "mol_id") -> DataFrame:
+    """components() of molecules that fit a row."""
+    mols = packed(nodes.select(group, "atom_idx", F.lit("").alias("symbol")), edges.select(group, "a", "b", F.lit(1).alias("order")), group)
+    labels = F.transform(united(F.col("near")), lambda x: F.get("idx", x))
+    rows = mols.select(group, F.explode(F.arrays_zip(F.col("idx").alias("i"), labels.alias("l"))).alias("x"))
+    return rows.select(group, F.col("x.i").alias("atom_idx"), F.col("x.l").alias("label"))
+
+
+def propagated_components(nodes: DataFrame, edges: DataFrame, group: str = "mol_id") -> DataFrame:
+    """components() by label propagation with pointer jumping, for molecules of any size."""
     links = cut(edges.select(group, "a", "b"))
     state = cut(nodes.select(group, "atom_idx", F.col("atom_idx").alias("label")))
     while True:
@@ -181,8 +205,8 @@ def formula_counts(texts: DataFrame) -> DataFrame:
 
 
 def formula_rejects(texts: DataFrame) -> DataFrame:
-    """texts that are no condensed formula: brackets that do not close, or counts of too many digits."""
-    return texts.filter(~F.coalesce(is_formula(F.col("formula")), F.lit(False)))
+    """texts that are no condensed formula, with the `reason`: too long, a count of too many digits, other characters, brackets that do not close, too many atoms."""
+    return texts.withColumn("reason", formula_problem(F.col("formula"))).filter("reason is not null")
 
 
 def signatures(atoms: DataFrame, edges: DataFrame) -> DataFrame:
@@ -191,56 +215,3 @@ def signatures(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     named = edges.join(atoms.select("mol_id", F.col("atom_idx").alias("a"), F.col("symbol").alias("sa")), ["mol_id", "a"]).join(atoms.select("mol_id", F.col("atom_idx").alias("b"), F.col("symbol").alias("sb")), ["mol_id", "b"])
     b = named.groupBy("mol_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("sa", F.col("order").cast("string"), "sb"))), ",").alias("kb"))
     return a.join(b, "mol_id", "left").select("mol_id", F.concat("ka", F.lit("|"), F.coalesce("kb", F.lit(""))).alias("key"))
-
-
-def refined_keys(atoms: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(mol_id, key) by colour refinement: an atom's name is its symbol, then, `rounds` times, a digest of its name and of its bonds with their far ends' names; a molecule's key is the
-    sorted list of names. Molecules without rings of more than 2 * rounds atoms across have equal keys exactly if they are equal; of ring systems some regular ones cannot be told apart
-    so, and a pattern search decides between them."""
-    near = edges.groupBy("mol_id", F.col("a").alias("atom_idx")).agg(F.collect_list(F.struct("b", F.col("order").cast("string").alias("o"))).alias("near"))
-    rows = atoms.select("mol_id", "atom_idx", "symbol").join(near, ["mol_id", "atom_idx"], "left")
-    mols = rows.groupBy("mol_id").agg(F.sort_array(F.collect_list(F.struct("atom_idx", "symbol", "near"))).alias("m"))
-    places = F.transform("m", lambda x: x["atom_idx"])
-    linked = F.transform("m", lambda x: F.transform(F.coalesce(x["near"], F.array().cast("array<struct<b:int,o:string>>")), lambda y: F.struct(y["o"].alias("o"), (F.array_position(places, y["b"]) - 1).cast("int").alias("at"))))
-    mols = mols.select("mol_id", F.transform("m", lambda x: x["symbol"]).alias("names"), linked.alias("linked"))
-
-    def refine(names, _):
-        bonds = lambda near: F.array_join(F.sort_array(F.transform(near, lambda y: F.concat(y["o"], F.lit("~"), F.get(names, y["at"])))), ",")
-        return F.transform("linked", lambda near, i: F.md5(F.concat(F.get(names, i), F.lit("|"), bonds(near))))
-
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("names"), refine)
-    return mols.select("mol_id", F.md5(F.array_join(F.sort_array(last), ",")).alias("key"))
-
-
-def backout(atoms: DataFrame, edges: DataFrame, symbols: list[str], links: list[tuple[int, int]], sites: dict[str, int]) -> DataFrame:
-    """R-groups of products by a template: core atoms `symbols` and `links`, and sites {name: core atom}.
-
-    A core match leaves the rest of the product in fragments. It counts if every fragment touches the core at one atom that has a site for
-    it; the fewest sites left as hydrogen win, then the first match. (mol_id, site, group): the fragment's symbols in atom order, or H.
-    Connectivity only: no aromaticity or stereochemistry.
-    """
-    spark, names = atoms.sparkSession, [f"m{k}" for k in range(len(symbols))]
-    matches = pattern(atoms, edges, symbols, links)
-    matches = cut(matches.withColumn("match", F.concat_ws(",", F.col("mol_id").cast("string"), *[F.lpad(F.col(n).cast("string"), 4, "0") for n in names])))
-    core = matches.select("mol_id", "match", F.posexplode(F.array(*names)).alias("k", "atom_idx"))
-    rest = matches.select("mol_id", "match").join(atoms, "mol_id").join(core.select("match", "atom_idx"), ["match", "atom_idx"], "left_anti")
-    inner = matches.select("mol_id", "match").join(edges, "mol_id")
-    for end in ("a", "b"):
-        inner = inner.join(core.select("match", F.col("atom_idx").alias(end)), ["match", end], "left_anti")
-    parts = components(rest.select("match", "atom_idx"), inner.select("match", "a", "b"), "match")
-    touch = core.join(edges, [core["mol_id"] == edges["mol_id"], core["atom_idx"] == edges["a"]]).select("match", "k", F.col("b").alias("atom_idx")).join(parts, ["match", "atom_idx"])
-    at = touch.groupBy("match", "label").agg(F.countDistinct("k").alias("n"), F.min("k").alias("k"))
-    place = F.row_number().over(W.partitionBy("match", "k").orderBy("label"))
-    slots = spark.createDataFrame([(s, k, 1 + sorted(x for x in sites if sites[x] == k).index(s)) for s, k in sorted(sites.items())], "site string, k int, place int")
-    placed = at.withColumn("place", place).join(F.broadcast(slots), ["k", "place"], "left")
-    unfit = placed.filter("site is null or n > 1").select("match").distinct()
-    all_parts = parts.select("match", "label").distinct()
-    loose = all_parts.join(at, ["match", "label"], "left_anti").select("match").distinct()
-    fit = matches.join(unfit, "match", "left_anti").join(loose, "match", "left_anti").select("mol_id", "match")
-    filled = placed.filter("site is not null").select("match", "label", "site")
-    score = fit.join(filled.groupBy("match").agg(F.count("*").alias("n")), "match", "left").na.fill(0, ["n"])
-    best = score.groupBy("mol_id").agg(F.min_by("match", F.struct(-F.col("n"), "match")).alias("match"))
-    text = parts.join(rest.select("match", "atom_idx", "symbol"), ["match", "atom_idx"]).groupBy("match", "label").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("atom_idx", "symbol"))), lambda x: x["symbol"]), "").alias("group"))
-    wanted = best.join(F.broadcast(slots.select("site")), how="cross")
-    return wanted.join(filled.join(text, ["match", "label"]), ["match", "site"], "left").select("mol_id", "site", F.coalesce("group", F.lit("H")).alias("group"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from figweave.functions.lineage import cut
+
+#: A term with at least 1/HEAVY of all occurrences is split.
+HEAVY = 1000
 #: A full stop ends a sentence unless a digit is before it, or if a blank is behind it; what is behind it up to the next blank is lost.
 STOP = r"([^0-9])\.[^ ]*( |$)|([0-9])\. "
 #: A compound label, and an R-group equation.
@@ -91,11 +95,35 @@ def terms(text: Column) -> Column:
 
 
 def related_sentences(rows: DataFrame, queries: DataFrame, n: int = 3) -> DataFrame:
-    """(item_id, doc_id, sent_idx, shared, place): per query the n sentences with most terms in common, ties to the earlier one."""
-    words = rows.select("doc_id", "sent_idx", F.explode(terms(F.col("sentence"))).alias("term"))
-    asked = queries.select("item_id", F.explode(terms(F.col("text"))).alias("term"))
-    shared = words.join(asked, "term").groupBy("item_id", "doc_id", "sent_idx").agg(F.count("*").alias("shared"))
-    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id", "sent_idx"))
+    """(item_id, doc_id, para_idx, sent_idx, shared, place): per query the n sentences with most terms in common, ties to the earlier one.
+
+    A top-n join with bounds. A query's terms are ordered from the rarest. The rarer half of them gives first counts, whose n-th best is a floor: a sentence of the result shares at least so many of the query's k terms, so it has one of the k - floor + 1
+    rarest. Only these are joined, so the most frequent terms mostly are not; what they find is then counted on the whole sets of terms. Terms with at least a thousandth of all occurrences, so a thousand at most, are split by sentence.
+    """
+    held = cut(rows.select("doc_id", "para_idx", "sent_idx", terms(F.col("sentence")).alias("terms")))
+    asked = cut(queries.select("item_id", terms(F.col("text")).alias("terms")).filter(F.size("terms") > 0))
+    words = held.select("doc_id", "para_idx", "sent_idx", F.explode("terms").alias("term"))
+    freq = cut(words.groupBy("term").agg(F.count("*").alias("f")))
+    total = freq.agg(F.sum("f")).first()[0] or 0
+    parts = F.ceil(F.col("f") * HEAVY / F.lit(max(total, 1))).cast("int")
+    heavy = F.broadcast(freq.filter(F.col("f") * HEAVY >= total).select("term", parts.alias("parts")))
+    salted = words.join(heavy, "term", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "para_idx", "sent_idx"), F.col("parts")), F.lit(0)).cast("int"))
+    # terms that no sentence has are left out: they find nothing and no sentence shares them
+    by_item = asked.select("item_id", F.explode("terms").alias("term")).join(freq, "term").withColumn("parts", F.when(F.col("f") * HEAVY >= total, parts).otherwise(1))
+    ranked_terms = cut(by_item.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy("f", "term"))).withColumn("k", F.count("*").over(W.partitionBy("item_id"))))
+
+    def meet(some: DataFrame) -> DataFrame:
+        """(item_id, doc_id, para_idx, sent_idx, c): sentences with some of the terms."""
+        ask = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("item_id", "term", "part")
+        return salted.join(ask, ["term", "part"]).groupBy("item_id", "doc_id", "para_idx", "sent_idx").agg(F.count("*").alias("c"))
+
+    first = meet(ranked_terms.filter(F.col("place") * 2 <= F.col("k")))
+    nth = first.withColumn("at", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("c"), "doc_id", "para_idx", "sent_idx"))).filter(F.col("at") == n).select("item_id", F.col("c").alias("floor"))
+    floors = ranked_terms.join(nth, "item_id", "left").withColumn("floor", F.coalesce("floor", F.lit(1)))
+    found = meet(floors.filter(F.col("place") <= F.col("k") - F.col("floor") + 1)).drop("c")
+    full = found.join(asked.select("item_id", F.col("terms").alias("wanted")), "item_id").join(held, ["doc_id", "para_idx", "sent_idx"])
+    shared = full.select("item_id", "doc_id", "para_idx", "sent_idx", F.size(F.array_intersect("terms", "wanted")).cast("long").alias("shared"))
+    place = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id", "para_idx", "sent_idx"))
     return shared.withColumn("place", place).filter(F.col("place") <= n)
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from figweave.functions import chemistry as C
+from figweave.functions.lineage import cut
+from figweave.operators import backout as K
 from figweave.operators import boxes as B
+from figweave.operators import graphs as R
 from figweave.operators import inference as J
 from figweave.operators import metrics as M
 from figweave.operators import molecules as G
@@ -208,11 +211,19 @@ def mol_exact(spark, sf_dir):
     ky AS (SELECT mol_id, string_agg(least(fwd, bwd), '.' ORDER BY least(fwd, bwd)) AS key FROM ps GROUP BY 1)
     SELECT mol_id, min(mol_id) OVER (PARTITION BY key) AS twin, count(*) OVER (PARTITION BY key) AS n FROM ky""")
 def mol_exact_refined(spark, sf_dir):
-    """Equal molecules by refined keys. The molecules here are sets of chains, which the SQL spells out from either end."""
+    """Equal molecules: refined colours, then an embedding in the first of each class. The molecules here are sets of chains, which the SQL spells out from either end."""
     atoms, _, edges = _graph(spark, sf_dir)
-    keys = G.refined_keys(atoms, edges)
-    groups = keys.groupBy("key").agg(F.min("mol_id").alias("twin"), F.count("*").alias("n"))
-    return keys.join(groups, "key").select("mol_id", "twin", "n")
+    found = R.exact_classes(atoms, edges)
+    return found.join(found.groupBy("twin").agg(F.count("*").alias("n")), "twin").select("mol_id", "twin", "n")
+
+
+@query()
+def mol_substructure(spark, sf_dir):
+    """For molecules with an id divisible by 20: how many molecules hold them as a substructure, the first of these, and in how many ways in all."""
+    atoms, _, edges = _graph(spark, sf_dir)
+    mols = cut(R.packed(atoms, edges))
+    found = R.substructures(mols.filter("mol_id % 20 = 0"), mols)
+    return found.groupBy("query_id").agg(F.count("*").alias("n_molecules"), F.min("mol_id").alias("first"), F.sum("n").alias("n_ways"))
 
 
 @query("atm", _FORMULA + " SELECT q.mol_id, count(*) AS n, min(f.mol_id) AS first FROM fm q JOIN fm f USING (formula) WHERE q.mol_id % 20 = 0 GROUP BY 1")
@@ -223,11 +234,37 @@ def formula_search(spark, sf_dir):
     return found.filter("mol_id % 20 = 0").join(groups, "formula").select("mol_id", "n", "first")
 
 
+def _families(spark, sf_dir):
+    """(packed molecules, templates, variants): molecules of a page (128 ids) are beside each other; each that can be a template asks for those with its label's number. Every fourth says what R1 is."""
+    atoms, _, edges = _graph(spark, sf_dir)
+    mols = cut(R.packed(atoms, edges))
+    tpls = cut(K.templates(mols)[0])
+    page, number = F.floor(F.col("mol_id") / 128), (F.col("mol_id") % 3 + 1).cast("string")
+    label = F.concat(number, F.chr(97 + F.col("mol_id") % 7))
+    texts = F.array(F.struct(F.lit(0).alias("place"), label.alias("text")), F.struct(F.lit(1).alias("place"), F.when(F.col("mol_id") % 4 == 0, F.concat(F.lit("R1 = "), X.pick(X.GROUPS, F.col("mol_id") % 3))).alias("text")))
+    own = mols.select("mol_id", page.alias("page"), label.alias("own"), F.explode(texts).alias("t")).select("mol_id", "page", "own", "t.place", "t.text")
+    products = own.filter("place = 0").join(tpls.select(F.col("tpl_id").alias("mol_id")), "mol_id").select(F.col("mol_id").alias("tpl_id"), "page", F.col("own").alias("label"))
+    return mols, tpls, K.labelled(products.select("tpl_id", "label"), products.select("tpl_id", "page").join(own, "page").select("tpl_id", "mol_id", "place", "text"))
+
+
 @query()
 def rgroup_backout(spark, sf_dir):
-    """R-groups of products by the template R1-C-R2."""
-    atoms, _, edges = _graph(spark, sf_dir)
-    return G.backout(atoms, edges, ["C"], [], {"R1": 0, "R2": 0})
+    """R-groups that the molecules of a page have by each of its templates."""
+    mols, tpls, variants = _families(spark, sf_dir)
+    return K.group_texts(K.read_groups(tpls, mols, variants))
+
+
+@query()
+def rgroup_reactions(spark, sf_dir):
+    """Whole reactions: the R-groups of rgroup_backout put on the template's reactants, here the two molecules behind it."""
+    mols, tpls, variants = _families(spark, sf_dir)
+    nth = F.dense_rank().over(W.partitionBy(F.floor(F.col("mol_id") / 128)).orderBy("mol_id"))
+    placed = mols.select("mol_id", F.floor(F.col("mol_id") / 128).alias("page"), nth.alias("nth"))
+    near = tpls.select(F.col("tpl_id").alias("mol_id")).join(placed, "mol_id").select(F.col("mol_id").alias("tpl_id"), "page", F.explode(F.array(F.col("nth") + 1, F.col("nth") + 2)).alias("nth"))
+    reactants = near.join(placed, ["page", "nth"]).select("tpl_id", F.row_number().over(W.partitionBy("tpl_id").orderBy("nth")).alias("rct_idx"), F.col("mol_id").alias("reactant"))
+    made = K.put_on(cut(K.read_groups(tpls, mols, variants)), reactants, mols)
+    bonds = F.array_join(F.transform(F.sort_array("bonds"), lambda e: F.concat_ws("-", e["a"], e["b"], e["order"])), " ")
+    return made.select("tpl_id", "mol_id", "label", "rct_idx", F.array_join("atoms", "").alias("atoms"), bonds.alias("bonds"))
 
 
 _SIM = "SELECT a.vec_id AS query_id, b.vec_id, len(list_intersect(a.bits, b.bits)) AS c, len(a.bits) AS m, len(b.bits) AS n FROM fps a, fps b WHERE a.vec_id <> b.vec_id"

@@ -135,6 +135,22 @@ def lines_in_region(spark, sf_dir):
     return X.text_lines(spark, sf_dir).filter(T.inside(390.0, 715.0, 90.0, 600.0)).groupBy("page").agg(F.count("*").alias("n_inside"))
 
 
+_REGIONS = 5
+
+
+@query("lin", f"""rg AS (SELECT page, k AS region_id, 90e0 + 60 * k + page % 7 AS x1, 715e0 - 9 * k AS y1, 310e0 + 75 * k - page % 11 AS x2, 600e0 - 30 * k AS y2 FROM (SELECT DISTINCT page FROM lin), range({_REGIONS}) t(k))
+    SELECT page, region_id, count(*) AS n_inside, min(text) AS first FROM lin JOIN rg USING (page) WHERE lin.x0 > least(rg.x1, rg.x2) AND lin.x0 < greatest(rg.x1, rg.x2) AND lin.x1 > least(rg.x1, rg.x2) AND lin.x1 < greatest(rg.x1, rg.x2)
+    AND lin.y0 > least(rg.y1, rg.y2) AND lin.y0 < greatest(rg.y1, rg.y2) AND lin.y1 > least(rg.y1, rg.y2) AND lin.y1 < greatest(rg.y1, rg.y2) GROUP BY 1, 2""")
+def lines_in_regions(spark, sf_dir):
+    """Lines strictly inside the regions of their page, from a table of regions."""
+    lines = X.text_lines(spark, sf_dir)
+    k = F.col("region_id")
+    page = F.col("page")
+    regions = lines.select("page").distinct().withColumn("region_id", F.explode(F.sequence(F.lit(0), F.lit(_REGIONS - 1)))).select(
+        "page", "region_id", (90.0 + 60 * k + page % 7).alias("x1"), (715.0 - 9 * k).alias("y1"), (310.0 + 75 * k - page % 11).alias("x2"), (600.0 - 30 * k).alias("y2"))
+    return T.lines_in_regions(lines, regions).groupBy("page", "region_id").agg(F.count("*").alias("n_inside"), F.min("text").alias("first"))
+
+
 _SENT = r"""pa AS (SELECT doc_id, para_idx, replace(replace(para, chr(10), ' '), '- ', '-') AS flat FROM (SELECT doc_id, unnest(string_split({text}, chr(10) || chr(10))) AS para, generate_subscripts(string_split({text}, chr(10) || chr(10)), 1) AS para_idx FROM {src}) WHERE NOT contains(para, chr(12))),
     se AS (SELECT doc_id, para_idx, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY k) AS sent_idx, CASE WHEN s LIKE '%.' THEN s ELSE s || '.' END AS sentence FROM (
         SELECT doc_id, para_idx, k, trim(s, ' ') AS s FROM (SELECT doc_id, para_idx, unnest(string_split(c, chr(1))) AS s, generate_subscripts(string_split(c, chr(1)), 1) AS k FROM (
@@ -254,10 +270,11 @@ def page_limit(spark, sf_dir):
 _TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z]+'), lambda x: length(x) > 3))"
 
 
-@query("", "WITH " + _SENT.format(text="text", src="(SELECT * FROM documents WHERE lang = 'en')") + f""", w AS (SELECT doc_id, sent_idx, unnest({_TERMS.format('sentence')}) AS term FROM se), b AS (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
-    c AS (SELECT item_id, doc_id, sent_idx, count(*) AS shared FROM w JOIN b USING (term) GROUP BY 1, 2, 3) SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id, sent_idx) AS place FROM c QUALIFY place <= 3""", plain=True)
-def related_sentences(spark, sf_dir, where="lang = 'en'"):
-    rows = S.sentences(X.table(spark, sf_dir, "documents").filter(where))
+@query("", "WITH " + _SENT.format(text="text", src="documents") + f""", w AS (SELECT doc_id, para_idx, sent_idx, unnest({_TERMS.format('sentence')}) AS term FROM se), b AS (SELECT item_id, unnest({_TERMS.format('text')}) AS term FROM benchmark),
+    c AS (SELECT item_id, doc_id, para_idx, sent_idx, count(*) AS shared FROM w JOIN b USING (term) GROUP BY 1, 2, 3, 4) SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id, para_idx, sent_idx) AS place FROM c QUALIFY place <= 3""", plain=True)
+def related_sentences(spark, sf_dir):
+    """The three sentences of all documents that share most terms with each passage."""
+    rows = S.sentences(X.table(spark, sf_dir, "documents"))
     return S.related_sentences(rows, X.table(spark, sf_dir, "benchmark"))
 
 
