@@ -30,7 +30,7 @@ def let(value: Column, body) -> Column:
 
 
 def templates(mols: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(templates, rejects) of packed molecules (graphs.packed): tpl_id, core (places in the order of their steps), size, core_steps, full_steps and sites (name, place, at: the core step it hangs on, o).
+    """(templates, rejects) of packed molecules (graphs.packed): tpl_id, core (places in the order of their steps), size, core_steps and sites (name, place, at: the core step it hangs on, o).
 
     Rejects (tpl_id, reason): no R-site; more than `limit` of them; a site that is not at an end, or hangs on another site; nothing but sites.
     """
@@ -45,9 +45,7 @@ def templates(mols: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
               .when(~ends, "an R-site is not at an end").when(F.exists("sites", lambda s: s["at"] < 0), "an R-site hangs on another"))
     rows = rows.withColumn("reason", reason)
     good = rows.filter("reason is null")
-    wild = F.transform("names", lambda x, i: F.when(F.get("site", i).isNotNull(), "*").otherwise(x))
-    good = good.select("tpl_id", "core", F.size("names").alias("size"), steps(F.col("core"), F.col("names"), F.col("near")).alias("core_steps"),
-                       steps(plan(F.col("near"), F.transform("names", lambda _, i: i)), wild, F.col("near")).alias("full_steps"), "sites")
+    good = good.select("tpl_id", "core", F.size("names").alias("size"), steps(F.col("core"), F.col("names"), F.col("near")).alias("core_steps"), "sites")
     return good, rows.filter("reason is not null").select("tpl_id", "reason")
 
 
@@ -82,10 +80,18 @@ def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFr
     rows = spread(variants.join(tpls, "tpl_id").join(targets, "mol_id"), "tpl_id", "mol_id")
     renamed = F.transform("names", lambda s: F.when((bare(s) == F.col("name")) & s.startswith("["), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(s))
     rows = rows.withColumn("names", F.when(F.col("name").isNull(), F.col("names")).otherwise(renamed))
-    any_ = lambda x, wanted: (wanted == "*") | (x == wanted)
     rows = rows.withColumn("part", united(F.col("near"))).withColumn("ms", embeddings(F.col("core_steps"), F.col("names"), F.col("near")))
+
+    def beside(m, s):
+        return F.transform(F.filter(F.get("near", F.get(m, s["at"])), lambda e: (e["o"] == s["o"]) & ~F.array_contains(m, e["at"])), lambda e: e["at"])
+
+    def holds_all(m):
+        """Whether every site finds an atom of its own beside an embedding of the core, all in one part of the target."""
+        found = F.aggregate("sites", F.array(F.array().cast("array<int>")), lambda states, s: F.flatten(F.transform(states, lambda st: F.transform(F.filter(beside(m, s), lambda b: ~F.array_contains(st, b)), lambda b: F.array_append(st, b)))))
+        return (F.size(found) > 0) & F.forall(m, lambda p: F.get("part", p) == F.get("part", F.get(m, F.lit(0))))
+
     wide = F.size(F.array_distinct("part")) > 1
-    rows = rows.withColumn("within", F.when(wide, F.array_min(F.transform(embeddings(F.col("full_steps"), F.col("names"), F.col("near"), any_), lambda m: F.get("part", F.get(m, F.lit(0)))))))
+    rows = rows.withColumn("within", F.when(wide, F.array_min(F.transform(F.filter("ms", holds_all), lambda m: F.get("part", F.get(m, F.lit(0)))))))
     rows = rows.withColumn("ms", F.when(F.col("within").isNull(), F.col("ms")).otherwise(F.filter("ms", lambda m: F.forall(m, lambda p: F.get("part", p) == F.col("within")))))
 
     def ways(m):
@@ -97,11 +103,9 @@ def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFr
             left = F.size(F.array_distinct(F.filter(F.transform(part, lambda p, i: F.when(F.get(held, i), p)), lambda p: p.isNotNull())))
 
             def settle(states, s):
-                beside = F.transform(F.filter(F.get("near", F.get(m, s["at"])), lambda e: (e["o"] == s["o"]) & F.get(held, e["at"])), lambda e: e["at"])
-
                 def grown(st):
                     used = F.transform(F.filter(st, lambda p: p >= 0), lambda p: F.get(part, p))
-                    free = F.filter(beside, lambda b: ~F.array_contains(used, F.get(part, b)))
+                    free = F.filter(beside(m, s), lambda b: F.get(held, b) & ~F.array_contains(used, F.get(part, b)))
                     return F.transform(F.array_append(free, F.lit(-1)), lambda b: F.array_append(st, b))
 
                 return F.flatten(F.transform(states, grown))

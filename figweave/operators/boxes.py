@@ -91,7 +91,8 @@ def dedup_greedy(ordered: DataFrame, limit: float = 0.6, within: tuple[str, ...]
 
 
 def transforms(boxes: DataFrame, width: float, height: float) -> DataFrame:
-    """Boxes in 0..1 as pixels, as xywh, as center and size, flipped, rotated by 90 degrees, cropped to the lower right three quarters, and as a clamped crop rectangle."""
+    """Boxes in 0..1 as pixels, as xywh, as center and size, flipped, rotated by 90 degrees, cropped to the lower right three quarters, and as a crop rectangle in whole pixels, clamped to the image
+    (cut_) and not (raw_: cut off toward zero, as a slice takes it)."""
     c = {k: F.col(k) for k in CORNERS}
     crop = lambda v, size: F.greatest(F.least(v * size, F.lit(size)) - size / 4, F.lit(0.0))
     return boxes.select(
@@ -101,7 +102,8 @@ def transforms(boxes: DataFrame, width: float, height: float) -> DataFrame:
         (c["y1"] * height).alias("rot_x1"), (width - c["x2"] * width).alias("rot_y1"), (c["y2"] * height).alias("rot_x2"), (width - c["x1"] * width).alias("rot_y2"),
         ((crop(c["x2"], width) - crop(c["x1"], width)) * (crop(c["y2"], height) - crop(c["y1"], height))).alias("crop_area"),
         *[F.greatest(F.floor(c[k] * (width if k[0] == "x" else height)), F.lit(0)).cast("int").alias(f"cut_{k}") for k in ("x1", "y1")],
-        *[F.least(F.floor(c[k] * (width if k[0] == "x" else height)), F.lit(int(width if k[0] == "x" else height))).cast("int").alias(f"cut_{k}") for k in ("x2", "y2")])
+        *[F.least(F.floor(c[k] * (width if k[0] == "x" else height)), F.lit(int(width if k[0] == "x" else height))).cast("int").alias(f"cut_{k}") for k in ("x2", "y2")],
+        *[(c[k] * (width if k[0] == "x" else height)).cast("int").alias(f"raw_{k}") for k in CORNERS])
 
 
 def resized(width: Column, height: Column, short: int, long: int) -> Column:

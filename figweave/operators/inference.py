@@ -57,16 +57,47 @@ def tool_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t.name, t.description, schema(t)) for _, t in sorted(TOOLS.items())], "name string, description string, parameters string")
 
 
-def apply_batched(df: DataFrame, load: Callable[[], Callable[[list], list[tuple]]], column: str, schema: str, batch_size: int = 16) -> DataFrame:
-    """df with the columns of `schema` from a model on `column`. `load` runs once per task and returns a function from a list of at most batch_size values to a list of rows."""
+#: Models of this process, by name: a worker process runs many tasks.
+MODELS: dict[str, Callable] = {}
+
+
+def model_of(name: str | None, load: Callable[[], Callable]) -> Callable:
+    """The process's model of that name, loaded once; without a name, a new one."""
+    if name is None:
+        return load()
+    if name not in MODELS:
+        MODELS[name] = load()
+    return MODELS[name]
+
+
+def predicted(predict: Callable[[list], list[tuple]], values: list, batch_size: int, size: Callable | None) -> list[tuple]:
+    """predict of all values, batch_size at a time; with `size`, values of like size share a batch, and the results come back in the values' order."""
+    order = range(len(values)) if size is None else sorted(range(len(values)), key=lambda i: size(values[i]))
+    out = [None] * len(values)
+    for at in range(0, len(values), batch_size):
+        places = order[at : at + batch_size]
+        found = predict([values[i] for i in places])
+        if len(found) != len(places):
+            raise ValueError(f"the model gave {len(found)} rows for {len(places)} values")
+        for i, row in zip(places, found):
+            out[i] = row
+    return out
+
+
+def apply_batched(df: DataFrame, load: Callable[[], Callable[[list], list[tuple]]], column: str, schema: str, batch_size: int = 16, name: str | None = None, size: Callable | None = None) -> DataFrame:
+    """df with the columns of `schema` from a model on `column`. `load` returns a function from a list of at most batch_size values to a list of as many rows.
+
+    With a `name` the model is loaded once a worker process and kept for all its tasks; without, once a task. With `size`, a function of a value such as its length, batches are made of values of like size, so that little is padded; rows keep their order.
+    """
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from figweave.operators import inference  # this process's own module, and so its models
+
         predict = None
         for batch in batches:
-            predict = predict or load()
-            values = batch[column].tolist()
-            rows = [r for at in range(0, len(values), batch_size) for r in predict(values[at : at + batch_size])]
+            predict = predict or inference.model_of(name, load)
+            rows = inference.predicted(predict, batch[column].tolist(), batch_size, size)
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

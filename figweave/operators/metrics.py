@@ -136,16 +136,17 @@ def detection_matches(gold: DataFrame, pred: DataFrame, scale: float) -> DataFra
     return images.mapInPandas(match, "area string, threshold double, place int, score double, tp int, n_gold int, image_id long")
 
 
-def average_precision(matches: DataFrame, cells: int = 1000, most: tuple[int, ...] = (100,)) -> DataFrame:
+def average_precision(matches: DataFrame, size: int = 10_000, most: tuple[int, ...] = (100,)) -> DataFrame:
     """(area, threshold, most, ap, recall): interpolated precision at 101 recall points. For each of `most`, at most so many predictions an image count.
 
-    The curve has a step for each distinct score. It is made in two levels, so that no task sorts all scores: sums and maxima of `cells` score cells, and the steps inside
-    each cell.
+    The curve has a step for each distinct score. It is made in two levels, so that no task sorts all scores: sums and maxima of cells, and the steps inside each cell. All steps are ranked by
+    score and a cell is `size` ranks, so cells hold equally many steps however scores crowd.
     """
     curve_of = ["area", "threshold", "most"]
     cell = [*curve_of, "cell"]
     matches = matches.withColumn("most", F.explode(F.array(*map(F.lit, most))))
-    steps = matches.filter((F.col("place") >= 0) & (F.col("place") < F.col("most"))).groupBy(*curve_of, "score").agg(F.sum("tp").alias("tp"), F.count("*").alias("n")).withColumn("cell", F.floor(F.col("score") * cells))
+    steps = matches.filter((F.col("place") >= 0) & (F.col("place") < F.col("most"))).groupBy(*curve_of, "score").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
+    steps = ranked(steps, ["score", *curve_of]).withColumn("cell", F.floor(F.col("rank") / size)).drop("rank")
     totals = matches.groupBy(*curve_of).agg(F.sum("n_gold").alias("gold"))
     higher = W.partitionBy(*curve_of).orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
     lower = W.partitionBy(*curve_of).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)

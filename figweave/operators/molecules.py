@@ -11,6 +11,10 @@ from figweave.functions.lineage import cut
 from figweave.operators.graphs import packed, united
 
 
+#: Fixed value: an R-group equation.
+EQUATION = r"([RXY]\d?) *= *(\w+)"
+
+
 def edges_of(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(mol_id, a, b, order) in both directions between known atoms; a wedge's other direction is 11 - order."""
     back = F.when(F.col("order") > 4, 11 - F.col("order")).otherwise(F.col("order"))
@@ -178,6 +182,12 @@ def assignments(texts: DataFrame) -> DataFrame:
     return first.select("image_id", F.row_number().over(W.partitionBy("image_id").orderBy("at", "name", "value")).alias("rxn_idx"), "name", "value")
 
 
+def equations(texts: DataFrame) -> DataFrame:
+    """texts(image_id, box_idx, text): all that a text says of its R-groups, `R1 = Me, R2 = Et`, in order. (image_id, box_idx, ordinal, name, value)."""
+    found = F.arrays_zip(F.regexp_extract_all("text", F.lit(EQUATION), 1).alias("name"), F.regexp_extract_all("text", F.lit(EQUATION), 2).alias("value"))
+    return texts.select("image_id", "box_idx", F.posexplode(found).alias("ordinal", "e")).select("image_id", "box_idx", "ordinal", "e.name", "e.value")
+
+
 def substitute(atoms: DataFrame, assigned: DataFrame) -> DataFrame:
     """A copy of the molecule's atoms for each assignment (mol_id, rxn_idx, name, value): the symbol is the value where its bare name is the one assigned."""
     rows = atoms.join(assigned, "mol_id")

@@ -49,9 +49,10 @@ def pad_batches(rows: DataFrame, batch: str, values: str, fill: int = PAD) -> Da
 
 
 def box_tokens(q: Column, category: Column) -> Column:
-    """Five tokens of a box: its bins `q` and its category, NOISE for an unknown one."""
+    """Five tokens of a box: its bins `q` and its category, NOISE for an unknown one. A box without area in bins writes none."""
     kind = F.when(category.between(1, 4), F.lit(-1) - category).otherwise(NOISE)
-    return F.concat(F.transform(q, lambda v: (v + BINS_AT).cast("int")), F.array(kind.cast("int")))
+    five = F.concat(F.transform(q, lambda v: (v + BINS_AT).cast("int")), F.array(kind.cast("int")))
+    return F.when((q[0] < q[2]) & (q[1] < q[3]), five).otherwise(F.array().cast("array<int>"))
 
 
 def _in_order(order: str, value: Column) -> Column:
@@ -67,10 +68,12 @@ def box_sequence(rows: DataFrame, order: str = "box_idx") -> DataFrame:
 
 def reaction_sequence(rows: DataFrame) -> DataFrame:
     """(image_id, tokens) of rows(image_id, rxn_idx, role, box_idx, q: array of 4 bins, category_id): start, the reactions in order, end. Each role's boxes come before the token that
-    closes the role, which is there for empty roles too."""
+    closes the role, which is there without conditions too. A reaction whose reactants or products are missing or have no area writes nothing."""
     side = lambda r: F.concat(F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("box_idx", F.col("b"))))), lambda x: x["b"])), F.array(F.lit(CLOSES[r])))
     rows = rows.withColumn("b", box_tokens(F.col("q"), F.col("category_id")))
-    each = rows.groupBy("image_id", "rxn_idx").agg(F.concat(*[side(r) for r in CLOSES], F.array(F.lit(RXN))).alias("t"))
+    shown = lambda r: F.max((F.col("role") == r) & (F.size("b") > 0))
+    whole = shown("reactants") & shown("products")
+    each = rows.groupBy("image_id", "rxn_idx").agg(F.when(whole, F.concat(*[side(r) for r in CLOSES], F.array(F.lit(RXN)))).otherwise(F.array().cast("array<int>")).alias("t"))
     return each.groupBy("image_id").agg(_in_order("rxn_idx", F.col("t")).alias("t")).select("image_id", F.concat(F.array(F.lit(SOS)), "t", F.array(F.lit(END))).alias("tokens"))
 
 

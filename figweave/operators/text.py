@@ -10,8 +10,10 @@ from figweave.functions.lineage import cut
 
 #: A term with at least 1/HEAVY of all occurrences is split.
 HEAVY = 1000
-#: A full stop ends a sentence unless a digit is before it, or if a blank is behind it; what is behind it up to the next blank is lost.
-STOP = r"([^0-9])\.[^ ]*( |$)|([0-9])\. "
+#: What counts as a digit before a full stop: superscripts and subscripts too.
+DIGITS = "\\p{Nd}⁰¹²³⁴-⁹₀-₉"
+#: A full stop ends a sentence if a character that is no digit is before it, wherever that belongs to, or if a blank is behind it; what is behind it up to the next blank is lost.
+STOP = rf"\.(?:(?<=[^{DIGITS}]\.)[^ ]*(?: |$)| )"
 #: A compound label, and an R-group equation.
 LABEL = r"\b(\d+[a-zA-Z]{0,2})\b"
 EQUATION = r"([RXY]\d?) *= *(\w+)"
@@ -23,8 +25,8 @@ def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, para_idx, sent_idx, sentence), from 1. Paragraphs end at blank lines; parts with a form feed are skipped; hyphens at line ends close up."""
     paras = docs.select("doc_id", F.posexplode(F.split("text", "\n\n", -1)).alias("para_idx", "para")).filter(~F.contains("para", F.lit("\f")))
     flat = F.regexp_replace(F.regexp_replace("para", "\n", " "), "- ", "-")
-    cut = F.split(F.regexp_replace(flat, STOP, "$1$3.\x01"), "\x01", -1)
-    rows = paras.select("doc_id", "para_idx", F.posexplode(cut).alias("k", "s")).withColumn("s", F.btrim("s", F.lit(" "))).filter("s <> ''")
+    pieces = F.split(F.regexp_replace(flat, STOP, ".\x01"), "\x01", -1)
+    rows = paras.select("doc_id", "para_idx", F.posexplode(pieces).alias("k", "s")).withColumn("s", F.btrim("s", F.lit(" "))).filter("s <> ''")
     place = F.row_number().over(W.partitionBy("doc_id", "para_idx").orderBy("k"))
     return rows.select("doc_id", (F.col("para_idx") + 1).alias("para_idx"), place.alias("sent_idx"), F.when(F.col("s").endswith("."), F.col("s")).otherwise(F.concat("s", F.lit("."))).alias("sentence"))
 

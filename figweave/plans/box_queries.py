@@ -126,7 +126,7 @@ _GEO = ["px_x1", "px_y1", "px_x2", "px_y2", "w", "h", "cx", "cy", "flip_x1", "fl
     640 - x2 * 640 AS flip_x1, 640 - x1 * 640 AS flip_x2, y1 * 480 AS rot_x1, 640 - x2 * 640 AS rot_y1, y2 * 480 AS rot_x2, 640 - x1 * 640 AS rot_y2,
     (greatest(least(x2 * 640, 640) - 160, 0) - greatest(least(x1 * 640, 640) - 160, 0)) * (greatest(least(y2 * 480, 480) - 120, 0) - greatest(least(y1 * 480, 480) - 120, 0)) AS crop_area FROM det)
     SELECT image_id, box_idx, """ + ", ".join(f"round({c}, 6) AS {c}" for c in _GEO) + """,
-    greatest(floor(x1 * 640), 0)::INT AS cut_x1, greatest(floor(y1 * 480), 0)::INT AS cut_y1, least(floor(x2 * 640), 640)::INT AS cut_x2, least(floor(y2 * 480), 480)::INT AS cut_y2 FROM g""")
+    greatest(floor(x1 * 640), 0)::INT AS cut_x1, greatest(floor(y1 * 480), 0)::INT AS cut_y1, least(floor(x2 * 640), 640)::INT AS cut_x2, least(floor(y2 * 480), 480)::INT AS cut_y2, trunc(x1 * 640)::INT AS raw_x1, trunc(y1 * 480)::INT AS raw_y1, trunc(x2 * 640)::INT AS raw_x2, trunc(y2 * 480)::INT AS raw_y2 FROM g""")
 def box_geometry(spark, sf_dir):
     return round6(B.transforms(X.detections(spark, sf_dir), 640.0, 480.0), *_GEO)
 

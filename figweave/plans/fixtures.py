@@ -89,16 +89,8 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged tokens of English documents: split at single spaces, empty tokens kept, so offsets add up."""
-    return _tagged(table(spark, sf_dir, "documents").filter("lang = 'en'"))
-
-
-def all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all documents, whatever their language, null too."""
-    return _tagged(table(spark, sf_dir, "documents"))
-
-
-def _tagged(docs: DataFrame) -> DataFrame:
+    """Tagged tokens of all documents, whatever their language: split at single spaces, empty tokens kept, so offsets add up."""
+    docs = table(spark, sf_dir, "documents")
     tokens = docs.select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("tok_idx", "token"))
     upto = F.sum(F.length("token") + 1).over(W.partitionBy("doc_id").orderBy("tok_idx"))
     rows = tokens.withColumn("start", upto - F.length("token") - 1).withColumn("end", upto - 1)
@@ -137,9 +129,6 @@ SQL = {
         UNION ALL SELECT page, 100e0 + 100 * k, 720e0, {_list(HEADERS)}[k + 1] FROM (SELECT DISTINCT image_id AS page FROM raw), range(4) t(k))"""),
     "tag": ("", f"""SELECT doc_id, tok_idx, token, {_list(TAGS)}[length(token) % 6 + 1] AS tag, {_list(TAGS)}[(length(token) + (tok_idx % 10 = 0)::INT) % 6 + 1] AS pred, upto - length(token) - 1 AS start, upto - 1 AS "end" FROM (
         SELECT *, sum(length(token) + 1) OVER (PARTITION BY doc_id ORDER BY tok_idx)::BIGINT AS upto FROM (
-            SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) - 1 AS tok_idx FROM documents WHERE lang = 'en'))"""),
+            SELECT doc_id, unnest(string_split(text, ' ')) AS token, generate_subscripts(string_split(text, ' '), 1) - 1 AS tok_idx FROM documents))"""),
     "fps": ("", "SELECT vec_id, list_filter(list_transform(range(len(embedding)), lambda i: CASE WHEN embedding[i + 1] > 0 THEN i END), lambda i: i IS NOT NULL) AS bits FROM embeddings"),
 }
-
-#: SQL of all_tags().
-ALL_TAGS = SQL["tag"][1].replace(" WHERE lang = 'en'", "")

@@ -144,6 +144,14 @@ def rgroup_text(spark, sf_dir):
     return G.assignments(X.mentions(spark, sf_dir))
 
 
+@query("men", r"""t AS (SELECT image_id, box_idx, text || '; Y' || (image_id % 3) || '=Bn, X = ' || box_idx AS text FROM men)
+    SELECT image_id, box_idx, unnest(range(len(a))) AS ordinal, unnest(a) AS name, unnest(b) AS value FROM (SELECT *, regexp_extract_all(text, '([RXY]\d?) *= *(\w+)', 1) AS a, regexp_extract_all(text, '([RXY]\d?) *= *(\w+)', 2) AS b FROM t)""")
+def rgroup_equations(spark, sf_dir):
+    """All equations of texts that hold several."""
+    more = F.concat("text", F.lit("; Y"), (F.col("image_id") % 3).cast("string"), F.lit("=Bn, X = "), F.col("box_idx").cast("string"))
+    return G.equations(X.mentions(spark, sf_dir).withColumn("text", more))
+
+
 @query("men atm", _ASSIGN + " SELECT mol_id, rxn_idx, atom_idx, CASE WHEN symbol = '[' || name || ']' OR symbol = name THEN '[' || value || ']' ELSE symbol END AS symbol FROM atm JOIN asg ON image_id = mol_id")
 def rgroup_substitute(spark, sf_dir):
     assigned = G.assignments(X.mentions(spark, sf_dir)).withColumnRenamed("image_id", "mol_id")
@@ -305,30 +313,30 @@ _VOCAB = "vo AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM
 
 
 @query("tag", _VOCAB + " SELECT * FROM vo")
-def vocab_fit(spark, sf_dir, source=X.tags):
-    return Q.fit_vocabulary(source(spark, sf_dir))
+def vocab_fit(spark, sf_dir):
+    return Q.fit_vocabulary(X.tags(spark, sf_dir))
 
 
-@query("tag", _VOCAB + " SELECT doc_id, '[1,' || string_agg(coalesce(CASE WHEN id % 50 <> 0 THEN id END, 3)::VARCHAR, ',' ORDER BY tok_idx) || ',2]' AS ids FROM tag LEFT JOIN vo USING (token) WHERE tok_idx < 500 GROUP BY 1")
-def tokens_to_ids(spark, sf_dir, source=X.tags, limit=500):
-    """Documents cut to 500 tokens (B12); every 50th id is taken out of the vocabulary, so that there are unknown tokens."""
-    tokens = source(spark, sf_dir)
-    out = Q.to_ids(tokens, Q.fit_vocabulary(tokens).filter("id % 50 <> 0"), limit)
+@query("tag", _VOCAB + " SELECT doc_id, '[1,' || string_agg(coalesce(CASE WHEN id % 50 <> 0 THEN id END, 3)::VARCHAR, ',' ORDER BY tok_idx) || ',2]' AS ids FROM tag LEFT JOIN vo USING (token) GROUP BY 1")
+def tokens_to_ids(spark, sf_dir):
+    """Whole documents; every 50th id is taken out of the vocabulary, so that there are unknown tokens."""
+    tokens = X.tags(spark, sf_dir)
+    out = Q.to_ids(tokens, Q.fit_vocabulary(tokens).filter("id % 50 <> 0"), None)
     return out.withColumn("ids", F.concat(F.lit("["), F.array_join("ids", ","), F.lit("]")))
 
 
-@query("tag", _VOCAB + " SELECT doc_id, string_agg(token, ' ' ORDER BY tok_idx) AS text FROM tag WHERE tok_idx < 500 AND token <> '' GROUP BY 1")
-def ids_to_text(spark, sf_dir, source=X.tags, limit=500):
-    tokens = source(spark, sf_dir).filter("token <> ''")
+@query("tag", _VOCAB + " SELECT doc_id, string_agg(token, ' ' ORDER BY tok_idx) AS text FROM tag WHERE token <> '' GROUP BY 1")
+def ids_to_text(spark, sf_dir):
+    tokens = X.tags(spark, sf_dir).filter("token <> ''")
     vocabulary = Q.fit_vocabulary(tokens)
-    return Q.to_text(Q.to_ids(tokens, vocabulary, limit), vocabulary)
+    return Q.to_text(Q.to_ids(tokens, vocabulary, None), vocabulary)
 
 
-@query("tag", "s AS (SELECT doc_id, doc_id // 8 AS batch, least(count(*), 200) AS n FROM tag GROUP BY 1) SELECT doc_id, batch, n AS length, max(n) OVER (PARTITION BY batch) AS padded, max(n) OVER (PARTITION BY batch) - n AS n_fill FROM s")
-def pad_batch(spark, sf_dir, source=X.tags, limit=200):
-    """Sequences of at most 200, filled up in batches of eight documents."""
+@query("tag", "s AS (SELECT doc_id, doc_id // 8 AS batch, count(*) AS n FROM tag GROUP BY 1) SELECT doc_id, batch, n AS length, max(n) OVER (PARTITION BY batch) AS padded, max(n) OVER (PARTITION BY batch) - n AS n_fill FROM s")
+def pad_batch(spark, sf_dir):
+    """Whole sequences, filled up in batches of eight documents."""
     ids = F.sort_array(F.collect_list(F.col("tok_idx").cast("long") + 10))
-    rows = source(spark, sf_dir).groupBy("doc_id").agg((ids if limit is None else F.slice(ids, 1, limit)).alias("ids"))
+    rows = X.tags(spark, sf_dir).groupBy("doc_id").agg(ids.alias("ids"))
     rows = rows.withColumn("batch", F.floor(F.col("doc_id") / 8)).withColumn("length", F.size("ids"))
     out = Q.pad_batches(rows, "batch", "ids")
     return out.select("doc_id", "batch", "length", F.size("ids").alias("padded"), F.size(F.filter("ids", lambda v: v == Q.PAD)).alias("n_fill"))
@@ -346,7 +354,7 @@ def token_stream_parse(spark, sf_dir):
 #: Token sequences of the reactions, and the same with every 17th token lost and, in every fifth image, noise for the end of a reaction.
 _TOKENS = """bt AS (SELECT rxn.image_id, rxn_idx, role, rxn.box_idx, [""" + ", ".join(f"round_even({c} * 1999, 0)::INT + 10" for c in B.CORNERS) + """, -1 - category_id] AS b FROM rxn JOIN det USING (image_id, box_idx)),
     rs AS (SELECT image_id, rxn_idx, flatten(list(b ORDER BY box_idx) FILTER (WHERE role = 'reactants')) AS r, flatten(list(b ORDER BY box_idx) FILTER (WHERE role = 'conditions')) AS c, flatten(list(b ORDER BY box_idx) FILTER (WHERE role = 'products')) AS p FROM bt GROUP BY 1, 2),
-    sq AS (SELECT image_id, [1] || flatten(list(coalesce(r, []) || [5] || coalesce(c, []) || [6] || coalesce(p, []) || [7, 4] ORDER BY rxn_idx)) || [2] AS tokens FROM rs GROUP BY 1),
+    sq AS (SELECT image_id, [1] || flatten(list(CASE WHEN r IS NULL OR p IS NULL THEN [] ELSE r || [5] || coalesce(c, []) || [6] || p || [7, 4] END ORDER BY rxn_idx)) || [2] AS tokens FROM rs GROUP BY 1),
     tk AS (SELECT image_id, list_transform(list_filter(list_transform(tokens, lambda t, i: {'t': t, 'i': i - 1}), lambda x: (x.i + image_id) % 17 <> 0), lambda x: CASE WHEN x.t = 4 AND image_id % 5 = 0 THEN 8 ELSE x.t END) AS tokens FROM sq)"""
 
 
@@ -505,11 +513,10 @@ def merge_fill(spark, sf_dir):
 _MESSAGES = "json_group_array(json_object('role', role, 'text', text))"
 
 
-@query("", "SELECT conv_id, count(*) AS n_turns, '[' || string_agg('{\"role\":' || to_json(role) || ',\"text\":' || to_json(text) || '}', ',' ORDER BY turn) || ']' AS payload FROM conversations WHERE turn < 2 GROUP BY 1", plain=True)
-def message_payload(spark, sf_dir, where="turn < 2"):
-    """The messages of the first round as one JSON payload."""
-    rows = X.table(spark, sf_dir, "conversations").filter(where)
-    return J.message_payload(rows)
+@query("", "SELECT conv_id, count(*) AS n_turns, '[' || string_agg('{\"role\":' || to_json(role) || ',\"text\":' || to_json(text) || '}', ',' ORDER BY turn) || ']' AS payload FROM conversations GROUP BY 1", plain=True)
+def message_payload(spark, sf_dir):
+    """All messages of a conversation as one JSON payload."""
+    return J.message_payload(X.table(spark, sf_dir, "conversations"))
 
 
 @query("", "SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN 'call' WHEN 'user' THEN 'result' END AS tool FROM conversations WHERE role IN ('assistant', 'user')", plain=True)
@@ -581,11 +588,11 @@ _SCHEME = ("O", "B-MOL", "I-MOL", "B-TIME", "I-TIME")
 
 
 @query("tag", f"SELECT tag, id, count(*) AS n FROM tag JOIN (VALUES {sql_values([(t, i) for i, t in enumerate(_SCHEME)])}) v(t, id) ON t = tag GROUP BY 1, 2")
-def bio_scheme(spark, sf_dir, source=X.tags):
+def bio_scheme(spark, sf_dir):
     """Tags through the scheme's map and its inverse."""
     there = F.create_map(*[x for i, t in enumerate(_SCHEME) for x in (F.lit(t), F.lit(i))])
     back = F.map_from_arrays(F.map_values(there), F.map_keys(there))
-    rows = source(spark, sf_dir).withColumn("id", there[F.col("tag")])
+    rows = X.tags(spark, sf_dir).withColumn("id", there[F.col("tag")])
     return rows.groupBy(back[F.col("id")].alias("tag"), "id").agg(F.count("*").alias("n"))
 
 

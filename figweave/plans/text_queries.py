@@ -116,6 +116,37 @@ def table_reactions(spark, sf_dir):
     return T.row_reactions(T.expanded(T.align(cells)[0]), X.atoms(spark, sf_dir), T.columns_of(cells))
 
 
+def _whole(spark, sf_dir):
+    """whole_reactions() of a page whose reaction 0 has the first three atoms of the page's molecule as reactant, all of them as product, and one condition, or none for every fifth page."""
+    lines, atoms = X.text_lines(spark, sf_dir), X.atoms(spark, sf_dir)
+    pages = lines.select("page").distinct()
+    molecules = pages.select("page", F.explode(F.array(F.struct(F.lit("reactants").alias("role"), (F.col("page") * 2).alias("mol_id")), F.struct(F.lit("products").alias("role"), (F.col("page") * 2 + 1).alias("mol_id")))).alias("m")).select("page", "m.role", F.lit(0).alias("k"), "m.mol_id")
+    both = atoms.filter("atom_idx < 3").withColumn("mol_id", F.col("mol_id") * 2).unionByName(atoms.withColumn("mol_id", F.col("mol_id") * 2 + 1))
+    told = pages.filter("page % 5 <> 0").select("page", F.lit(0).alias("k"), F.concat(F.lit("at "), (F.col("page") % 90).cast("string"), F.lit(" °C")).alias("text"))
+    return T.whole_reactions(_grid(spark, sf_dir)[0], molecules, told, both)
+
+
+_TOLD = """wr AS (SELECT page, row_idx, string_agg(text || '/' || tag || '/' || header, ';' ORDER BY col_idx) FILTER (WHERE tag <> 'alkyl group') AS cells, bool_or(tag = 'alkyl group' AND """ + _GROUP + """ <> '') AS named FROM gr GROUP BY 1, 2),
+    ow AS (SELECT DISTINCT page, CASE WHEN page % 5 <> 0 THEN 'at ' || (page % 90) || ' °C//' END AS own FROM lin)"""
+_AS_TEXT = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("/", x["text"], F.coalesce(x["tag"], F.lit("")), F.coalesce(x["header"], F.lit("")))), ";")
+
+
+@query("lin atm", _GRID + f""", {_TOLD}, sg AS (SELECT page, row_idx, '[' || header || ']' AS symbol, arg_max({_GROUP}, col_idx) AS value FROM gr WHERE tag = 'alkyl group' AND {_GROUP} <> '' GROUP BY 1, 2, 3),
+    sy AS (SELECT wr.page, wr.row_idx, atom_idx, coalesce('[' || value || ']', atm.symbol) AS symbol FROM wr JOIN atm ON mol_id = wr.page LEFT JOIN sg ON sg.page = wr.page AND sg.row_idx = wr.row_idx AND sg.symbol = atm.symbol WHERE named),
+    ml AS (SELECT page, row_idx, string_agg(symbol, ',' ORDER BY atom_idx) FILTER (WHERE atom_idx < 3) AS reactant, string_agg(symbol, ',' ORDER BY atom_idx) AS product FROM sy GROUP BY 1, 2)
+    SELECT page, row_idx, reactant, product, concat_ws(';', own, cells) AS conditions FROM ml JOIN wr USING (page, row_idx) JOIN ow USING (page)""")
+def table_whole_reactions(spark, sf_dir):
+    """A whole reaction for each table row that names groups: all molecules with the groups put in, and all conditions."""
+    side = lambda r: F.array_join(F.get(F.transform(F.filter("molecules", lambda m: m["role"] == r), lambda m: m["symbols"]), F.lit(0)), ",")
+    return _whole(spark, sf_dir)[0].select("page", "row_idx", side("reactants").alias("reactant"), side("products").alias("product"), _AS_TEXT(F.col("conditions")).alias("conditions"))
+
+
+@query("lin", _GRID + f""", {_TOLD} SELECT ow.page, concat_ws('|', coalesce(own, ''), string_agg(concat_ws(';', own, cells), '|' ORDER BY row_idx) FILTER (WHERE NOT named)) AS conditions FROM ow LEFT JOIN wr ON wr.page = ow.page GROUP BY ow.page, own""")
+def table_first_reaction(spark, sf_dir):
+    """The conditions of reaction 0: its own, and with the cells of each row that names no group."""
+    return _whole(spark, sf_dir)[1].select("page", F.array_join(F.transform("conditions", lambda c: _AS_TEXT(c)), "|").alias("conditions"))
+
+
 @query("lin atm", _GRID + " SELECT mol_id, atom_idx, symbol, header AS name FROM atm JOIN (SELECT DISTINCT page, header FROM co WHERE tag = 'alkyl group') ON page = mol_id AND symbol = '[' || header || ']'")
 def table_sites(spark, sf_dir):
     """Atoms that a table's headers name."""
@@ -154,7 +185,7 @@ def lines_in_regions(spark, sf_dir):
 _SENT = r"""pa AS (SELECT doc_id, para_idx, replace(replace(para, chr(10), ' '), '- ', '-') AS flat FROM (SELECT doc_id, unnest(string_split({text}, chr(10) || chr(10))) AS para, generate_subscripts(string_split({text}, chr(10) || chr(10)), 1) AS para_idx FROM {src}) WHERE NOT contains(para, chr(12))),
     se AS (SELECT doc_id, para_idx, row_number() OVER (PARTITION BY doc_id, para_idx ORDER BY k) AS sent_idx, CASE WHEN s LIKE '%.' THEN s ELSE s || '.' END AS sentence FROM (
         SELECT doc_id, para_idx, k, trim(s, ' ') AS s FROM (SELECT doc_id, para_idx, unnest(string_split(c, chr(1))) AS s, generate_subscripts(string_split(c, chr(1)), 1) AS k FROM (
-            SELECT doc_id, para_idx, regexp_replace(flat, '([^0-9])\.[^ ]*( |$)|([0-9])\. ', '\1\3.' || chr(1), 'g') AS c FROM pa))) WHERE s <> '')"""
+            SELECT doc_id, para_idx, regexp_replace(regexp_replace(replace(flat, ' .', ' ' || chr(2) || '.'), '([^\p{{Nd}}⁰¹²³⁴-⁹₀-₉])\.[^ ]*( |$)|(^|[\p{{Nd}}⁰¹²³⁴-⁹₀-₉])\. ', '\1\3.' || chr(1), 'g'), chr(2), '', 'g') AS c FROM pa))) WHERE s <> '')"""
 _PARA = "replace(text, '.' || chr(10), '.' || chr(10) || chr(10))"
 
 
@@ -255,9 +286,9 @@ def condition_alternatives(spark, sf_dir):
     return S.condition_alternatives(_conditions(spark, sf_dir))
 
 
-@query("", """SELECT page_id // 10 AS doc, trim(string_agg('## = Page ' || (page_id % 10 + 1) || ' =' || chr(10) || html || chr(10), chr(10) ORDER BY page_id), ' ' || chr(10)) AS text FROM pages WHERE page_id % 10 < 5 GROUP BY 1""", plain=True)
-def page_markdown(spark, sf_dir, limit=5):
-    return S.page_document(X.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), limit=limit)
+@query("", """SELECT page_id // 10 AS doc, trim(string_agg('## = Page ' || (page_id % 10 + 1) || ' =' || chr(10) || html || chr(10), chr(10) ORDER BY page_id), ' ' || chr(10)) AS text FROM pages GROUP BY 1""", plain=True)
+def page_markdown(spark, sf_dir):
+    return S.page_document(X.table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
 
 
 @query("", "SELECT page_id // 10 AS doc, count(*) AS n_pages, sum(length(html))::BIGINT AS n_chars FROM pages WHERE page_id % 10 + 1 <= 5 GROUP BY 1", plain=True)
@@ -285,8 +316,17 @@ _SPANS = """{out} AS (SELECT doc_id, label, begin AS start, max("end") AS "end"
 
 
 @query("tag", _SPANS.format(out="sp", tag="tag") + " SELECT * FROM sp")
-def ner_spans(spark, sf_dir, source=X.tags):
-    return S.spans(source(spark, sf_dir))
+def ner_spans(spark, sf_dir):
+    return S.spans(X.tags(spark, sf_dir))
+
+
+def _strict_f1(tags):
+    gold, pred = S.strict_spans(tags).withColumn("g", F.lit(1)), S.strict_spans(tags, "pred").withColumn("q", F.lit(1))
+    both = gold.join(pred, ["doc_id", "label", "start", "end"], "full")
+    counts = both.groupBy("label").agg(F.count("g").alias("gold"), F.count("q").alias("pred"), F.count_if(F.col("g").isNotNull() & F.col("q").isNotNull()).alias("hits"))
+    micro = counts.agg(F.lit("micro").alias("label"), F.sum("gold").alias("gold"), F.sum("pred").alias("pred"), F.sum("hits").alias("hits"))
+    out = counts.unionByName(micro)
+    return round6(out.select("*", *prf(F.col("hits"), F.col("pred"), F.col("hits"), F.col("gold"))), "precision", "recall", "f1")
 
 
 _STRICT = """{out} AS (SELECT doc_id, label, start, "end" FROM (SELECT doc_id, run, arg_min(t, tok_idx) AS t, arg_min(label, tok_idx) AS label, min(start) AS start, max("end") AS "end" FROM (
@@ -296,25 +336,33 @@ _STRICT = """{out} AS (SELECT doc_id, label, start, "end" FROM (SELECT doc_id, r
 
 @query("tag", _STRICT.format(out="g", tag="tag") + ", " + _STRICT.format(out="q", tag="pred") + f""", c AS (SELECT coalesce(g.label, q.label) AS label, count(g.label) AS gold, count(q.label) AS pred, count(g.label) FILTER (WHERE q.label IS NOT NULL) AS hits FROM g FULL JOIN q ON g.doc_id = q.doc_id AND g.label = q.label AND g.start = q.start AND g."end" = q."end" GROUP BY 1),
     a AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(gold)::BIGINT, sum(pred)::BIGINT, sum(hits)::BIGINT FROM c) SELECT label, gold, pred, hits, {prf_sql('hits', 'pred', 'hits', 'gold')} FROM a""")
-def ner_spans_strict_f1(spark, sf_dir, source=X.tags):
-    tags = source(spark, sf_dir)
-    gold, pred = S.strict_spans(tags).withColumn("g", F.lit(1)), S.strict_spans(tags, "pred").withColumn("q", F.lit(1))
-    both = gold.join(pred, ["doc_id", "label", "start", "end"], "full")
-    counts = both.groupBy("label").agg(F.count("g").alias("gold"), F.count("q").alias("pred"), F.count_if(F.col("g").isNotNull() & F.col("q").isNotNull()).alias("hits"))
-    micro = counts.agg(F.lit("micro").alias("label"), F.sum("gold").alias("gold"), F.sum("pred").alias("pred"), F.sum("hits").alias("hits"))
-    out = counts.unionByName(micro)
-    return round6(out.select("*", *prf(F.col("hits"), F.col("pred"), F.col("hits"), F.col("gold"))), "precision", "recall", "f1")
+def ner_spans_strict_f1(spark, sf_dir):
+    """On whole texts."""
+    return _strict_f1(X.tags(spark, sf_dir))
+
+
+#: Tokens that a model of a fixed window sees.
+WINDOW = 128
+_SHORT = f"short AS (SELECT * FROM tag WHERE tok_idx < {WINDOW}), "
+
+
+@query("tag", _SHORT + _STRICT.format(out="g", tag="tag").replace("FROM tag)", "FROM short)") + ", " + _STRICT.format(out="q", tag="pred").replace("FROM tag)", "FROM short)") + f""", c AS (SELECT coalesce(g.label, q.label) AS label, count(g.label) AS gold, count(q.label) AS pred, count(g.label) FILTER (WHERE q.label IS NOT NULL) AS hits FROM g FULL JOIN q ON g.doc_id = q.doc_id AND g.label = q.label AND g.start = q.start AND g."end" = q."end" GROUP BY 1),
+    a AS (SELECT * FROM c UNION ALL SELECT 'micro', sum(gold)::BIGINT, sum(pred)::BIGINT, sum(hits)::BIGINT FROM c) SELECT label, gold, pred, hits, {prf_sql('hits', 'pred', 'hits', 'gold')} FROM a""")
+def ner_spans_truncated_f1(spark, sf_dir):
+    """On what fits a model's window; spans end where it does. The window is the feature."""
+    return _strict_f1(X.tags(spark, sf_dir).filter(F.col("tok_idx") < WINDOW))
 
 
-@query("tag", _STRICT.format(out="g", tag="tag") + """, h AS (SELECT t.doc_id, tok_idx, arg_max({'s': g.start, 'label': label}, g.start) AS b FROM tag t JOIN g ON g.doc_id = t.doc_id AND g.start <= t.start AND t.start < g."end" GROUP BY 1, 2)
+@query("tag", _STRICT.format(out="g", tag="tag") + """, gc AS (SELECT doc_id, label, start, "end", unnest(range(start // 64, ("end" - 1) // 64 + 1)) AS cell FROM g), tc AS (SELECT doc_id, tok_idx, start, start // 64 AS cell FROM tag),
+    h AS (SELECT doc_id, tok_idx, arg_max({'s': gc.start, 'label': label}, gc.start) AS b FROM tc JOIN gc USING (doc_id, cell) WHERE gc.start <= tc.start AND tc.start < "end" GROUP BY 1, 2)
     SELECT t.doc_id, t.tok_idx, CASE WHEN b IS NULL THEN 'O' WHEN (b).s = t.start THEN 'B-' || (b).label ELSE 'I-' || (b).label END AS tag FROM tag t LEFT JOIN h USING (doc_id, tok_idx)""")
-def ner_align(spark, sf_dir, source=X.tags):
-    tags = source(spark, sf_dir)
+def ner_align(spark, sf_dir):
+    tags = X.tags(spark, sf_dir)
     return S.align_spans(tags.select("doc_id", "tok_idx", "start"), S.strict_spans(tags))
 
 
 @query("tag", """r AS (SELECT *, sum(o) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS run FROM (SELECT doc_id, tok_idx, label, replace(replace(replace(token, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS token, coalesce(label <> lag(label) OVER (PARTITION BY doc_id ORDER BY tok_idx), true)::INT AS o FROM (
         SELECT *, regexp_replace(tag, '^[BI]-', '') AS label FROM tag))), u AS (SELECT doc_id, run, min(label) AS label, string_agg(token, ' ' ORDER BY tok_idx) AS body FROM r GROUP BY 1, 2)
     SELECT doc_id, string_agg(CASE WHEN label = 'O' THEN body ELSE '<u class="' || label || '">' || body || '</u>' END, ' ' ORDER BY run) AS html FROM u GROUP BY 1""")
-def tagged_html(spark, sf_dir, source=X.tags):
-    return S.html_runs(source(spark, sf_dir))
+def tagged_html(spark, sf_dir):
+    return S.html_runs(X.tags(spark, sf_dir))

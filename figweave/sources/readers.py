@@ -5,10 +5,11 @@ Every path goes through Spark's readers and writers, so any store that Spark rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from figweave.functions.lineage import cut
 from figweave.schemas import ANNOTATED, ENTITY_DOC
 
 SDF_END = "$$$$\n"
@@ -34,9 +35,44 @@ def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return images.drop("bboxes", "reactions"), boxes, members
 
 
+def read_json_map(spark: SparkSession, path: str) -> DataFrame:
+    """(file, number, record) of files that hold one JSON object whose values are objects or arrays: an entry each, as an object of its own with its one key.
+
+    A file is read in as many tasks as it has splits. Spark's text reader deals out what stands between quotes; which of it is inside a string, how deep it lies and which entry it belongs to are three running sums, each taken inside the splits first and then over the
+    splits' totals. So no task reads a whole file, and no entry is lost or doubled at a split. An entry must fit a task.
+    """
+    raw = spark.read.option("lineSep", '"').text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    raw = raw.toDF("value", "file", "block").withColumn("at", F.monotonically_increasing_id())
+    rows = cut(raw)
+
+    def running(df: DataFrame, what: Column, name: str, here: bool) -> DataFrame:
+        """df with the sum of `what` over the rows before, and this row if `here`."""
+        inside = W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, 0 if here else -1)
+        blocks = df.groupBy("file", "block").agg(F.sum(what).alias("_t"))
+        before = blocks.select("file", "block", F.coalesce(F.sum("_t").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        return df.withColumn(name, F.coalesce(F.sum(what).over(inside), F.lit(0))).join(before, ["file", "block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+
+    # a quote behind an odd number of backslashes ends no string
+    closes = F.length(F.regexp_extract("value", r"(\\*)$", 1)) % 2 == 0
+    rows = running(rows, closes.cast("int"), "quotes", False)
+    outside = F.col("quotes") % 2 == 0
+    depth = F.when(outside, _count("value", "{[") - _count("value", "}]")).otherwise(0)
+    rows = cut(running(rows, depth, "depth", True))
+    starts = outside & (F.col("depth") == 1)
+    rows = running(rows, starts.cast("int"), "number", False).filter("number > 0")
+    entries = rows.groupBy("file", "number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), '"').alias("t"), F.min("depth").alias("least"))
+    text = F.rtrim(F.regexp_replace("t", r"[,\s]+$", ""))
+    body = F.when(F.col("least") == 0, F.regexp_replace(text, r"\}\s*$", "")).otherwise(text)
+    return entries.select("file", "number", F.concat(F.lit('{"'), body, F.lit("}")).alias("record"))
+
+
+def _count(value: str, chars: str) -> Column:
+    return F.length(value) - F.length(F.translate(value, chars, ""))
+
+
 def read_entities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans) of an entity file keyed by a text index: (doc, text) and (doc, entity, label, start, end)."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {ENTITY_DOC}>").alias("m")).select(F.explode("m").alias("doc", "d"))
+    """(texts, spans) of entity files keyed by a text index: (doc, text) and (doc, entity, label, start, end). See read_json_map for how files are split."""
+    raw = cut(read_json_map(spark, path)).select(F.explode(F.from_json("record", f"map<string, {ENTITY_DOC}>")).alias("doc", "d"))
     spans = raw.select("doc", F.explode("d.entities").alias("entity", "e")).select("doc", "entity", F.col("e.type").alias("label"), F.explode("e.span").alias("s"))
     return raw.select("doc", "d.text"), spans.select("doc", "entity", "label", F.col("s")[0].alias("start"), F.col("s")[1].alias("end"))
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from figweave.functions import chemistry as C
 from figweave.functions.metrics import prf
 from figweave.functions.ordering import ranked
+from figweave.operators import backout as K
 from figweave.operators import boxes as B
+from figweave.operators import graphs
 from figweave.operators import inference as J
 from figweave.operators import metrics as M
 from figweave.operators import molecules as G
@@ -118,8 +120,12 @@ def test_wedge_bonds_reverse(spark):
 def test_backout_reads_groups(spark):
     atoms = spark.createDataFrame([(1, 0, "O"), (1, 1, "C"), (1, 2, "N"), (1, 3, "S"), (2, 0, "C"), (2, 1, "F")], "mol_id long, atom_idx int, symbol string")
     bonds = spark.createDataFrame([(1, 0, 1, 1), (1, 1, 2, 1), (1, 2, 3, 1), (2, 0, 1, 1)], "mol_id long, src int, dst int, order int")
-    out = G.backout(atoms, G.edges_of(atoms, bonds), ["C"], [], {"R1": 0, "R2": 0})
-    assert values(out, "mol_id", "site", "group") == [(1, "R1", "O"), (1, "R2", "NS"), (2, "R1", "F"), (2, "R2", "H")]
+    drawn = spark.createDataFrame([(0, 0, "C"), (0, 1, "[R1]"), (0, 2, "[R2]")], "mol_id long, atom_idx int, symbol string")
+    tied = spark.createDataFrame([(0, 0, 1, 1), (0, 0, 2, 1)], "mol_id long, src int, dst int, order int")
+    tpls, _ = K.templates(graphs.packed(drawn, G.edges_of(drawn, tied)))
+    variants = spark.createDataFrame([(0, 1, "a", None, None), (0, 2, "b", None, None)], "tpl_id long, mol_id long, label string, name string, value string")
+    out = K.group_texts(K.read_groups(tpls, graphs.packed(atoms, G.edges_of(atoms, bonds)), variants))
+    assert values(out, "mol_id", "site", "group") == [(1, "[1*]", "O"), (1, "[2*]", "NS"), (2, "[1*]", "F"), (2, "[2*]", "H")]
 
 
 def test_reaction_dedup_keeps_the_first(spark):
@@ -227,7 +233,7 @@ def test_refined_keys_tell_isomers_apart(spark):
     chains = {1: "CCOCN", 2: "COCCN", 3: "NCOCC"}
     atoms = spark.createDataFrame([(m, i, x) for m, c in chains.items() for i, x in enumerate(c)], "mol_id long, atom_idx int, symbol string")
     bonds = spark.createDataFrame([(m, i - 1, i, 1) for m, c in chains.items() for i in range(1, len(c))], "mol_id long, src int, dst int, order int")
-    key = {r.mol_id: r.key for r in G.refined_keys(atoms, G.edges_of(atoms, bonds)).collect()}
+    key = {r.mol_id: r.twin for r in graphs.exact_classes(atoms, G.edges_of(atoms, bonds)).collect()}
     plain = {r.mol_id: r.key for r in G.signatures(atoms, G.edges_of(atoms, bonds)).collect()}
     assert key[1] == key[3] != key[2] and len(set(plain.values())) == 1
 

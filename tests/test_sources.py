@@ -1,6 +1,9 @@
 """Readers and writers over temporary files."""
 
 import json
+import random
+
+import pytest
 
 from figweave.sources import readers as R
 
@@ -27,6 +30,46 @@ def test_entities(spark, tmp_path):
     assert texts.first().text == "NaCl 3 h" and tuple(spans.select("doc", "label", "start", "end").first()) == ("0", "MOL", 0, 4)
 
 
+@pytest.mark.parametrize("indent, split", [(None, "1g"), (None, "300b"), (2, "700b"), (2, "97b")])
+def test_entity_files_in_many_tasks(spark, tmp_path, indent, split):
+    """Texts with quotes, backslashes, brackets and line ends; splits anywhere, inside strings and escapes too."""
+    rnd = random.Random(str((indent, split)))
+    bits = ['"', "\\", "{", "}", "[", "]", ",", ": ", "\n", "é", "日", "a", '\\"', " }, {", "\\\\"]
+    for name in ("x", "y"):
+        data = {f'{name}{k}"{k % 3 * "}"}': {"text": "".join(rnd.choice(bits) for _ in range(rnd.randrange(60))), "entities": {f"T{i}": {"span": [[i, i + 2]], "type": rnd.choice(["MOL", "{"])} for i in range(k % 4)}} for k in range(60)}
+        (tmp_path / f"{name}.json").write_text(json.dumps(data, indent=indent, ensure_ascii=k_is_even(name)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        texts, spans = R.read_entities(spark, str(tmp_path))
+        want = {k: v for name in ("x", "y") for k, v in json.loads((tmp_path / f"{name}.json").read_text()).items()}
+        got = texts.collect()
+        assert len(got) == 120 and {r.doc: r.text for r in got} == {k: v["text"] for k, v in want.items()}
+        assert sorted((r.doc, r.entity, r.label, r.start, r.end) for r in spans.collect()) == sorted((k, e, x["type"], *x["span"][0]) for k, v in want.items() for e, x in v["entities"].items())
+        if split != "1g":
+            assert spark.read.option("lineSep", '"').text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def k_is_even(name):
+    return name == "x"
+
+
+@pytest.mark.parametrize("split", ["1g", "50b"])
+def test_large_record_files_are_split(spark, tmp_path, split):
+    """Each record once, whatever the splits cut."""
+    (tmp_path / "a.sdf").write_text("".join(f"mol {k}\n{'x' * (k % 40)}\nM  END\n> <ID>\n{k}\n\n$$$$\n" for k in range(200)))
+    (tmp_path / "b.rdf").write_text("$RDFILE 1\n" + "".join(f"$RFMT\n$RXN {k}\n{'y' * (k % 30)}\n" for k in range(200)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        assert sorted(int(r.properties["ID"]) for r in R.read_sdf(spark, str(tmp_path / "a.sdf")).collect()) == list(range(200))
+        assert sorted(int(r.record.split()[1]) for r in R.read_rdf(spark, str(tmp_path / "b.rdf")).collect()) == list(range(200))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_molecule_csv_never_evaluates(spark, tmp_path):
     (tmp_path / "m.csv").write_text('file_path,SMILES,node_coords,edges\na.png,CC,"[[0.1, 0.2], [0.3, 0.4]]","[[0, 1, 1]]"\nb.png,C,"__import__(\'os\')","[]"\n')
     good, bad = R.read_molecule_csv(spark, str(tmp_path / "m.csv"))
