@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figweave.functions.chemistry import bare
+from figweave.functions.lineage import cut
 from figweave.operators.graphs import embeddings, plain, plan, spread, steps, united
 
 #: What an R-site is called, and the names that stand for each other.
@@ -36,14 +37,15 @@ def templates(mols: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
     """
     rows = plain(mols).select(F.col("mol_id").alias("tpl_id"), "names", "near", F.transform("names", site_name).alias("site"))
     places = F.transform("names", lambda _, i: i)
-    rows = rows.withColumn("core", plan(F.col("near"), F.filter(places, lambda i: F.get("site", i).isNull())))
+    rows = cut(rows.withColumn("core", plan(F.col("near"), F.filter(places, lambda i: F.get("site", i).isNull()))))
     named = F.transform(F.filter(places, lambda i: F.get("site", i).isNotNull()), lambda i: let(F.get(F.get("near", i), F.lit(0)), lambda e: F.struct(
         F.get("site", i).alias("name"), i.alias("place"), (F.array_position("core", e["at"]) - 1).cast("int").alias("at"), e["o"].alias("o"))))
-    rows = rows.withColumn("sites", named.cast(_SITES))
+    rows = cut(rows.withColumn("sites", named.cast(_SITES)))
     ends = F.forall("sites", lambda s: F.size(F.get("near", s["place"])) == 1)
     reason = (F.when(F.size("sites") == 0, "no R-site").when(F.size("sites") > limit, f"more than {limit} R-sites").when(F.size("core") == 0, "nothing but R-sites")
               .when(~ends, "an R-site is not at an end").when(F.exists("sites", lambda s: s["at"] < 0), "an R-site hangs on another"))
-    rows = rows.withColumn("reason", reason)
+    # written, as the core, so that no later expression computes it again
+    rows = cut(rows.withColumn("reason", reason))
     good = rows.filter("reason is null")
     good = good.select("tpl_id", "core", F.size("names").alias("size"), steps(F.col("core"), F.col("names"), F.col("near")).alias("core_steps"), "sites")
     return good, rows.filter("reason is not null").select("tpl_id", "reason")

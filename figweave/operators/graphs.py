@@ -10,6 +10,11 @@ from figweave.functions.lineage import cut
 _LINK = "array<struct<at:int,o:int>>"
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows dealt over all shuffle partitions, before folds that cost much more than their bytes tell; partitions sized by bytes would leave them to a few tasks."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def packed(atoms: DataFrame, edges: DataFrame, key: str = "mol_id") -> DataFrame:
     """(key, idx, names, near), one row a molecule: atom numbers ascending, their symbols, and each one's neighbours as (at, o): place in `idx` and bond order.
 
@@ -20,18 +25,13 @@ def packed(atoms: DataFrame, edges: DataFrame, key: str = "mol_id") -> DataFrame
     int_ = lambda c: F.col(c).cast("int")
     rows = atoms.select(key, F.struct(int_("atom_idx").alias("i"), F.col("symbol").alias("s")).alias("at"), none_e.alias("ed")).unionByName(
         edges.select(key, none_a.alias("at"), F.struct(int_("a").alias("a"), int_("b").alias("b"), int_("order").alias("o")).alias("ed")))
-    mols = rows.groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("at"), F.sort_array(F.collect_list("ed")).alias("ed"))
+    mols = spread(rows, key).groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("at"), F.sort_array(F.collect_list("ed")).alias("ed"))
     mols = mols.withColumn("idx", F.transform("at", lambda x: x["i"]))
     place = lambda b: (F.array_position("idx", b) - 1).cast("int")
     near = F.transform("at", lambda x: F.transform(F.filter("ed", lambda e: (e["a"] == x["i"]) & F.array_contains("idx", e["b"])), lambda e: F.struct(place(e["b"]).alias("at"), e["o"].alias("o"))))
     return mols.select(key, "idx", F.transform("at", lambda x: x["s"]).alias("names"), near.cast(f"array<{_LINK}>").alias("near"))
 
 
-def spread(rows: DataFrame, *by: str) -> DataFrame:
-    """rows dealt over all shuffle partitions, before folds that cost much more than their bytes tell; partitions sized by bytes would leave them to a few tasks."""
-    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
-
-
 def united(near: Column, inside: Column | None = None) -> Column:
     """Per place the least place that it is joined to, by one pass of union over the bonds. inside: array<boolean>, places that count; the others and their bonds are left out."""
     bonds = F.flatten(F.transform(near, lambda n, a: F.transform(F.filter(n, lambda e: e["at"] > a), lambda e: F.struct(a.alias("a"), e["at"].alias("b")))))
