@@ -13,7 +13,7 @@ def ranked(df: DataFrame, order: list[str], within: str | None = None) -> DataFr
     """df with `rank`, from 0: its place in the order of `order`, or among the rows of its `within` value.
 
     Range partitions are sorted and cut; a row's place is its place in the partition plus the rows in the partitions before. These counts are one row per partition (and value of
-    `within` in it), so a value that holds most rows is spread over partitions like any other.
+    `within` in it), so a value that holds most rows is spread over partitions like any other. The cut is written when this is called, not when its result is read.
     """
     keys = [within] if within else []
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -114,8 +114,8 @@ def mol_main_fragment(spark, sf_dir):
     return G.main_fragment(G.components(atoms, edges))
 
 
-@query("atm bnd", _EDGE + """ SELECT x.mol_id, x.atom_idx AS m0, e.b AS m1, f.b AS m2 FROM atm x JOIN ed e ON e.mol_id = x.mol_id AND e.a = x.atom_idx JOIN ed f ON f.mol_id = e.mol_id AND f.a = e.b
-    JOIN atm z ON z.mol_id = x.mol_id AND z.atom_idx = f.b WHERE x.symbol = 'C' AND z.symbol = 'O' AND f.b <> x.atom_idx""")
+@query("atm bnd", _EDGE + """, en AS (SELECT ed.mol_id, b AS mid, a AS outer_, symbol FROM ed JOIN atm ON atm.mol_id = ed.mol_id AND atom_idx = a WHERE symbol IN ('C', 'O'))
+    SELECT c.mol_id, c.outer_ AS m0, c.mid AS m1, o.outer_ AS m2 FROM (SELECT * FROM en WHERE symbol = 'C') c JOIN (SELECT * FROM en WHERE symbol = 'O') o ON o.mol_id = c.mol_id AND o.mid = c.mid""")
 def mol_pattern(spark, sf_dir):
     """C, any atom, O in a row."""
     atoms, _, edges = _graph(spark, sf_dir)
