@@ -267,3 +267,18 @@ def test_formulas_that_stand_for_too_much(spark, text, reason):
     assert [(r.id, r.reason) for r in G.formula_rejects(df).collect()] == [(1, reason)]
     assert sorted((r.id, r.symbol, r.n) for r in G.formula_counts(df).collect()) == [(2, "C", 2), (2, "H", 6)]
     assert [r.a for r in df.orderBy("id").select(C.formula_atoms(F.col("formula")).alias("a")).collect()] == [None, ["C", "H", "H", "H", "C", "H", "H", "H"]]
+
+
+def test_substructure_candidates_are_few(spark):
+    """Copies are one class, and a pair is made only where the query's rarest path is."""
+    chain = lambda s, o=1: (list(s), [(i, i + 1, o) for i in range(len(s) - 1)])
+    records = {m: chain("CCNCO" if m % 50 == 0 else "CNCOC") for m in range(200)} | {m: (["C"], []) for m in range(200, 400)}
+    asked = {1000: chain("CCNC"), 1001: chain("OCNCC"), 1002: chain("CCNC"), 1003: chain("CCNC", 5)}
+    found, members = R.classes(tables(spark, records)[2])
+    assert sorted((r.mol_id, r.copies) for r in found.collect()) == [(0, 4), (1, 196), (200, 200)]
+    assert members.count() == 400
+    some, of = R.classes(tables(spark, asked)[2])
+    assert sorted((r.mol_id, r["class"]) for r in of.collect()) == [(1000, 1000), (1001, 1001), (1002, 1000), (1003, 1000)]
+    pairs = R.substructure_candidates(some, found, ["copies"]).select("query_id", "mol_id", "copies").collect()
+    assert sorted(map(tuple, pairs)) == [(1000, 0, 4), (1001, 0, 4)]
+    assert sorted(map(tuple, R.substructures(some, found, ["copies"]).collect())) == [(1000, 0, 4, 1), (1001, 0, 4, 1)]
