@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from figweave.functions.chemistry import bare
 from figweave.functions.lineage import cut
-from figweave.operators.graphs import embeddings, plain, plan, spread, steps, united
+from figweave.operators.graphs import embeddings, plain, plan, screened, spread, steps, united
 
 #: What an R-site is called, and the names that stand for each other.
 SITE = r"^(R\d*|R[a-df']|\d+\*|[XYZQAE]|Ar[12i]?)$"
@@ -51,23 +51,33 @@ def templates(mols: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
     return good, rows.filter("reason is not null").select("tpl_id", "reason")
 
 
-def labelled(products: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled(products: DataFrame, labels: DataFrame, by: str = "tpl_id") -> DataFrame:
     """(tpl_id, mol_id, label, name, value): the molecules that a reaction's product label asks for.
 
-    products(tpl_id, label): the template's own first label. labels(tpl_id, mol_id, place, text): all labels of molecules beside it. A molecule is asked for if one of its texts holds the product's number followed by letters; the first
-    such text is its label. Each of its texts that says what an R-group is (`R1 = Me`) gives a variant of its own, with that text behind the label, name and value; without one there is a single variant. The template itself is left out.
+    products(tpl_id, by, label): the template's own first label. labels(by, mol_id, place, text): all labels of molecules beside it; templates that share a page share its labels if `by` is the page. A molecule is asked for if one of its texts
+    holds the product's number followed by letters; the first such text is its label. Each of its texts that says what an R-group is (`R1 = Me`) gives a variant of its own, with that text behind the label, name and value; without one there is
+    a single variant. The template itself is left out.
     """
     number = F.coalesce(F.regexp_extract("label", r"\d+", 0), F.lit(""))
-    asked = labels.filter("mol_id <> tpl_id").join(products.select("tpl_id", number.alias("number")), "tpl_id")
-    fits = F.regexp_like(F.coalesce("text", F.lit("")), F.concat(F.col("number"), F.lit("[a-zA-Z]+")))
+    own = products.select(*dict.fromkeys((by, "tpl_id")), number.alias("number"))
+    # a null text reads as an empty one, which neither fits, as letters are asked for, nor says anything
+    asked = labels.filter("text is not null").join(own, by).filter("mol_id <> tpl_id")
+    fits = F.regexp_like("text", F.concat(F.col("number"), F.lit("[a-zA-Z]+")))
     equation = lambda k: F.regexp_extract("text", r"([RXY]\d?) *= *(\w+)", k)
-    found = asked.groupBy("tpl_id", "mol_id").agg(
+    found = asked.groupBy(*dict.fromkeys((by, "tpl_id", "mol_id"))).agg(
         F.min_by("text", F.when(fits, F.col("place"))).alias("label"), F.count_if(fits).alias("n"),
         F.sort_array(F.collect_list(F.when(equation(1) != "", F.struct("place", "text", equation(1).alias("name"), equation(2).alias("value"))))).alias("said"))
     found = found.filter("n > 0").select("tpl_id", "mol_id", "label", F.explode_outer("said").alias("e"))
     return found.select("tpl_id", "mol_id", F.concat("label", F.coalesce("e.text", F.lit(""))).alias("label"), "e.name", "e.value")
 
 
+def _core_screen(tpls: DataFrame) -> DataFrame:
+    """(tpl_id, c0, core_names): the bits that the paths of the core set, and its symbols."""
+    links = F.transform("core_steps", lambda s, k: F.concat(s["links"], F.flatten(F.transform("core_steps", lambda t, j: F.transform(F.filter(t["links"], lambda e: e["at"] == k), lambda e: F.struct(j.alias("at"), e["o"].alias("o")))))))
+    cores = screened(tpls.select("tpl_id", F.transform("core_steps", lambda s: s["name"]).alias("names"), links.cast("array<array<struct<at:int,o:int>>>").alias("near")))
+    return cores.select("tpl_id", F.col("s0").alias("c0"), F.array_distinct("names").alias("core_names"))
+
+
 def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFrame:
     """variants (tpl_id, mol_id, label, name, value) that the template explains, with the packed target (names, near), `inside` (places that are no core) and `groups`, one a site in order of the template's places:
     (name, attach): the target's place that the group hangs on the core with, null for hydrogen.
@@ -76,11 +86,16 @@ def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFr
     them the sites with the greater places taken as hydrogen, from the last; then the least places by the template's order. So variants of the template with ever more hydrogens are tried until one fits. A target in parts that are not linked is
     first narrowed to the first part that holds the whole template, if there is one. A name and value rename the target's R-group before.
 
-    All of this is folds inside one row a variant; nothing is shuffled but the joins by template and target.
+    All of this is folds inside one row a variant; nothing is shuffled but the joins by template and target. Before they meet, a target that lacks one of the core's paths is left out by 64 bits of both, unless a variant gives its atoms a name that the core has.
     """
-    targets = plain(mols).select("mol_id", "names", "near")
-    rows = spread(variants.join(tpls, "tpl_id").join(targets, "mol_id"), "tpl_id", "mol_id")
-    renamed = F.transform("names", lambda s: F.when((bare(s) == F.col("name")) & s.startswith("["), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(s))
+    targets = screened(plain(mols).select("mol_id", "names", "near")).drop("features", "s1")
+    holds = F.col("c0").bitwiseAND(F.col("s0")) == F.col("c0")
+    meant = lambda s: (bare(s) == F.col("name")) & s.startswith("[")
+    # a new name finds more only where the core has it
+    found = variants.join(_core_screen(tpls), "tpl_id").withColumn("finds", F.coalesce(F.array_contains("core_names", F.concat(F.lit("["), F.col("value"), F.lit("]"))), F.lit(False))).drop("core_names")
+    rows = found.join(targets, "mol_id").filter(holds | (F.col("finds") & F.coalesce(F.exists("names", meant), F.lit(False)))).drop("c0", "s0", "finds")
+    rows = spread(rows, "tpl_id").join(tpls, "tpl_id")
+    renamed = F.transform("names", lambda s: F.when(meant(s), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(s))
     rows = rows.withColumn("names", F.when(F.col("name").isNull(), F.col("names")).otherwise(renamed))
     rows = rows.withColumn("part", united(F.col("near"))).withColumn("ms", embeddings(F.col("core_steps"), F.col("names"), F.col("near")))
 

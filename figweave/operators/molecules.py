@@ -15,12 +15,16 @@ from figweave.operators.graphs import packed, united
 EQUATION = r"([RXY]\d?) *= *(\w+)"
 
 
+def directed(bonds: DataFrame) -> DataFrame:
+    """(mol_id, a, b, order) in both directions; a wedge's other direction is 11 - order. graphs.packed leaves out what has no known atom at an end."""
+    back = F.when(F.col("order") > 4, 11 - F.col("order")).otherwise(F.col("order"))
+    return bonds.select("mol_id", F.col("src").alias("a"), F.col("dst").alias("b"), "order").unionByName(bonds.select("mol_id", F.col("dst").alias("a"), F.col("src").alias("b"), back.alias("order")))
+
+
 def edges_of(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(mol_id, a, b, order) in both directions between known atoms; a wedge's other direction is 11 - order."""
-    back = F.when(F.col("order") > 4, 11 - F.col("order")).otherwise(F.col("order"))
-    both = bonds.select("mol_id", F.col("src").alias("a"), F.col("dst").alias("b"), "order").unionByName(bonds.select("mol_id", F.col("dst").alias("a"), F.col("src").alias("b"), back.alias("order")))
     ends = atoms.select("mol_id", "atom_idx")
-    return both.join(ends.withColumnRenamed("atom_idx", "a"), ["mol_id", "a"], "left_semi").join(ends.withColumnRenamed("atom_idx", "b"), ["mol_id", "b"], "left_semi").select("mol_id", "a", "b", "order")
+    return directed(bonds).join(ends.withColumnRenamed("atom_idx", "a"), ["mol_id", "a"], "left_semi").join(ends.withColumnRenamed("atom_idx", "b"), ["mol_id", "b"], "left_semi").select("mol_id", "a", "b", "order")
 
 
 def symmetric_scores(scores: DataFrame) -> DataFrame:

@@ -282,3 +282,15 @@ def test_substructure_candidates_are_few(spark):
     pairs = R.substructure_candidates(some, found, ["copies"]).select("query_id", "mol_id", "copies").collect()
     assert sorted(map(tuple, pairs)) == [(1000, 0, 4), (1001, 0, 4)]
     assert sorted(map(tuple, R.substructures(some, found, ["copies"]).collect())) == [(1000, 0, 4, 1), (1001, 0, 4, 1)]
+
+
+def test_labels_by_page_and_renamed_targets(spark):
+    """Labels of a page serve all its templates; a name that the core has is found in a target that lacks the core before it is renamed."""
+    products = spark.createDataFrame([(1, 7, "1a"), (2, 7, "2a")], "tpl_id long, page long, label string")
+    labels = spark.createDataFrame([(7, 1, 0, "1a"), (7, 2, 0, "2a"), (7, 3, 0, "1c"), (7, 3, 1, "R1 = Ph"), (7, 4, 0, None), (8, 5, 0, "1d")], "page long, mol_id long, place int, text string")
+    asked = K.labelled(products, labels, "page")
+    assert [tuple(r) for r in asked.collect()] == [(1, 3, "1cR1 = Ph", "R1", "Ph")]
+    tpls, _ = K.templates(tables(spark, {1: (["C", "[Ph]", "[R2]"], [(0, 1, 1), (0, 2, 1)])})[2])
+    mols = tables(spark, {3: (["C", "[R1]", "O"], [(0, 1, 1), (0, 2, 1)]), 4: (["C", "N", "O"], [(0, 1, 1), (0, 2, 1)])})[2]
+    variants = asked.unionByName(spark.createDataFrame([(1, 3, "x", "R1", "Et"), (1, 4, "y", None, None), (1, 3, "z", None, None)], asked.schema))
+    assert [tuple(r) for r in K.group_texts(K.read_groups(tpls, mols, variants)).collect()] == [(1, 3, "1cR1 = Ph", "[2*]", "O")]
