@@ -18,7 +18,7 @@ METRICS = {"tanimoto": lambda c, a, b: F.when(a + b - c > 0, c / (a + b - c)).ot
 #: An index is used while its candidates are under this share of all pairs and a query asks for at most so many values; a pair made by a join costs some 300 times one compared inside a block.
 SELECTIVE, PROBES = 0.01, 4096
 #: Sets in a block that is compared whole.
-BLOCK = 2048
+BLOCK = 16384
 
 
 def compare(pairs: DataFrame, metric: str = "tanimoto") -> DataFrame:
@@ -106,32 +106,62 @@ def _prefixes(sets: DataFrame, freq: DataFrame, least: float) -> DataFrame:
     return rows.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("vec_id", "n", "bit")
 
 
-def blocked(records: DataFrame, queries: DataFrame, least: float, most: float) -> DataFrame:
-    """(query_id, vec_id, similarity) of packed sets by comparing blocks of queries with blocks of records, BLOCK sets each: counts of common bits by numpy over whole blocks, and only hits leave.
+def blocked(records: DataFrame, queries: DataFrame, least: float, most: float, best: int | None = None) -> DataFrame:
+    """(query_id, vec_id, similarity) of packed sets by comparing blocks of records, BLOCK sets each, with all queries: counts of common bits by numpy, and only hits leave. best: of each query and block only the hits that
+    can be among its first so many, ties to the lowest id.
 
-    For sets so dense and thresholds so low that every exact index meets most pairs anyway. Blocks are dealt by hash; a block of queries is copied to each block of records, so no task holds more than two blocks.
+    For sets so dense and thresholds so low that every exact index meets most pairs anyway. Records are dealt to blocks by hash; queries are copied to each block as plain rows, behind its records, so a task holds one block and one batch of queries.
     """
-    n_r, n_q = (max(1, -(-x.count() // BLOCK)) for x in (records, queries))
-    block = lambda x, n, name: x.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name), "vec_id", "n", "words").groupBy(name).agg(F.collect_list(F.struct("vec_id", "n", "words")).alias("b"))
-    parts = lambda x, p: x.select("rb", F.transform(p, lambda y: y["vec_id"]).alias(f"{p}_vec_id"), F.transform(p, lambda y: y["n"]).alias(f"{p}_n"), F.flatten(F.transform(p, lambda y: y["words"])).alias(f"{p}_words"))
-    own = parts(block(records, n_r, "rb").withColumnRenamed("b", "r"), "r")
-    asked = block(queries, n_q, "qb").withColumnRenamed("b", "q").withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))))
-    pairs = parts(asked.repartition(max(1, min(n_r * n_q, 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))), "rb", "qb"), "q").join(own, "rb")
+    n_r = max(1, -(-records.count() // BLOCK))
+    cast = lambda x: x.select(F.col("block").cast("long"), F.col("asks"), F.col("vec_id").cast("long"), F.col("n").cast("int"), "words")
+    own = cast(records.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_r)).alias("block"), F.lit(False).alias("asks"), "vec_id", "n", "words"))
+    asked = cast(queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "n", "words"))
+    parts = max(1, min(n_r, 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = own.unionByName(asked).repartitionByRange(parts, "block").sortWithinPartitions("block", "asks")
 
     def compare_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                qi, qn, ri, rn = (np.asarray(x, np.int64) for x in (row.q_vec_id, row.q_n, row.r_vec_id, row.r_n))
-                qw, rw = (np.asarray(x, np.int64).view(np.uint64).reshape(len(i), -1) for x, i in ((row.q_words, qi), (row.r_words, ri)))
-                for at in range(0, len(qi), 128):
-                    cut = slice(at, at + 128)
-                    c = sum(np.bitwise_count(qw[cut, None, w] & rw[None, :, w]).astype(np.int64) for w in range(qw.shape[1]))
-                    union = qn[cut, None] + rn[None, :] - c
-                    sim = np.divide(c, union, out=np.zeros(c.shape), where=union > 0)
-                    i, j = np.nonzero((sim >= least) & (sim <= most) & (qi[cut, None] != ri[None, :]))
-                    yield pd.DataFrame({"query_id": qi[cut][i], "vec_id": ri[j], "similarity": sim[i, j]})
-
-    return pairs.mapInPandas(compare_blocks, "query_id long, vec_id long, similarity double")
+            for block, rows in batch.groupby("block", sort=True):
+                if block != at:
+                    at, held = block, []
+                mine, asks = rows[~rows["asks"]], rows[rows["asks"]]
+                if len(mine):
+                    held.append(_arrays(mine))
+                if not len(asks) or not held:
+                    continue
+                if len(held) > 1:
+                    held = [tuple(np.concatenate(x) for x in zip(*held))]
+                yield from _compared(_arrays(asks), held[0], least, most, best)
+
+    return rows.mapInPandas(compare_blocks, "query_id long, vec_id long, similarity double")
+
+
+def _arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, numbers of bits and words of sets, in the order of their ids."""
+    rows = rows.sort_values("vec_id")
+    return rows["vec_id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), np.stack([np.asarray(w, np.int64) for w in rows["words"]]).view(np.uint64)
+
+
+def _compared(asks: tuple, own: tuple, least: float, most: float, best: int | None) -> Iterator[pd.DataFrame]:
+    """Hits of some queries in a block, some hundred thousand pairs at a time."""
+    (qi, qn, qw), (ri, rn, rw) = asks, own
+    step = max(1, 500_000 // len(ri))
+    for at in range(0, len(qi), step):
+        cut = slice(at, at + step)
+        c = sum(np.bitwise_count(qw[cut, None, w] & rw[None, :, w]).astype(np.int64) for w in range(qw.shape[1]))
+        union = qn[cut, None] + rn[None, :] - c
+        sim = np.divide(c, union, out=np.zeros(c.shape), where=union > 0)
+        fits = (sim >= least) & (sim <= most) & (qi[cut, None] != ri[None, :])
+        if best is not None and best < len(ri):
+            kept = np.where(fits, sim, -1.0)
+            floor = np.partition(kept, len(ri) - best, axis=1)[:, len(ri) - best, None]  # the best-th similarity of each query
+            fits &= kept >= floor
+        i, j = np.nonzero(fits)
+        found = pd.DataFrame({"query_id": qi[cut][i], "vec_id": ri[j], "similarity": sim[i, j]})
+        if best is not None:
+            found = found.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby(["query_id"]).head(best)
+        yield found
 
 
 def method_for(records: DataFrame, queries: DataFrame, least: float, width: int) -> str:
@@ -146,11 +176,11 @@ def method_for(records: DataFrame, queries: DataFrame, least: float, width: int)
     return name if way < SELECTIVE and (name == "prefix" or probes <= PROBES) else "blocks"
 
 
-def search(records: DataFrame, queries: DataFrame, least: float, most: float = 1.0, max_bits: int = 4096, method: str | None = None) -> DataFrame:
+def search(records: DataFrame, queries: DataFrame, least: float, most: float = 1.0, max_bits: int = 4096, method: str | None = None, best: int | None = None) -> DataFrame:
     """(query_id, vec_id, similarity) with least <= Tanimoto <= most, a record with itself left out.
 
     Three exact ways, see method_for: `prefix` joins on a rare bit (sparse sets), `segments` on equal or near segments of the packed bits (dense sets, high thresholds), `blocks` compares packed blocks (dense sets, low thresholds, where an index
-    meets most pairs). Bits are 0 .. max_bits - 1; a fingerprint has a fixed width, checked against max_bits. With `least` 0, sets without a common bit count too, by `blocks`.
+    meets most pairs). Bits are 0 .. max_bits - 1; a fingerprint has a fixed width, checked against max_bits. With `least` 0, sets without a common bit count too, by `blocks`. best: only so many of a query are wanted, see top_n; others of it may be missing.
     """
     last = records.select(F.array_max("bits").alias("b")).unionByName(queries.select(F.array_max("bits").alias("b"))).agg(F.max("b"), F.min("b")).first()
     width = (last[0] if last[0] is not None else 0) + 1
@@ -160,7 +190,7 @@ def search(records: DataFrame, queries: DataFrame, least: float, most: float = 1
     n_words = -(-width // 64)
     own, asked = packed_bits(records, n_words), packed_bits(queries, n_words)
     if method == "blocks":
-        return blocked(own, asked, least, most)
+        return blocked(own, asked, least, most, best)
     if method == "segments":
         pairs = pigeonhole_candidates(own, asked, least, width)
     else:

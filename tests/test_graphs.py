@@ -294,3 +294,17 @@ def test_labels_by_page_and_renamed_targets(spark):
     mols = tables(spark, {3: (["C", "[R1]", "O"], [(0, 1, 1), (0, 2, 1)]), 4: (["C", "N", "O"], [(0, 1, 1), (0, 2, 1)])})[2]
     variants = asked.unionByName(spark.createDataFrame([(1, 3, "x", "R1", "Et"), (1, 4, "y", None, None), (1, 3, "z", None, None)], asked.schema))
     assert [tuple(r) for r in K.group_texts(K.read_groups(tpls, mols, variants)).collect()] == [(1, 3, "1cR1 = Ph", "[2*]", "O")]
+
+
+def test_blocks_keep_the_best(spark, monkeypatch):
+    """Records over many blocks and queries over many batches: the best of each block hold the best of all, ties to the lowest id, and no block is a row."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rnd = random.Random(4)
+    sets = spark.createDataFrame([(i, sorted(rnd.sample(range(20), rnd.randrange(0, 9)))) for i in range(150)], "vec_id long, bits array<int>")
+    asked = sets.filter("vec_id % 4 = 0")
+    whole = S.search(sets, asked, 0.2, method="blocks")
+    few = S.search(sets, asked, 0.2, method="blocks", best=3)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(S.top_n(few, 3)) == rows(S.top_n(whole, 3))
+    assert few.count() < whole.count()
+    assert rows(whole) == rows(S.search(sets, asked, 0.2, method="prefix"))
