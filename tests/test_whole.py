@@ -51,3 +51,12 @@ def test_all_pages_and_turns(spark, small):
     assert pages == {d: "\n".join(f"## = Page {i % 10 + 1} =\npage {i}\n" for i in range(13) if i // 10 == d).strip() for d in (0, 1)}
     (row,) = QUERIES["message_payload"](spark, small).collect()
     assert row.n_turns == 5 and [m["text"] for m in json.loads(row.payload)] == [f"t{i}" for i in range(5)]
+
+
+def test_pages_stay_in_their_partition(spark, sf):
+    """Lines, rows, cells and grids of a page are made where its detections are: one shuffle in all."""
+    from figweave.plans import QUERIES
+
+    for name in ("table_align", "table_rejects", "table_expand"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, name
