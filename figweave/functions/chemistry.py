@@ -86,11 +86,17 @@ def symbol_counts(formula: Column) -> Column:
         found = F.when(_is_count(token) | token.isin("(", ")"), at["found"]).otherwise(F.array_append(at["found"], symbol))
         return F.struct(factors.alias("factors"), count.alias("count"), found.alias("found"))
 
-    return F.when(is_formula(formula), F.aggregate(F.reverse(formula_tokens(formula)), start, step)["found"])
+    return _of_tokens(formula, lambda tokens: F.aggregate(F.reverse(tokens), start, step)["found"])
 
 
-def formula_size(formula: Column) -> Column:
-    """How many atoms a formula stands for, as a double, so that no product overflows. A count of 0 counts as 1, as what it repeats is made first."""
+def _of_tokens(formula: Column, body) -> Column:
+    """body of a formula's tokens, which are found once for all rules and for the body; null for what is no formula."""
+    tokens = F.when(formula.isNotNull() & (F.length(formula) <= FORMULA_CHARS), formula_tokens(formula))
+    return F.get(F.transform(F.array(tokens), lambda t: F.when(_problem(formula, t).isNull(), body(t))), F.lit(0))
+
+
+def _size(tokens: Column) -> Column:
+    """How many atoms tokens stand for, as a double, so that no product overflows. A count of 0 counts as 1, as what it repeats is made first."""
     start = F.struct(F.array(F.lit(1.0)).alias("factors"), F.lit(1.0).alias("count"), F.lit(0.0).alias("size"))
 
     def step(at, token):
@@ -101,17 +107,30 @@ def formula_size(formula: Column) -> Column:
         size = at["size"] + F.when(_is_count(token) | token.isin("(", ")"), F.lit(0.0)).otherwise(top * at["count"])
         return F.struct(factors.alias("factors"), count.alias("count"), size.alias("size"))
 
-    return F.aggregate(F.reverse(formula_tokens(formula)), start, step)["size"]
+    return F.aggregate(F.reverse(tokens), start, step)["size"]
 
 
-def formula_problem(formula: Column) -> Column:
-    """Why a text is no condensed formula; null for formulas. Each rule is only asked if those before it hold, so no text costs more than FORMULA_CHARS and FORMULA_ATOMS allow."""
-    open_ = F.aggregate(formula_tokens(formula), F.lit(0), lambda n, t: F.when(n < 0, n).otherwise(n + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)))
+def formula_size(formula: Column) -> Column:
+    """How many atoms a formula stands for, see _size."""
+    return _size(formula_tokens(formula))
+
+
+def _problem(formula: Column, tokens: Column) -> Column:
+    open_ = F.aggregate(tokens, F.lit(0), lambda n, t: F.when(n < 0, n).otherwise(n + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)))
+    # a text whose counts, each at least 1, cannot multiply to so many atoms needs no sum
+    most = F.aggregate(tokens, F.size(tokens).cast("double"), lambda n, t: F.when(_is_count(t), n * F.greatest(F.left(t, F.lit(COUNT_DIGITS + 1)).try_cast("double"), F.lit(1.0))).otherwise(n))
     return (
         F.when(formula.isNull(), "no text").when(F.length(formula) > FORMULA_CHARS, f"more than {FORMULA_CHARS} characters")
         .when(F.regexp_like(formula, F.lit(r"\d{%d}" % (COUNT_DIGITS + 1))), f"a count of more than {COUNT_DIGITS} digits")
-        .when(F.regexp_replace(formula, formula_token(), "") != "", "characters of no token").when(open_ != 0, "brackets that do not close")
-        .when(formula_size(formula) > FORMULA_ATOMS, f"more than {FORMULA_ATOMS} atoms"))
+        # tokens stand in order and do not overlap, so they are the whole text if they are as long
+        .when(F.length(F.array_join(tokens, "")) != F.length(formula), "characters of no token").when(open_ != 0, "brackets that do not close")
+        .when((most > FORMULA_ATOMS) & (_size(tokens) > FORMULA_ATOMS), f"more than {FORMULA_ATOMS} atoms"))
+
+
+def formula_problem(formula: Column) -> Column:
+    """Why a text is no condensed formula; null for formulas. Each rule is only asked if those before it hold, so no text costs more than FORMULA_CHARS and FORMULA_ATOMS allow."""
+    tokens = F.when(formula.isNotNull() & (F.length(formula) <= FORMULA_CHARS), formula_tokens(formula))
+    return F.get(F.transform(F.array(tokens), lambda t: _problem(formula, t)), F.lit(0))
 
 
 def is_formula(formula: Column) -> Column:
@@ -150,4 +169,4 @@ def formula_atoms(formula: Column) -> Column:
         return F.struct(levels.alias("levels"), unit.alias("unit"))
 
     end = lambda at: settled(F.when(at["unit"].isNull(), at["levels"]).otherwise(put(at["levels"], at["unit"], F.lit(1))))
-    return F.when(is_formula(formula), F.aggregate(formula_tokens(formula), start, step, end))
+    return _of_tokens(formula, lambda tokens: F.aggregate(tokens, start, step, end))
