@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,3 +309,38 @@ def test_blocks_keep_the_best(spark, monkeypatch):
     assert rows(S.top_n(few, 3)) == rows(S.top_n(whole, 3))
     assert few.count() < whole.count()
     assert rows(whole) == rows(S.search(sets, asked, 0.2, method="prefix"))
+
+
+def shuffled_by(df):
+    """The columns that a query's shuffles go by."""
+    return set(re.findall(r"Exchange hashpartitioning\((\w+)#", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_bonds_and_scores_stay_with_their_molecule(spark, sf):
+    """Rows that are dealt by molecule are not shuffled again, and directions do not meet in a join."""
+    from figweave.plans import QUERIES
+
+    df = QUERIES["bond_scores"](spark, sf)
+    assert shuffled_by(df) == {"l_orderkey"} and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_symmetric_scores_brute(spark):
+    """Rows without the other direction, self loops, repeated rows, ties and nulls."""
+    rnd = random.Random(5)
+    rows = [(m, rnd.randrange(4), rnd.randrange(4), rnd.randrange(7), rnd.randrange(6) / 8) for m in (1, 2, 3) for _ in range(150)] + [(1, None, 2, 0, 0.9), (None, 1, 1, 0, 0.9), (2, 1, 2, 0, None)]
+    want, swap = {}, {5: 6, 6: 5}
+    for m, i, j, k, p in rows:
+        for n, a, b, c, q in rows:
+            if None not in (m, i, j, p, q) and (m, i, j, k) == (n, b, a, swap.get(c, c)):
+                want[m, i, j] = max(want.get((m, i, j), (-1.0, 0)), ((p + q) / 2, -k))
+    out = G.symmetric_scores(spark.createDataFrame(rows, "mol_id long, i int, j int, k int, p double")).collect()
+    assert {(r.mol_id, r.i, r.j): (r.score, -r.order) for r in out} == want and len(out) == len(want)
+
+
+def test_edges_of_odd_bonds(spark):
+    """Bonds to unknown atoms or nulls go; repeated atoms do not repeat bonds, repeated bonds stay."""
+    atoms = spark.createDataFrame([(1, 0, "C"), (1, 0, "C"), (1, 1, "N"), (1, None, "X"), (2, 5, "C")], "mol_id long, atom_idx long, symbol string")
+    bonds = spark.createDataFrame([(1, 0, 1, 5), (1, 0, 1, 5), (1, 0, 2, 1), (2, 0, 5, 1), (1, None, 0, 1), (2, 5, 5, None), (3, 0, 1, 1)], "mol_id long, src int, dst int, order int")
+    out = G.edges_of(atoms, bonds)
+    assert sorted(((r.mol_id, r.a, r.b, r.order) for r in out.collect()), key=str) == [(1, 0, 1, 5), (1, 0, 1, 5), (1, 1, 0, 6), (1, 1, 0, 6), (2, 5, 5, None), (2, 5, 5, None)]
+    assert out.dtypes == [("mol_id", "bigint"), ("a", "int"), ("b", "int"), ("order", "int")]
