@@ -322,6 +322,7 @@ def test_bonds_and_scores_stay_with_their_molecule(spark, sf):
 
     df = QUERIES["bond_scores"](spark, sf)
     assert shuffled_by(df) == {"l_orderkey"} and "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    assert shuffled_by(QUERIES["mol_confidence"](spark, sf)) == {"l_orderkey"}
 
 
 def test_symmetric_scores_brute(spark):
