@@ -73,3 +73,18 @@ def test_formula_tokens_are_found_once(spark):
         rows = df.select(read(F.col("formula")).alias("x"))
         assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
         assert [r.x is None for r in rows.collect()] == [False, False, True, True, True, True, True, False, True, False, True]
+
+
+@pytest.mark.parametrize("name", ["token_parse_broken", "token_stream_parse", "token_sequence"])
+def test_token_sequences_stay_with_their_image(spark, sf, name):
+    """Boxes are not joined with themselves: one shuffle, by image."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_token_sequences_without_an_image(spark, tmp_path):
+    """Boxes whose image is null are in no join and so in no sequence."""
+    row = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
+    rows = [(key, 4 * i, i, i, 5.0, 1.0, 0.05, "N") for key in (None, 7) for i in range(3)]
+    spark.createDataFrame(rows, row).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.image_id for r in QUERIES["token_stream_parse"](spark, str(tmp_path)).collect()] == [7, 7, 7]
