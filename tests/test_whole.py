@@ -1,6 +1,8 @@
 """Queries over documents, pages and turns read all rows and whole texts: brute force over small tables."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +90,52 @@ def test_token_sequences_without_an_image(spark, tmp_path):
     rows = [(key, 4 * i, i, i, 5.0, 1.0, 0.05, "N") for key in (None, 7) for i in range(3)]
     spark.createDataFrame(rows, row).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert [r.image_id for r in QUERIES["token_stream_parse"](spark, str(tmp_path)).collect()] == [7, 7, 7]
+
+
+@pytest.mark.parametrize("name, n", [("ner_align", 2), ("ner_spans_strict_f1", 2)])
+def test_tokens_stay_with_their_document(spark, sf, name, n):
+    """Texts are dealt by document; spans and tokens are not shuffled again by other keys."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("SinglePartition")[0]
+    assert "Join" not in plan and "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\d+L?, [a-z]", plan) and plan.count("hashpartitioning(doc_id") == n
+
+
+def test_span_hits_as_a_full_join(spark):
+    from figweave.operators import text as S
+
+    rnd = random.Random(6)
+    some = lambda n: [(rnd.choice([1, 2, None]), rnd.choice("ab"), rnd.randrange(3), 9) for _ in range(n)]
+    gold, pred = some(60), some(50)
+    want = {}
+    for label in "ab":
+        pairs = sum(g == p for g in gold for p in pred if g[1] == label and g[0] is not None)
+        alone = lambda xs, ys: sum(x[1] == label and (x[0] is None or x not in ys) for x in xs)  # noqa: E731,B023
+        want[label] = (pairs + alone(gold, pred), pairs + alone(pred, gold), pairs)
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, label string, start int, end int")
+    assert {r.label: (r.gold, r.pred, r.hits) for r in S.span_hits(df(gold), df(pred)).collect()} == want
+
+
+def test_align_spans_brute(spark):
+    """Spans that overlap, nest and cross cells; unknown documents."""
+    from figweave.operators import text as S
+
+    rnd = random.Random(7)
+    spans = [(d, rnd.choice("ab"), s, s + rnd.choice([0, 1, 9, 70])) for d in (1, 2, None) for s in (rnd.randrange(120) for _ in range(25))]
+    tokens = [(d, k, 4 * k) for d in (1, 2, 3, None) for k in range(40)]
+    got = S.align_spans(spark.createDataFrame(tokens, "doc_id long, tok_idx int, start long"), spark.createDataFrame(spans, "doc_id long, label string, start long, end long"), cell=16).collect()
+    best = lambda d, at: max(((s, x) for e, x, s, end in spans if e is not None and e == d and s <= at < end), default=None)
+    tag = lambda b, at: "O" if b is None else ("B-" if b[0] == at else "I-") + b[1]
+    assert sorted(((r.doc_id, r.tok_idx, r.tag) for r in got), key=str) == sorted(((d, k, tag(best(d, at), at)) for d, k, at in tokens), key=str)
+
+
+def test_blocks_ask_once_for_a_token(spark):
+    """Unknown tokens, nulls, ids behind an end; no shuffle carries all tokens by token or id."""
+    from figweave.operators import sequences as Q
+
+    tokens = spark.createDataFrame([(d, k, w) for d in (1, 2, None) for k, w in enumerate(["a", "b", None, "a", "zz"])], "doc_id long, tok_idx int, token string")
+    vocabulary = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id long")
+    ids = Q.to_ids(tokens, vocabulary)
+    assert sorted(((r.doc_id, r.ids) for r in ids.collect()), key=str) == [(d, [1, 4, 5, 3, 4, 3, 2]) for d in (1, 2, None)]
+    odd = spark.createDataFrame([(1, [1, 4, 5, 2, 4]), (2, [1, 4, 0, 2]), (3, [5, None, 9]), (4, [1, 2])], "doc_id long, ids array<long>")
+    assert sorted((r.doc_id, r.text) for r in Q.to_text(odd, vocabulary).collect()) == [(1, "a b"), (2, "a"), (3, "b <unk>")]
+    plan = ids._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner.*\n(.*\n)?.*Aggregate \[block", plan)
