@@ -78,62 +78,77 @@ def merge_fill(rows: DataFrame, ok: Column, first: Column, second: Column) -> Da
     return rows.agg(F.count("*").alias("n"), F.count_if(~ok).alias("n_failed"), F.count_if(~ok & (second == 1)).alias("n_filled"), F.avg(ok.cast("int")).alias("success"), F.sum(F.when(ok, first).otherwise(second)).alias("merged")).withColumn("success", F.round("success", 6))
 
 
-def _matches(image: tuple, scale: float) -> list[np.ndarray]:
-    """Greedy matches of one image, as arrays: predictions by score take the free gold box with the highest IoU that reaches the threshold. `image` holds gold flags, scores, indices and
-    corners of its boxes."""
-    is_gold, scores, index, *corners = (np.asarray(x) for x in image)
-    boxes = np.stack(corners, axis=-1)
-    preds = np.flatnonzero(~is_gold)
-    preds = preds[np.lexsort((index[preds], -scores[preds]))]
-    scores, g, p = scores[preds], boxes[is_gold][None], boxes[preds][:, None]
-    n_boxes = g.shape[1]
-    wide = np.clip(np.minimum(p[..., 2], g[..., 2]) - np.maximum(p[..., 0], g[..., 0]), 0, None)
-    high = np.clip(np.minimum(p[..., 3], g[..., 3]) - np.maximum(p[..., 1], g[..., 1]), 0, None)
+def _alike(gold: np.ndarray, preds: np.ndarray, scale: float) -> tuple[list[tuple], np.ndarray]:
+    """Greedy matches of images with equally many boxes, corners gold[image, box, 4] and preds[image, place by score, 4]: predictions by score take the free gold box with the highest IoU that reaches
+    the threshold. Gives (image, area, threshold, place, hit) as arrays, and gold boxes by area."""
     size = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
-    iou = wide * high / (size(p) + size(g) - wide * high)
-    names, thresholds = list(AREAS), np.array(THRESHOLDS)
-    low, high = (np.array([AREAS[n][k] for n in names])[:, None] for k in (0, 1))
-    skip = (size(g)[0] * scale < low) | (size(g)[0] * scale >= high)  # gold boxes by area range
-    inside = (size(p)[:, 0] * scale >= low) & (size(p)[:, 0] * scale < high)
-    taken = np.zeros((len(names), len(thresholds), n_boxes), dtype=bool)  # all area ranges and thresholds at once
+    thresholds = np.array(THRESHOLDS)
+    low, high = (np.array([AREAS[n][k] for n in AREAS])[None, :, None] for k in (0, 1))
+    within = lambda b: (size(b)[:, None] * scale >= low) & (size(b)[:, None] * scale < high)
+    skip, inside = ~within(gold)[:, :, None], within(preds)  # gold boxes by area range
+    taken = np.zeros((len(gold), len(AREAS), len(thresholds), gold.shape[1]), dtype=bool)  # all area ranges and thresholds at once
     found = []
-    for k, score in enumerate(scores if n_boxes else []):
-        fit = (iou[k] >= np.minimum(thresholds, 1 - 1e-10)[:, None]) & ~taken
-        own, ignored = fit & ~skip[:, None], fit & skip[:, None]  # an ignored gold box is taken only where no other fits
-        hit, lost = own.any(axis=2), ignored.any(axis=2)
-        best = np.where(np.where(hit[..., None], own, ignored), iou[k], -1.0).argmax(axis=2)
-        a, t = np.nonzero(hit | lost)
-        taken[a, t, best[a, t]] = True
-        a, t = np.nonzero(hit | (~lost & inside[:, k : k + 1]))
-        found.append((a, t, np.full(len(a), k), np.full(len(a), float(score)), hit[a, t].astype(int)))
-    n = len(thresholds)
-    if not n_boxes:
-        a, k = np.nonzero(inside)
-        found = [(np.repeat(a, n), np.tile(np.arange(n), len(a)), np.repeat(k, n), np.repeat(scores[k], n), np.zeros(len(a) * n, dtype=int))]
-    a, t = (x.ravel() for x in np.indices((len(names), n)))
-    found.append((a, t, np.full(len(a), -1), np.zeros(len(a)), np.zeros(len(a), dtype=int)))
-    a, t, place, score, tp = (np.concatenate(x) for x in zip(*found))
-    return [a, t, place, score, tp, np.where(place < 0, (~skip).sum(axis=1)[a], 0)]
-
-
-def detection_matches(gold: DataFrame, pred: DataFrame, scale: float) -> DataFrame:
-    """(image_id, area, threshold, place, score, tp, n_gold) by image; images without a prediction are left out. One row per image goes to Python, many in a batch."""
+    for k in range(preds.shape[1]):
+        p = preds[:, k, None]
+        over = [np.clip(np.minimum(p[..., c + 2], gold[..., c + 2]) - np.maximum(p[..., c], gold[..., c]), 0, None) for c in (0, 1)]
+        iou = over[0] * over[1]
+        iou = (iou / (size(p) + size(gold) - iou))[:, None, None]
+        fit = (iou >= np.minimum(thresholds, 1 - 1e-10)[:, None]) & ~taken
+        own, ignored = fit & ~skip, fit & skip  # an ignored gold box is taken only where no other fits
+        hit, lost = own.any(axis=3), ignored.any(axis=3)
+        if gold.shape[1]:
+            best = np.where(np.where(hit[..., None], own, ignored), iou, -1.0).argmax(axis=3)
+            at = np.nonzero(hit | lost)
+            taken[(*at, best[at])] = True
+        at = np.nonzero(hit | (~lost & inside[:, :, k, None]))
+        found.append((*at, np.full(len(at[0]), k), hit[at]))
+    return found, (~skip).sum(axis=(0, 2, 3))
+
+
+def _steps(image: np.ndarray, is_gold: np.ndarray, score: np.ndarray, index: np.ndarray, boxes: np.ndarray, scale: float, most: tuple[int, ...]) -> pd.DataFrame:
+    """The boxes of a batch of images, numbered from 0, as sums by (area, threshold, most, score). Images with equally many boxes are matched together, in parts of a bounded size."""
+    order = np.lexsort((index, np.where(is_gold, 0.0, -score), image))
+    image, is_gold, score, boxes = image[order], is_gold[order], score[order], boxes[order]
+    n = np.stack([np.bincount(image[g], minlength=image[-1] + 1) for g in (is_gold, ~is_gold)], axis=1)
+    start, gold, preds, score = np.cumsum(n, axis=0) - n, boxes[is_gold], boxes[~is_gold], score[~is_gold]
+    hits, golds = [], np.zeros(len(AREAS), dtype=np.int64)
+    for n_gold, n_preds in np.unique(n, axis=0):
+        alike = np.flatnonzero((n == (n_gold, n_preds)).all(axis=1))
+        part = max(1, 1_000_000 // (len(AREAS) * len(THRESHOLDS) * max(1, n_gold)))
+        for some in (alike[k : k + part] for k in range(0, len(alike), part)):
+            found, more = _alike(gold[start[some, 0, None] + np.arange(n_gold)], preds[start[some, 1, None] + np.arange(n_preds)], scale)
+            golds += more
+            hits += [(a, t, place, score[start[some[i], 1] + place], hit) for i, a, t, place, hit in found]
+    a, t, place, scores, hit = (np.concatenate(x) for x in zip(*hits))
+    values, at = np.unique(scores, return_inverse=True)
+    areas, thresholds, out = np.array(list(AREAS), dtype=object), np.array(THRESHOLDS), []
+    for m in most:
+        few = place < m
+        cell, inverse = np.unique((a[few] * len(thresholds) + t[few]) * max(1, len(values)) + at[few], return_inverse=True)
+        curve, v = np.divmod(cell, max(1, len(values)))
+        out.append(pd.DataFrame({"area": areas[curve // len(thresholds)], "threshold": thresholds[curve % len(thresholds)], "most": m, "score": values[v], "tp": np.bincount(inverse, hit[few], len(cell)).astype(np.int64), "n": np.bincount(inverse, minlength=len(cell)), "gold": 0}))
+        a_, t_ = (x.ravel() for x in np.indices((len(areas), len(thresholds))))
+        out.append(pd.DataFrame({"area": areas[a_], "threshold": thresholds[t_], "most": m, "score": 0.0, "tp": 0, "n": 0, "gold": golds[a_]}))
+    return pd.concat(out)
+
+
+def detection_steps(gold: DataFrame, pred: DataFrame, scale: float, most: tuple[int, ...]) -> DataFrame:
+    """(area, threshold, most, score, tp, n, gold): sums over batches of images, predictions by score (n > 0) and gold boxes (n = 0); images without a prediction are left out. One row per image goes
+    to Python, many in a batch, and a row comes back for each distinct score of a batch."""
     columns = ["gold", "score", "box_idx", "x1", "y1", "x2", "y2"]
-    seen = pred.select("image_id").distinct()
-    rows = gold.join(seen, "image_id", "left_semi").withColumn("gold", F.lit(True)).unionByName(pred.withColumn("gold", F.lit(False)))
-    images = rows.groupBy("image_id").agg(F.collect_list(F.struct(*columns)).alias("b"))
-    images = images.select("image_id", *[F.col(f"b.{c}").alias(c) for c in columns])
+    rows = gold.filter("image_id is not null").withColumn("gold", F.lit(True)).unionByName(pred.withColumn("gold", F.lit(False)))
+    images = rows.groupBy("image_id").agg(F.collect_list(F.struct(*columns)).alias("b"), F.bool_and("gold").alias("unseen")).filter("not unseen")
+    images = images.select(*[F.col(f"b.{c}").alias(c) for c in columns])
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        areas, thresholds = np.array(list(AREAS), dtype=object), np.array(THRESHOLDS)
         for batch in batches:
-            found = [_matches(image, scale) for image in zip(*[batch[c] for c in columns])]
-            if found:
-                a, t, place, score, tp, n_gold = (np.concatenate(x) for x in zip(*found))
-                ids = np.repeat(batch["image_id"].to_numpy(), [len(f[0]) for f in found])
-                yield pd.DataFrame({"area": areas[a], "threshold": thresholds[t], "place": place, "score": score, "tp": tp, "n_gold": n_gold, "image_id": ids})
+            if len(batch):
+                flat = {c: np.concatenate([np.asarray(x) for x in batch[c]]) for c in columns}
+                image = np.repeat(np.arange(len(batch)), batch["gold"].map(len).to_numpy())
+                boxes = np.stack([flat[c].astype(float) for c in columns[3:]], axis=-1)
+                yield _steps(image, flat["gold"].astype(bool), flat["score"].astype(float), flat["box_idx"], boxes, scale, most)
 
-    return images.mapInPandas(match, "area string, threshold double, place int, score double, tp int, n_gold int, image_id long")
+    return images.mapInPandas(match, "area string, threshold double, most int, score double, tp long, n long, gold long")
 
 
 def average_precision(matches: DataFrame, size: int = 10_000, most: tuple[int, ...] = (100,)) -> DataFrame:
@@ -143,11 +158,16 @@ def average_precision(matches: DataFrame, size: int = 10_000, most: tuple[int, .
     score and a cell is `size` ranks, so cells hold equally many steps however scores crowd.
     """
     curve_of = ["area", "threshold", "most"]
-    cell = [*curve_of, "cell"]
     matches = matches.withColumn("most", F.explode(F.array(*map(F.lit, most))))
     steps = matches.filter((F.col("place") >= 0) & (F.col("place") < F.col("most"))).groupBy(*curve_of, "score").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
+    return _precision(steps, matches.groupBy(*curve_of).agg(F.sum("n_gold").alias("gold")), size)
+
+
+def _precision(steps: DataFrame, totals: DataFrame, size: int = 10_000) -> DataFrame:
+    """average_precision() of steps(area, threshold, most, score, tp, n) and totals(area, threshold, most, gold)."""
+    curve_of = ["area", "threshold", "most"]
+    cell = [*curve_of, "cell"]
     steps = ranked(steps, ["score", *curve_of]).withColumn("cell", F.floor(F.col("rank") / size)).drop("rank")
-    totals = matches.groupBy(*curve_of).agg(F.sum("n_gold").alias("gold"))
     higher = W.partitionBy(*curve_of).orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)
     lower = W.partitionBy(*curve_of).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     sums = steps.groupBy(*cell).agg(F.sum("tp").alias("ctp"), F.sum("n").alias("cn"))
@@ -166,8 +186,9 @@ def average_precision(matches: DataFrame, size: int = 10_000, most: tuple[int, .
 
 def detection_summary(gold: DataFrame, pred: DataFrame, scale: float) -> DataFrame:
     """(name, value): the twelve summary numbers; 0 without predictions, -1 for an area without gold boxes."""
-    matches = cut(detection_matches(gold, pred, scale))
-    rows = average_precision(matches, most=(1, 10, 100))
+    found, curve_of = cut(detection_steps(gold, pred, scale, (1, 10, 100))), ["area", "threshold", "most"]
+    steps = found.filter("n > 0").groupBy(*curve_of, "score").agg(F.sum("tp").alias("tp"), F.sum("n").alias("n"))
+    rows = _precision(steps, found.groupBy(*curve_of).agg(F.sum("gold").alias("gold")))
     at = lambda v, area="all", t=None, most=100: F.coalesce(F.avg(F.when((F.col("area") == area) & (F.col("most") == most) & (F.lit(True) if t is None else F.col("threshold") == t), F.col(v))), F.lit(-1.0))
     names = {"AP": at("ap"), "AP50": at("ap", t=0.5), "AP75": at("ap", t=0.75), "AP_small": at("ap", "small"), "AP_medium": at("ap", "medium"), "AP_large": at("ap", "large"),
              "AR1": at("recall", most=1), "AR10": at("recall", most=10), "AR100": at("recall"), "AR_small": at("recall", "small"), "AR_medium": at("recall", "medium"), "AR_large": at("recall", "large")}

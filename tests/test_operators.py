@@ -163,3 +163,41 @@ def test_padding_by_length():
     widths.clear()
     J.predicted(predict, values, 8, None)
     assert by_length < 0.6 * sum(widths)
+
+
+def test_detection_steps_brute(spark):
+    """Images of all shapes in one batch, crowded scores, images without gold; one row a score, however many images."""
+    rnd = random.Random(8)
+    box = lambda: (lambda x, y: (x, y, x + rnd.choice([0.2, 0.25]), y + 0.2))(rnd.randrange(3) * 0.05, rnd.randrange(2) * 0.05)
+    gold = [(i, k, *box(), 0.0) for i in range(40) for k in range(rnd.randrange(4))]
+    pred = [(i, k, *box(), rnd.randrange(5) / 8) for i in range(45) for k in range(rnd.randrange(5))]
+    df = lambda rows: spark.createDataFrame(rows, "image_id long, box_idx int, x1 double, y1 double, x2 double, y2 double, score double").coalesce(1)
+    out = M.detection_steps(df(gold), df(pred), 640.0 * 480.0, (1, 100)).filter("area = 'all'").collect()
+    assert sum(r.n > 0 and (r.threshold, r.most) == (0.5, 100) for r in out) <= 5 * 4
+
+    def iou(a, b):
+        w, h = (max(0.0, min(a[c + 2], b[c + 2]) - max(a[c], b[c])) for c in (0, 1))
+        size = lambda x: (x[2] - x[0]) * (x[3] - x[1])
+        return w * h / (size(a) + size(b) - w * h)
+
+    want = defaultdict(lambda: [0, 0])
+    for t in M.THRESHOLDS:
+        for i in range(45):
+            free = [g[2:6] for g in gold if g[0] == i]
+            for place, p in enumerate(sorted((p for p in pred if p[0] == i), key=lambda p: (-p[6], p[1]))):
+                best = max(free, key=lambda g: iou(p[2:6], g), default=None)
+                hit = best is not None and iou(p[2:6], best) >= t
+                if hit:
+                    free.remove(best)
+                for most in (1, 100):
+                    if place < most:
+                        want[t, most, p[6]][0] += hit
+                        want[t, most, p[6]][1] += 1
+    got = defaultdict(lambda: [0, 0])
+    for r in out:
+        if r.n:
+            got[r.threshold, r.most, r.score][0] += r.tp
+            got[r.threshold, r.most, r.score][1] += r.n
+    assert got == want
+    seen = {p[0] for p in pred}
+    assert sum(r.gold for r in out if (r.threshold, r.most) == (0.5, 1)) == sum(g[0] in seen for g in gold)
