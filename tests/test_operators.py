@@ -201,3 +201,17 @@ def test_detection_steps_brute(spark):
     assert got == want
     seen = {p[0] for p in pred}
     assert sum(r.gold for r in out if (r.threshold, r.most) == (0.5, 1)) == sum(g[0] in seen for g in gold)
+
+
+def test_related_sentences_broadcast_few_queries(spark, monkeypatch):
+    """The same rows in both ways; words are shuffled by term only where queries are many."""
+    rnd = random.Random(9)
+    words = ["common"] * 9 + [f"word{c}" for c in "abcdefgh"]
+    rows = spark.createDataFrame([(d, 1, s, " ".join(rnd.choice(words) for _ in range(6))) for d in range(20) for s in (1, 2)], "doc_id int, para_idx int, sent_idx int, sentence string")
+    asked = spark.createDataFrame([(i, " ".join(rnd.sample(words, 5))) for i in range(8)], "item_id int, text string")
+    few = S.related_sentences(rows, asked)
+    assert " part#" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(S, "SMALL", 0)
+    many = S.related_sentences(rows, asked)
+    assert " part#" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
