@@ -36,20 +36,25 @@ def edges_of(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return directed(rows.filter("not atom").withColumns({c: F.col(c).cast(t) for c, t in kinds.items()}))
 
 
+def best_class(there: list[Column], back: list[Column]) -> Column:
+    """(m, k) of the seven classes of a pair in one direction and in the other: classes 0-4 averaged over both, 5 with the other's 6; the best mean `m` and its class less than zero, `k` = -class (lowest on ties)."""
+    swap = {5: 6, 6: 5}
+    means = F.array(*[F.struct(((there[k] + back[swap.get(k, k)]) / 2).alias("m"), F.lit(-k).alias("k")) for k in range(7)])
+    best = F.array_max(means)  # nulls are least
+    return F.when(best["m"].isNotNull(), best)
+
+
 def symmetric_scores(scores: DataFrame) -> DataFrame:
     """scores(mol_id, i, j, k, p): classes 0-4 averaged over both directions, 5 with the other direction's 6; per pair the best class (lowest on ties) and its score.
 
     Both directions of a pair are one group, with a column for each direction and class: fewer bytes than a join of the rows with themselves, and no shuffle where they are partitioned by mol_id.
     """
-    swap = {5: 6, 6: 5}
     pair = scores.filter("mol_id is not null and i is not null and j is not null").withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     p = {(d, k): F.max(F.when((F.col("i") <= F.col("j") if d == "f" else F.col("i") >= F.col("j")) & (F.col("k") == k), F.col("p"))) for d in "fb" for k in range(7)}
     found = pair.groupBy("mol_id", "lo", "hi").agg(*[v.alias(f"{d}{k}") for (d, k), v in p.items()])
 
-    def best(a, b):
-        means = F.array(*[F.struct(((F.col(f"{a}{k}") + F.col(f"{b}{swap.get(k, k)}")) / 2).alias("m"), F.lit(-k).alias("k")) for k in range(7)])
-        return F.array_max(F.filter(means, lambda x: x["m"].isNotNull()))
-
+    each = lambda d: [F.col(f"{d}{k}") for k in range(7)]
+    best = lambda a, b: best_class(each(a), each(b))
     way = lambda i, j, b: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), b.alias("best"))
     there, back = way("lo", "hi", best("f", "b")), way("hi", "lo", best("b", "f"))
     rows = found.select("mol_id", F.explode(F.when(F.col("lo") == F.col("hi"), F.array(there)).otherwise(F.array(there, back))).alias("x")).filter("x.best is not null")
@@ -73,6 +78,18 @@ def confidence(tokens: DataFrame, edge_scores: DataFrame) -> DataFrame:
     return out.withColumn("overall", F.col("token_score") * F.col("edge_score"))
 
 
+def folded_confidence(rows: DataFrame) -> DataFrame:
+    """confidence() of rows(mol_id, tokens, scores) that hold the p of an atom's tokens, scores of edges, or both; null for none. Rows that are partitioned by mol_id are not shuffled, and nothing is joined."""
+    fold = lambda v, f=lambda x: x: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.coalesce(f(x), F.lit(0.0)))
+    rows = rows.withColumn("known", F.size(F.array_compact("tokens"))).withColumn("low", F.array_min("scores"))
+    atom = F.when(F.array_min("tokens") <= 0, F.lit(0.0)).when(F.col("known") > 0, F.exp(fold(F.col("tokens"), F.ln) / F.col("known")))
+    rows = rows.select("mol_id", "low", atom.alias("atom"), F.when(F.col("known") > 0, fold(F.col("tokens"))).alias("s"), F.size("tokens").alias("n"), F.when(F.col("low").isNotNull(), fold(F.col("scores"), F.ln)).alias("logs"))
+    mols = rows.groupBy("mol_id").agg(F.avg("atom").alias("atom_score"), F.sum("s").alias("s"), F.sum(F.when(F.col("n") > 0, F.col("n"))).alias("n"), F.min("low").alias("low"), F.sum("logs").alias("logs"))
+    edge = F.when(F.col("low") <= 0, F.lit(0.0)).otherwise(F.exp(F.col("logs") / 2))
+    out = mols.filter("n is not null").select("mol_id", "atom_score", (F.col("s") / F.col("n")).alias("token_score"), F.coalesce(edge, F.lit(1.0)).alias("edge_score"))
+    return out.withColumn("overall", F.col("token_score") * F.col("edge_score"))
+
+
 def normalise_points(points: DataFrame, flip_y: bool = True) -> DataFrame:
     """points(mol_id, atom_idx, x, y) min-max scaled per molecule, spans of at least 1e-6, y flipped."""
     w = W.partitionBy("mol_id")

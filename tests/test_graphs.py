@@ -325,6 +325,34 @@ def test_bonds_and_scores_stay_with_their_molecule(spark, sf):
     assert shuffled_by(QUERIES["mol_confidence"](spark, sf)) == {"l_orderkey"}
 
 
+def test_confidence_folds_a_molecule(spark, sf, tmp_path):
+    """One shuffle in all; neither tokens nor classes of bonds become rows, and nothing is joined. Rows without a molecule have no bonds."""
+    from figweave.plans import QUERIES
+
+    plan = QUERIES["mol_confidence"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    assert plan.count("Sort [") == 1 and "Join" not in plan and "Generate" not in plan and "HashAggregate(keys=[mol_id" in plan
+    row = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string"
+    spark.createDataFrame([(key, 5, i, i, 5.0, 1.0, 0.05, "N") for key in (None, 7) for i in range(3)], row).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.mol_id: tuple(r)[1:] for r in QUERIES["mol_confidence"](spark, str(tmp_path)).collect()}
+    assert found[None] == (None, None, 1.0, None) and None not in found[7] and found[7][2] < 1 and len(found) == 2
+
+
+def test_folded_confidence_as_by_rows(spark):
+    """Nulls, zeros, repeated values, atoms without tokens, molecules without bonds or tokens."""
+    rnd = random.Random(8)
+    some = lambda n: [rnd.choice([None, 0.0, *[rnd.random() for _ in range(30)]]) for _ in range(rnd.randrange(n))]
+    mols = [(m, [some(5) for _ in range(rnd.randrange(6))], rnd.choice([None, some(7)])) for m in range(80)] + [(80, None, [0.5]), (81, [[0.5], [None]], []), (82, [[None]], [None])]
+    df = spark.createDataFrame(mols, "mol_id long, tokens array<array<double>>, scores array<double>")
+    tokens = df.select("mol_id", F.posexplode("tokens").alias("atom_idx", "t")).select("mol_id", "atom_idx", F.explode("t").alias("p"))
+    scores = df.select("mol_id", F.posexplode("scores").alias("i", "score")).select("mol_id", "i", F.lit(0).alias("j"), "score")
+    rows = lambda d: {r.mol_id: [v if v is None else round(v, 12) for v in tuple(r)[1:]] for r in d.collect()}
+    want = rows(G.confidence(tokens, scores))
+    atoms = df.select("mol_id", F.explode("tokens").alias("tokens"), F.lit(None).cast("array<double>").alias("scores"))
+    edges = df.select("mol_id", F.lit(None).cast("array<double>").alias("tokens"), F.explode(F.array(F.slice("scores", 1, 3), F.slice("scores", 4, 9))).alias("scores"))
+    assert rows(G.folded_confidence(atoms.union(edges))) == want and len(want) > 50 and want[82] == [None, None, 1.0, None]
+
+
 def test_symmetric_scores_brute(spark):
     """Rows without the other direction, self loops, repeated rows, ties and nulls."""
     rnd = random.Random(5)
