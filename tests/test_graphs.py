@@ -12,6 +12,7 @@ from figweave.operators import backout as K
 from figweave.operators import graphs as R
 from figweave.operators import molecules as G
 from figweave.operators import search as S
+from figweave.plans import fixtures as X
 
 
 def tables(spark, mols):
@@ -118,6 +119,49 @@ def test_substructures_brute(spark):
     assert {(r.query_id, r.mol_id): r.n for r in out} == want
 
 
+def with_copies(mols):
+    return mols.select("mol_id", "names", "near", F.when(F.col("mol_id") % 3 == 0, 5).otherwise(1).cast("long").alias("copies"))
+
+
+@pytest.mark.parametrize("listed", [24, 5])
+def test_substructure_counts_brute(spark, monkeypatch, listed):
+    """Small paths side by side are counted by pattern, all others and large records by pairs; symbols may hold the signs of a path's text."""
+    rnd = random.Random(5)
+    records = {m: random_mol(rnd, rnd.randrange(1, 8), ["C", "C", "N", "C~1~1:N"], 1) for m in range(40)} | {90: (["C", "C", "C", "N"], [(0, 1, 1), (1, 2, 1), (0, 2, 1), (2, 3, 6)])}
+    asked = {m: random_mol(rnd, rnd.randrange(1, 6), ["C", "C", "N", "C~1~1:N"], 1) for m in range(200, 240)}
+    asked |= {300: (["Xx"], []), 301: (["C", "C"], [(0, 1, 5)]), 302: (["C", "C", "C"], [(0, 1, 1), (1, 2, 1), (0, 2, 1)]), 303: (["C"] * 4, [(0, 1, 1), (0, 2, 1), (0, 3, 1)]), 304: (["C", "C", "N", "C"], [(0, 3, 1), (1, 2, 1)]), 305: (["C"] * 3, [])}
+    monkeypatch.setattr(R, "LISTED", listed)
+    paired, whole = [], R.substructures
+    monkeypatch.setattr(R, "substructures", lambda q, r, keep=None: (paired.append(q), whole(q, r, keep))[1])
+    out = R.substructure_counts(tables(spark, asked)[2], with_copies(tables(spark, records)[2])).collect()
+    copies = {m: 5 if m % 3 == 0 else 1 for m in records}
+    want = {}
+    for q in asked:
+        n = {m: w for m in records if (w := ways_brute(asked[q], records[m]))}
+        if n:
+            want[q] = (sum(copies[m] for m in n), min(n), sum(w * copies[m] for m, w in n.items()))
+    assert {r.query_id: (r.n_molecules, r.first, r.n_ways) for r in out} == want
+    by_pairs = {r.mol_id for r in paired[0].collect()}
+    assert {302, 303} <= by_pairs and not by_pairs & {300, 301, 304, 305}
+    assert len(paired) == (1 if listed == 24 else 2)
+
+
+def test_substructure_counts_of_odd_bonds(spark):
+    """Bonds drawn twice or to the atom itself, and unknown symbols, are left to the pairs; without queries or records nothing is found."""
+    mols = spark.createDataFrame([(1, ["C", "C"], [[(1, 1), (1, 2)], [(0, 1), (0, 2)]]), (2, ["C", None], [[(1, 1)], [(0, 1)]]), (3, ["C", "C"], [[(1, 1)], [(0, 1)]]), (4, ["C"], [[(0, 1)]])],
+                                 "mol_id long, names array<string>, near array<array<struct<at:int,o:int>>>")
+    records = with_copies(mols)
+    got = {tuple(r) for r in R.substructure_counts(mols, records).collect()}
+    pairs = R.substructures(mols, records, ["copies"]).groupBy("query_id").agg(F.sum("copies"), F.min("mol_id"), F.sum(F.col("n") * F.col("copies")))
+    assert got == {tuple(r) for r in pairs.collect()} and any(r[0] == 3 for r in got)
+    assert R.substructure_counts(mols.limit(0), records).count() == 0 and R.substructure_counts(mols, records.limit(0)).count() == 0
+
+
+def test_molecules_packed_in_one_grouping(spark, sf):
+    once, rows = X.packed(spark, sf), R.packed_rows(X.drawn(spark, sf))
+    assert once.schema == rows.schema and once.exceptAll(rows).isEmpty() and rows.exceptAll(once).isEmpty()
+
+
 def backout_brute(template, target):
     """Sites in order and, for the best way, (name, attach or None), with the target's places that are no core."""
     names, near, t_near = template[0], links(template), links(target)
