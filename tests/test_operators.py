@@ -12,6 +12,8 @@ from figweave.operators import molecules as G
 from figweave.operators import sequences as Q
 from figweave.operators import tables as T
 from figweave.operators import text as S
+from figweave.plans import QUERIES
+from figweave.plans import fixtures as X
 
 
 def sentences_brute(text):
@@ -133,6 +135,24 @@ def test_whole_reactions_of_a_table(spark):
     assert told == {1: [["heat", "air"], ["heat", "air", "5 h"]], 3: [[], ["y"]]}
 
 
+def test_parts_of_placed_rows_are_those_of_the_grid(spark, sf):
+    placed = T.placed_rows(T.cells_of(T.rows_of(X.text_lines(spark, sf))))
+    odd = spark.createDataFrame([(-1, 1, [], [(None, "a")], "fits no column"), (-2, 1, [(0, "R1", "alkyl group", 0.0, 9.0), (1, "R1", "alkyl group", 9.0, 19.0), (2, "t(", "time", 19.0, 29.0)], [(1, "4-Me (3a)"), (0, "?")], None),
+                                 (-3, 2, [(0, "x", "unknown", 0.0, 9.0)], [], None)], placed.schema)
+    placed = placed.unionByName(odd)
+    grid, parts = T.row_parts(T.grid_of(placed)), T.placed_parts(placed)
+    assert parts.columns == grid.columns and parts.exceptAll(grid).isEmpty() and grid.exceptAll(parts).isEmpty()
+    assert {r.page: [g.value for g in r.groups] for r in parts.filter("page < 0").collect()} == {-2: ["[Me]"], -3: []}
+
+
+def test_first_reactions_make_their_lines_once(spark, sf):
+    """Pages come from the table itself: lines are ordered and made once, and no row meets its page's conditions by itself."""
+    plan = QUERIES["table_first_reaction"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number(") == 1
+    lines = X.text_lines(spark, sf)
+    assert sorted(r.page for r in X.pages(spark, sf).collect()) == sorted(r.page for r in lines.select("page").distinct().collect())
+
+
 def test_models_stay_in_their_process_and_order_is_kept(spark, tmp_path):
     log = str(tmp_path / "loads")
 
