@@ -35,19 +35,19 @@ def templates(mols: DataFrame, limit: int = 10) -> tuple[DataFrame, DataFrame]:
 
     Rejects (tpl_id, reason): no R-site; more than `limit` of them; a site that is not at an end, or hangs on another site; nothing but sites.
     """
-    rows = plain(mols).select(F.col("mol_id").alias("tpl_id"), "names", "near", F.transform("names", site_name).alias("site"))
+    rows = cut(plain(mols).select(F.col("mol_id").alias("tpl_id"), "names", "near", F.transform("names", site_name).alias("site")))
+    # what keeps a molecule from being a template is read before its core is put in order
+    held = F.filter(F.transform("site", lambda s, i: F.when(s.isNotNull(), F.struct(F.size(F.get("near", i)).alias("n"), F.get(F.get("near", i), F.lit(0))["at"].alias("at")))), lambda h: h.isNotNull())
+    rows = rows.withColumn("held", held)
+    reason = (F.when(F.size("held") == 0, "no R-site").when(F.size("held") > limit, f"more than {limit} R-sites").when(F.size("held") == F.size("names"), "nothing but R-sites")
+              .when(~F.forall("held", lambda h: h["n"] == 1), "an R-site is not at an end").when(F.exists("held", lambda h: F.get("site", h["at"]).isNotNull()), "an R-site hangs on another"))
+    rows = rows.withColumn("reason", reason)
     places = F.transform("names", lambda _, i: i)
-    rows = cut(rows.withColumn("core", plan(F.col("near"), F.filter(places, lambda i: F.get("site", i).isNull()))))
+    # written, so that no later expression computes it again
+    good = cut(rows.filter("reason is null").select("tpl_id", "names", "near", "site", plan(F.col("near"), F.filter(places, lambda i: F.get("site", i).isNull())).alias("core")))
     named = F.transform(F.filter(places, lambda i: F.get("site", i).isNotNull()), lambda i: let(F.get(F.get("near", i), F.lit(0)), lambda e: F.struct(
         F.get("site", i).alias("name"), i.alias("place"), (F.array_position("core", e["at"]) - 1).cast("int").alias("at"), e["o"].alias("o"))))
-    rows = cut(rows.withColumn("sites", named.cast(_SITES)))
-    ends = F.forall("sites", lambda s: F.size(F.get("near", s["place"])) == 1)
-    reason = (F.when(F.size("sites") == 0, "no R-site").when(F.size("sites") > limit, f"more than {limit} R-sites").when(F.size("core") == 0, "nothing but R-sites")
-              .when(~ends, "an R-site is not at an end").when(F.exists("sites", lambda s: s["at"] < 0), "an R-site hangs on another"))
-    # written, as the core, so that no later expression computes it again
-    rows = cut(rows.withColumn("reason", reason))
-    good = rows.filter("reason is null")
-    good = good.select("tpl_id", "core", F.size("names").alias("size"), steps(F.col("core"), F.col("names"), F.col("near")).alias("core_steps"), "sites")
+    good = good.select("tpl_id", "core", F.size("names").alias("size"), steps(F.col("core"), F.col("names"), F.col("near")).alias("core_steps"), named.cast(_SITES).alias("sites"))
     return good, rows.filter("reason is not null").select("tpl_id", "reason")
 
 
@@ -58,17 +58,30 @@ def labelled(products: DataFrame, labels: DataFrame, by: str = "tpl_id") -> Data
     holds the product's number followed by letters; the first such text is its label. Each of its texts that says what an R-group is (`R1 = Me`) gives a variant of its own, with that text behind the label, name and value; without one there is
     a single variant. The template itself is left out.
     """
+    own, asked = _asked(products, labels, by)
+    found = asked.join(own, list(dict.fromkeys((by, "number")))).filter("mol_id <> tpl_id")
+    return _variants(found, "tpl_id", "mol_id").select("tpl_id", "mol_id", "label", "name", "value")
+
+
+def _asked(products: DataFrame, labels: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(own, asked): own(by, tpl_id, number); asked(by, number, mol_id, label, said) for each number of a template's beside the molecule that one of its texts holds with letters behind. Templates with one number ask for the same, so texts are read once a number."""
     number = F.coalesce(F.regexp_extract("label", r"\d+", 0), F.lit(""))
     own = products.select(*dict.fromkeys((by, "tpl_id")), number.alias("number"))
-    # a null text reads as an empty one, which neither fits, as letters are asked for, nor says anything
-    asked = labels.filter("text is not null").join(own, by).filter("mol_id <> tpl_id")
-    fits = F.regexp_like("text", F.concat(F.col("number"), F.lit("[a-zA-Z]+")))
     equation = lambda k: F.regexp_extract("text", r"([RXY]\d?) *= *(\w+)", k)
-    found = asked.groupBy(*dict.fromkeys((by, "tpl_id", "mol_id"))).agg(
-        F.min_by("text", F.when(fits, F.col("place"))).alias("label"), F.count_if(fits).alias("n"),
+    # a null text reads as an empty one, which neither fits, as letters are asked for, nor says anything
+    texts = labels.filter("text is not null").groupBy(by, "mol_id").agg(
+        F.sort_array(F.collect_list(F.struct("place", "text"))).alias("texts"),
         F.sort_array(F.collect_list(F.when(equation(1) != "", F.struct("place", "text", equation(1).alias("name"), equation(2).alias("value"))))).alias("said"))
-    found = found.filter("n > 0").select("tpl_id", "mol_id", "label", F.explode_outer("said").alias("e"))
-    return found.select("tpl_id", "mol_id", F.concat("label", F.coalesce("e.text", F.lit(""))).alias("label"), "e.name", "e.value")
+    fits = F.get(F.filter("texts", lambda t: F.regexp_like(t["text"], F.concat(F.col("number"), F.lit("[a-zA-Z]+")))), F.lit(0))["text"]
+    # an explode, so that a filter does not read the texts a second time
+    label = F.explode(F.filter(F.array(fits), lambda t: t.isNotNull()))
+    return own, texts.join(own.select(by, "number").distinct(), by).select(by, "number", "mol_id", "said", label.alias("label"))
+
+
+def _variants(found: DataFrame, *keep: str) -> DataFrame:
+    """A row for each thing that a text says: (keep.., label, name, value)."""
+    rows = found.select(*keep, "label", F.explode_outer("said").alias("e"))
+    return rows.select(*keep, F.concat("label", F.coalesce("e.text", F.lit(""))).alias("label"), "e.name", "e.value")
 
 
 def _core_screen(tpls: DataFrame) -> DataFrame:
@@ -88,14 +101,51 @@ def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFr
 
     All of this is folds inside one row a variant; nothing is shuffled but the joins by template and target. Before they meet, a target that lacks one of the core's paths is left out by 64 bits of both, unless a variant gives its atoms a name that the core has.
     """
-    targets = screened(plain(mols).select("mol_id", "names", "near")).drop("features", "s1")
-    holds = F.col("c0").bitwiseAND(F.col("s0")) == F.col("c0")
-    meant = lambda s: (bare(s) == F.col("name")) & s.startswith("[")
     # a new name finds more only where the core has it
-    found = variants.join(_core_screen(tpls), "tpl_id").withColumn("finds", F.coalesce(F.array_contains("core_names", F.concat(F.lit("["), F.col("value"), F.lit("]"))), F.lit(False))).drop("core_names")
-    rows = found.join(targets, "mol_id").filter(holds | (F.col("finds") & F.coalesce(F.exists("names", meant), F.lit(False)))).drop("c0", "s0", "finds")
-    rows = spread(rows, "tpl_id").join(tpls, "tpl_id")
-    renamed = F.transform("names", lambda s: F.when(meant(s), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(s))
+    found = variants.join(_core_screen(tpls), "tpl_id").withColumn("finds", _finds()).drop("core_names")
+    rows = found.join(_targets(mols), "mol_id").filter(_holds() | (F.col("finds") & F.coalesce(F.exists("names", _meant), F.lit(False)))).drop("c0", "s0", "finds")
+    return _read(spread(rows, "tpl_id").join(tpls, "tpl_id"))
+
+
+def read_labelled(tpls: DataFrame, mols: DataFrame, products: DataFrame, labels: DataFrame, by: str = "tpl_id") -> DataFrame:
+    """read_groups() of labelled(), with the same rows, without a row for each pair of a template and a molecule that it asks for.
+
+    Templates and targets, each with its bits and its atoms, meet once by `by` and number, and what lacks one of the core's paths leaves in that join. So pairs are neither written nor shuffled.
+    """
+    own, asked = _asked(products, labels, by)
+    keys = list(dict.fromkeys((by, "number")))
+    values = F.transform("said", lambda e: F.concat(F.lit("["), e["value"], F.lit("]")))
+    left = spread(asked.join(_targets(mols), "mol_id").withColumn("values", values), *keys)
+    kept = own.join(tpls.join(_core_screen(tpls), "tpl_id"), "tpl_id")
+    pairs = left.join(spread(kept, *keys), keys).filter((F.col("mol_id") != F.col("tpl_id")) & (_holds() | F.arrays_overlap("values", "core_names")))
+    rows = _variants(pairs, "tpl_id", "mol_id", "names", "near", "core", "size", "core_steps", "sites", "c0", "s0", "core_names")
+    rows = rows.filter(_holds() | (_finds() & F.coalesce(F.exists("names", _meant), F.lit(False)))).drop("c0", "s0", "core_names")
+    return _read(rows)
+
+
+def _holds() -> Column:
+    """Whether the target has the bits of all paths of the core."""
+    return F.col("c0").bitwiseAND(F.col("s0")) == F.col("c0")
+
+
+def _meant(s: Column) -> Column:
+    """A symbol that the variant's name stands for."""
+    return (bare(s) == F.col("name")) & s.startswith("[")
+
+
+def _finds() -> Column:
+    """Whether the core has the name that the variant gives."""
+    return F.coalesce(F.array_contains("core_names", F.concat(F.lit("["), F.col("value"), F.lit("]"))), F.lit(False))
+
+
+def _targets(mols: DataFrame) -> DataFrame:
+    """(mol_id, names, near, s0): packed targets with the bits of their paths."""
+    return screened(plain(mols).select("mol_id", "names", "near")).drop("features", "s1")
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """read_groups() of variants with their target and template beside them."""
+    renamed = F.transform("names", lambda s: F.when(_meant(s), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(s))
     rows = rows.withColumn("names", F.when(F.col("name").isNull(), F.col("names")).otherwise(renamed))
     rows = rows.withColumn("part", united(F.col("near"))).withColumn("ms", embeddings(F.col("core_steps"), F.col("names"), F.col("near")))
 
@@ -117,7 +167,6 @@ def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFr
 
         def with_parts(x):
             held, part = x["inside"], x["rest"]
-            left = F.size(F.array_distinct(F.filter(F.transform(part, lambda p, i: F.when(F.get(held, i), p)), lambda p: p.isNotNull())))
 
             def settle(states, s):
                 def grown(st):
@@ -128,7 +177,7 @@ def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFr
                 return F.flatten(F.transform(states, grown))
 
             states = F.aggregate("sites", F.array(F.array().cast("array<int>")), settle)
-            fit = F.filter(states, lambda st: F.size(F.filter(st, lambda p: p >= 0)) == left)
+            fit = F.filter(states, lambda st: F.size(F.filter(st, lambda p: p >= 0)) == x["left"])
 
             def rated(st):
                 taken = F.filter(F.transform(st, lambda p, k: F.when(p < 0, k)), lambda k: k.isNotNull())
@@ -139,7 +188,14 @@ def read_groups(tpls: DataFrame, mols: DataFrame, variants: DataFrame) -> DataFr
 
             return F.transform(fit, rated)
 
-        return F.flatten(F.transform(F.array(inside), lambda held: F.flatten(F.transform(F.array(F.struct(held.alias("inside"), united(F.col("near"), held).alias("rest"))), with_parts))))
+        def with_left(x):
+            """Fragments are counted once; no site is tried where there are more of them than sites, which most embeddings of a small core leave."""
+            left = F.size(F.array_distinct(F.filter(F.transform(x["rest"], lambda p, i: F.when(F.get(x["inside"], i), p)), lambda p: p.isNotNull())))
+            return F.struct(x["inside"].alias("inside"), x["rest"].alias("rest"), left.alias("left"))
+
+        parts = F.transform(F.array(inside), lambda held: F.struct(held.alias("inside"), united(F.col("near"), held).alias("rest")))
+        few = F.filter(F.transform(parts, with_left), lambda x: x["left"] <= F.size("sites"))
+        return F.flatten(F.transform(few, with_parts))
 
     # an explode, so that a filter does not compute the ways a second time
     rows = rows.withColumn("best", F.explode(F.filter(F.array(F.array_min(F.flatten(F.transform("ms", ways)))), lambda b: b.isNotNull())))

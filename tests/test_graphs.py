@@ -341,6 +341,30 @@ def test_labels_by_page_and_renamed_targets(spark):
     assert [tuple(r) for r in K.group_texts(K.read_groups(tpls, mols, variants)).collect()] == [(1, 3, "1cR1 = Ph", "[2*]", "O")]
 
 
+@pytest.mark.parametrize("by", ["page", "tpl_id"])
+def test_labelled_molecules_are_read_as_by_pairs(spark, by):
+    """Templates and targets that meet once by number give what a row for each pair gives, renamed ones included; the texts of a molecule are read once a number, however many templates have it."""
+    rnd = random.Random(7)
+    mols = {m: random_mol(rnd, rnd.randrange(1, 7), ["C", "C", "N", "O", "[R1]", "[R2]", "[Ph]"], 1) for m in range(60)}
+    packed = R.cut(tables(spark, mols)[2])
+    tpls, rejects = K.templates(packed)
+    tpls = R.cut(tpls)
+    ids = [r.tpl_id for r in tpls.collect()]
+    assert 5 < len(ids) and sorted(ids + [r.tpl_id for r in rejects.collect()]) == sorted(mols)
+    products = spark.createDataFrame([(t, t % 2, f"{t % 3 or ''}a") for t in ids], "tpl_id long, page long, label string")
+    texts = lambda m: [(0, f"{m % 3}b"), (1, rnd.choice(["R1 = Ph", "R2=N", "x", None])), (2, "R1 = C" if m % 5 == 0 else f"{m % 3}c")]
+    beside = [(t, m, place, text) for t in (ids if by == "tpl_id" else (0, 1)) for m in mols for place, text in texts(m)]
+    labels = spark.createDataFrame(beside, f"{by} long, mol_id long, place int, text string")
+    products = products if by == "page" else products.drop("page")
+    want = K.group_texts(K.read_groups(tpls, packed, K.labelled(products, labels, by)))
+    got = K.group_texts(K.read_labelled(tpls, packed, products, labels, by))
+    assert got.columns == want.columns and not got.isEmpty() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    asked = K._asked(products, labels, by)[1]
+    assert asked.count() == asked.select(by, "number", "mol_id").distinct().count()
+    if by == "page":
+        assert asked.count() <= 2 * 3 * len(mols) < K.labelled(products, labels, by).count()
+
+
 def test_blocks_keep_the_best(spark, monkeypatch):
     """Records over many blocks and queries over many batches: the best of each block hold the best of all, ties to the lowest id, and no block is a row."""
     monkeypatch.setattr(S, "BLOCK", 16)
