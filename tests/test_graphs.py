@@ -146,6 +146,15 @@ def test_substructure_counts_brute(spark, monkeypatch, listed):
     assert len(paired) == (1 if listed == 24 else 2)
 
 
+def test_candidates_have_each_path_as_often(spark):
+    """Three carbons and a chain apart meet no record with fewer of either; a bond that a query draws twice is one."""
+    asked = tables(spark, {1: (["C", "C", "C", "N", "O"], [(3, 4, 1)]), 2: (["C", "N", "C", "N"], [(0, 1, 2), (2, 3, 2)])})[2]
+    records = tables(spark, {10: (["C", "C", "N", "O"], [(2, 3, 1)]), 11: (["C", "O", "C", "N", "C"], [(1, 3, 1)]), 12: (["C", "N", "C", "N"], [(0, 1, 2)]), 13: (["N", "C", "C", "N"], [(0, 1, 2), (2, 3, 2)])})[2]
+    assert {(r.query_id, r.mol_id) for r in R.substructure_candidates(asked, records).collect()} == {(1, 11), (2, 13)}
+    twice = spark.createDataFrame([(1, ["C", "N"], [[(1, 2), (1, 2)], [(0, 2), (0, 2)]])], "mol_id long, names array<string>, near array<array<struct<at:int,o:int>>>")
+    assert {(r.query_id, r.mol_id) for r in R.substructures(twice, records).collect()} == {(1, 12), (1, 13)}
+
+
 def test_substructure_counts_of_odd_bonds(spark):
     """Bonds drawn twice or to the atom itself, and unknown symbols, are left to the pairs; without queries or records nothing is found."""
     mols = spark.createDataFrame([(1, ["C", "C"], [[(1, 1), (1, 2)], [(0, 1), (0, 2)]]), (2, ["C", None], [[(1, 1)], [(0, 1)]]), (3, ["C", "C"], [[(1, 1)], [(0, 1)]]), (4, ["C"], [[(0, 1)]])],
